@@ -180,18 +180,17 @@ def _scorer(model: bytes) -> Scorer:
     return Scorer(pickle.loads(model))
 
 
-def _predict_batches(model: bytes):
+def _predict_batches(model: bytes, text_at: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
         for batch in batches:
-            rest = [batch.column(i) for i in range(1, batch.num_columns)]
-            texts, langs, scores = utf8(batch.column(0)), [], []
+            texts, langs, scores = utf8(batch.column(text_at)), [], []
             for at in range(0, len(texts), 128):
                 lang, score = scorer.predict(texts[at : at + 128])
                 langs += lang
                 scores += score
-            names = [*batch.schema.names[1:], "lang_pred", "score"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+            columns = [*batch.columns[:kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:kept], "lang_pred", "score"])
 
     return run
 
@@ -199,17 +198,19 @@ def _predict_batches(model: bytes):
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(text and the columns ``keep``) -> keep, lang_pred, score. Null texts and texts without a letter are ``und``
     with score 1; repeated rows each get a row."""
-    cast = [F.col(c).cast(docs.schema[c].dataType).alias(c) for c in keep]
+    given = keep if "text" in keep else (*keep, "text")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
-    return docs.select(F.col("text").cast("string"), *cast).mapInArrow(_predict_batches(pickle.dumps(model)), schema)
+    run = _predict_batches(pickle.dumps(model), given.index("text"), len(keep))
+    return docs.select(*[F.col(f"`{c}`") for c in given]).mapInArrow(run, schema)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents in a language that was learnt; rejected are those without text or letters."""
-    names = ("doc_id", "lang", "source", "n_chars")
-    extra = tuple(c for c in docs.columns if c in names)
-    found = predict(docs.withColumn("body", F.col("text")), fit(docs), (*extra, "body"))
-    return found.where(F.col("lang_pred") != UNKNOWN).withColumnRenamed("body", "text").select(*docs.columns)
+    """The documents in a language that was learnt; rejected are those without text or letters. All columns stay,
+    whatever their names."""
+    names = docs.columns
+    neutral = [c if c == "text" else f"c{i}" for i, c in enumerate(names)]
+    found = predict(docs.toDF(*neutral), fit(docs), tuple(neutral)).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col(n).alias(c) for n, c in zip(neutral, names)])
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

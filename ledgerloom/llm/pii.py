@@ -20,6 +20,9 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 THRESHOLD = 0.5
 CONTEXT_CHARS = 40
+CHUNK = 256  # even, so that a chunk starts outside a match
+#: Longer kinds first, where one may hold another.
+REDACT_ORDER = ("email", "iban", "phone", "card", "ip", "ssn")
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -43,7 +46,7 @@ NEARBY = {
 }
 NEARBY_SCORE = 0.3
 
-_MARK, _OTHER = "", ""
+_MARK, _OTHER = "\ue000", "\ue001"
 
 
 def _digits(span: Column) -> Column:
@@ -74,33 +77,66 @@ VALID = {
 }
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """array<struct<start,rank,end,kind>> of the kind's confirmed spans, in code points, end exclusive."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _parts(text: Column, kind: str) -> Column:
+    """The text split around the pattern's matches: every second part is one."""
     marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), PATTERNS[kind], f"{_MARK}$0{_MARK}")
-    parts = F.split(F.when(F.contains(text, F.lit(NEEDS[kind])), marked).otherwise("") if kind in NEEDS else marked, _MARK, -1)
-    span = lambda at, end: F.struct(
-        at.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind")
-    )
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    if kind in NEEDS:
+        marked = F.when(F.contains(text, F.lit(NEEDS[kind])), marked).otherwise(F.lit(""))
+    return F.split(marked, _MARK, -1)
+
+
+def _judged(parts: Column, kind: str) -> Column:
+    """array<struct<n, hit, score>> of the parts: code points, whether it is a span to report, its score.
+
+    The context is what lies near the span up to the next one of its kind."""
+
+    def judge(part: Column, i: Column) -> Column:
+        after = F.coalesce(F.try_element_at(parts, i + 2), F.lit(""))
+        nearby = F.concat(F.substring(F.element_at(parts, F.greatest(i, F.lit(1))), -CONTEXT_CHARS, CONTEXT_CHARS), F.lit(" "), F.substring(after, 1, CONTEXT_CHARS))
+        valid = F.when(i % 2 == 1, VALID[kind](part)).otherwise(F.lit(False))
+        plus = F.when(F.lower(nearby).rlike(NEARBY[kind]), NEARBY_SCORE).otherwise(0.0)
+        score = F.when(valid, F.least(F.lit(SCORES[kind]) + plus, F.lit(1.0)))
+        hit = valid if kind in BASE else valid & (score >= THRESHOLD)
+        return F.struct(F.char_length(part).alias("n"), F.coalesce(hit, F.lit(False)).alias("hit"), score.alias("score"))
+
+    return F.transform(parts, judge)
+
+
+_SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
 
-    def step(state: Column, part: Column) -> Column:
-        end = state["at"] + F.char_length(part)
-        hit = (state["n"] % 2 == 1) & VALID[kind](part)
-        found = F.when(hit, F.concat(state["found"], F.array(span(state["at"], end)))).otherwise(state["found"])
-        return F.struct(end.alias("at"), (state["n"] + 1).alias("n"), found.alias("found"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), none.alias("found"))
-    return F.aggregate(parts, start, step, lambda s: s["found"])
+def _spans(text: Column, kind: str) -> Column:
+    """array<struct<start,rank,end,kind,score>> of the kind's spans, in code points, end exclusive.
+
+    Places are sums over the parts before. They are folded in chunks, then the chunks are shifted, so that a text of
+    very many spans does not copy a growing array each time."""
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def fold(chunk: Column) -> Column:
+        def step(state: Column, part: Column) -> Column:
+            end = state["at"] + part["n"]
+            span = F.struct(state["at"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), part["score"].alias("score"))
+            found = F.when(part["hit"], F.concat(state["found"], F.array(span))).otherwise(state["found"])
+            return F.struct(end.alias("at"), found.cast(f"array<{_SPAN}>").alias("found"))
 
+        return F.aggregate(chunk, F.struct(F.lit(0).alias("at"), none.alias("found")), step)
 
-def _scored(text: Column, span: Column) -> Column:
-    before = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    nearby = F.lower(F.substring(text, before + 1, span["end"] - before + CONTEXT_CHARS))
-    score = F.lit(0.0)
-    for kind in KINDS:
-        plus = F.when(nearby.rlike(NEARBY[kind]), NEARBY_SCORE).otherwise(0.0)
-        score = F.when(span["kind"] == kind, F.least(F.lit(SCORES[kind]) + plus, F.lit(1.0))).otherwise(score)
-    return span.withField("score", score)
+    def shift(state: Column, chunk: Column) -> Column:
+        moved = F.transform(chunk["found"], lambda s: s.withField("start", s["start"] + state["at"]).withField("end", s["end"] + state["at"]))
+        return F.struct((state["at"] + chunk["at"]).alias("at"), F.concat(state["out"], F.array(moved.cast(f"array<{_SPAN}>"))).alias("out"))
+
+    def placed(judged: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(judged), F.lit(CHUNK))
+        chunks = F.transform(starts, lambda i: fold(F.slice(judged, i, CHUNK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out"))
+        return F.flatten(F.aggregate(chunks, start, shift, lambda s: s["out"]))
+
+    return _let(_parts(text, kind), lambda parts: F.when(F.size(parts) > 1, _let(_judged(parts, kind), placed)).otherwise(none))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -109,31 +145,29 @@ def find(docs: DataFrame) -> DataFrame:
     A null text counts as empty and has no spans; repeated rows each get theirs. A column ``pii`` of the input is
     replaced, other columns stay. Whole texts are read whatever their length.
     """
-    held = docs.withColumn("pii", F.array_sort(F.concat(*[_spans(whole("text"), k) for k in KINDS])))
-    scored = F.transform("pii", lambda s: _scored(whole("text"), s))
-    return held.withColumn(
-        "pii", F.filter(scored, lambda s: s["kind"].isin(*BASE) | (s["score"] >= THRESHOLD))
-    )
+    return docs.withColumn("pii", F.array_sort(F.concat(*[_spans(whole("text"), k) for k in KINDS])))
+
+
+def _redacted(text: Column, kind: str) -> Column:
+    def joined(parts: Column) -> Column:
+        tag = F.lit(f"<{kind.upper()}>")
+        return _let(_judged(parts, kind), lambda judged: F.array_join(
+            F.transform(parts, lambda p, i: F.when(F.element_at(judged, i + 1)["hit"], tag).otherwise(p)), ""))
+
+    return _let(_parts(text, kind), lambda parts: F.when(F.size(parts) > 1, joined(parts)).otherwise(text))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; overlaps become one.
+    """``docs`` with every span of ``text`` replaced by its kind in angle brackets, one kind after another.
 
     ``n_chars`` is brought up to date if there is such a column. All rows stay; texts without spans are unchanged.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, span: Column) -> Column:
-        between = F.substring(F.col("text"), state["at"] + 1, span["start"] - state["at"])
-        tag = F.concat(F.lit("<"), F.upper(span["kind"]), F.lit(">"))
-        out = F.when(span["start"] >= state["at"], F.concat(state["out"], F.array(between, tag))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
-
-    tail = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, 2**31 - 1))
-    text = F.when(F.size("pii") > 0, F.aggregate("pii", start, step, tail)).otherwise(F.col("text"))
-    out = find(docs).withColumn("text", text)
+    out = docs.withColumn("__before", F.col("text"))
+    for kind in REDACT_ORDER:
+        out = out.withColumn("text", _redacted(F.col("text"), kind))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        changed = F.col("text") != F.col("__before")
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

@@ -66,8 +66,8 @@ def test_query_against_brute_force(spark):
     assert seen == set(PLAIN)
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.text(alphabet="a1@.+-_ (é☃😀\n0259", max_size=50), min_size=40, max_size=40))
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text(alphabet="a1@.+-_ (é☃😀\n0259", max_size=50), min_size=120, max_size=120))
 def test_random_texts(texts):
     from pyspark.sql import SparkSession
 
@@ -86,7 +86,7 @@ def test_further_kinds_need_checksum_or_context(spark):
 
 
 def test_very_long_runs_stay_linear(spark):
-    n = 200_000
+    n = 30_000
     texts = ["a" * n, "1" * n, "1." * n, "1 " * n, "+1(" * n, "a@" * n, "a.b" * n + "@", "+1" + "(" * n, "x" * n + "@b.c", "A1" * n]
     began = time.time()
     got = found(spark, texts)
