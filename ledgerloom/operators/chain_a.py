@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import money
+from ..lineage import settle
 from ..rules import Rules
 from .results import EVIDENCE, EXCEPTION, GROUP, MEMBER, STATE, Found, shaped
 
@@ -108,7 +109,7 @@ def decide(ledger: DataFrame, psp: DataFrame, blocked: DataFrame, as_of: date, r
 
 
 def chain_a(ledger: DataFrame, psp: DataFrame, blocked: DataFrame, hints: DataFrame | None, as_of: date, rules: Rules = Rules()) -> Found:
-    pairs = decide(ledger, psp, blocked, as_of, rules)
+    pairs = settle(decide(ledger, psp, blocked, as_of, rules), "pairs")
     failed = ~F.col("status").isin("MATCHED", "PENDING")
     key = F.when(failed, F.col("key"))
     group = F.when(F.col("status") == "MATCHED", F.col("key"))

@@ -152,7 +152,9 @@ def _competing(lines: DataFrame, rules: Rules) -> DataFrame:
 def by_reference(linked: DataFrame, rules: Rules) -> Found:
     """linked: comp, batch and line columns of every link of a good settlement with a free line."""
     batches = linked.select("comp", "batch_id", *(F.col(c).alias(f"s_{c}") for c in ACCOUNT), "net", "settlement_date").distinct()
+    batches = settle(batches, "batches")
     lines = linked.select("comp", "bank_id", *(F.col(f"k_{c}") for c in ACCOUNT), "amount", "value_date").distinct()
+    lines = settle(lines, "named-lines")
     places = batches.select("comp", F.col("s_bank_account").alias("a"), F.col("s_currency").alias("c")).unionByName(
         lines.select("comp", F.col("k_bank_account").alias("a"), F.col("k_currency").alias("c"))
     )
@@ -237,11 +239,12 @@ def _failed_references(shape: DataFrame, batches: DataFrame, lines: DataFrame) -
         .otherwise("the amounts or dates do not fit."),
     )
     failed = bad.join(batches, "comp").withColumns({"status": status, "amount": amount, "text": text, "rule": _lookup("verdict", 0)})
-    failed = failed.withColumn("currency", F.col("s_currency"))
+    failed = settle(failed.withColumn("currency", F.col("s_currency")), "failed")
     out = settlement_failures(failed)
     held = bad.select("comp", "verdict", "first_batch").join(lines, "comp").withColumns({
         "status": _lookup("verdict", 1), "rule": _lookup("verdict", 0), "currency": F.col("k_currency"), "claimed_by": F.col("first_batch"),
     })
+    held = settle(held, "held")
     out.states.append(line_states(held))
     shown = bad.select("comp", "verdict").join(batches.select("comp", "batch_id"), "comp").join(lines.select("comp", "bank_id"), "comp")
     out.evidence.append(shaped(shown, EVIDENCE, case_key=stl_key("batch_id"), record_type="bank", record_id=F.col("bank_id"), role=_lookup("verdict", 2)))
@@ -256,7 +259,9 @@ def _matched_references(shape: DataFrame, single: DataFrame, batches: DataFrame,
     left = head.join(batches, "comp").withColumn("currency", F.col("s_currency"))
     named = single.select("comp", "bank_id", "exact")
     right = head.join(lines, "comp").join(named, ["comp", "bank_id"]).where("verdict <> 'b1' OR exact").withColumn("currency", F.col("k_currency"))
+    left = settle(left, "left")
     right = right.dropDuplicates(["comp", "bank_id"])  # a merged line is linked once to each of its settlements
+    right = settle(right, "right")
     keys = left.groupBy("comp").agg(F.sort_array(F.collect_list("batch_id")).alias("first_key"), F.min("currency").alias("currency"))
     # a component's lines, at most max_ref_group unless a single one matched
     banks = lines.groupBy("comp").agg(F.sort_array(F.collect_list("bank_id")).alias("second_key"))
@@ -267,6 +272,7 @@ def _matched_references(shape: DataFrame, single: DataFrame, batches: DataFrame,
     extra = extra.join(left.select("comp", "batch_id"), "comp")
     why = F.concat(F.lit("Bank line "), F.col("bank_id"), F.lit(" also names "), F.col("batch_id"), F.lit(", which is matched in full; possibly paid twice."))
     extra = extra.withColumns({"status": F.lit("DUPLICATE_REFERENCE_CREDIT"), "rule": F.lit("B-X8_DUP_REF"), "currency": F.col("k_currency"), "text": why})
+    extra = settle(extra, "extra")
     more = line_failures(extra)
     more.evidence.append(shaped(extra, EVIDENCE, case_key=bank_key("bank_id"), record_type="settlement", record_id=F.col("batch_id"), role="referenced"))
     out.add(more)
@@ -290,17 +296,20 @@ def by_amount(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> Found:
     paired = of_s.where("degree = 1").join(lone, "bank_id")
     rule = "B3_AMOUNT_DATE_UNIQUE"
     pair = paired.withColumns({"group_key": F.concat(F.lit("B|U:"), F.col("bank_id")), "rule": F.lit(rule)})
+    pair = settle(pair, "pair")
     text = F.concat(F.lit("Net "), _named_money("net"), F.lit(" of "), F.col("batch_id"), F.lit(" and bank line "), F.col("bank_id"),
                     F.lit(" are the only candidates for each other in the window."))
     groups = pair.withColumns({"phase": F.lit(2), "first_key": F.array("bank_id"), "second_key": F.array("batch_id"), "text": text})
     out = matches(groups, pair, pair)
-    unsure = of_s.join(paired.select("batch_id"), "batch_id", "left_anti").withColumns({
+    unsure = of_s.join(pair.select("batch_id"), "batch_id", "left_anti").withColumns({
         "status": F.lit("AMBIGUOUS_CANDIDATES"), "rule": F.lit("B-X4_AMBIGUOUS"), "amount": F.col("net"),
         "text": F.concat(F.lit("Settlement "), F.col("batch_id"), F.lit(" of net "), _named_money("net"), F.lit(" has "),
                          F.col("degree").cast("string"), F.lit(" bank line(s) of its amount in the window, and they or it have other candidates.")),
     })
+    unsure = settle(unsure, "unsure")
     out.add(settlement_failures(unsure))
-    lines = of_k.join(paired.select("bank_id"), "bank_id", "left_anti").withColumns({"status": F.lit("AMBIGUOUS"), "rule": F.lit("B-X4_AMBIGUOUS")})
+    lines = of_k.join(pair.select("bank_id"), "bank_id", "left_anti").withColumns({"status": F.lit("AMBIGUOUS"), "rule": F.lit("B-X4_AMBIGUOUS")})
+    lines = settle(lines, "unsure-lines")
     out.states.append(line_states(lines))
     shown = spread(unsure, "settlement_date", -rules.window_before, rules.window_after).select(*key, "day", "batch_id").join(
         k.select(*key, F.col("value_date").alias("day"), F.col("bank_id").alias("line")), [*key, "day"])
@@ -359,6 +368,7 @@ def suggest(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> tuple[Found,
         "text": F.concat(F.lit("Settlements "), F.array_join("batches", " + "), F.lit(" add up to bank lines "), F.array_join("lines", " + "),
                          F.lit(" by amount alone; a suggestion for review.")),
     })
+    told = settle(told, "told")
     out = settlement_failures(told)
     out.evidence.append(shaped(told.select("batch_id", F.explode("lines").alias("line")), EVIDENCE, case_key=stl_key("batch_id"),
                                record_type="bank", record_id=F.col("line"), role="suggested_counterpart"))
@@ -369,7 +379,7 @@ def suggest(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> tuple[Found,
         .join(found, "place").join(decided, "place", "left").join(free_k, "bank_id")
         .withColumns({"claimed_by": F.coalesce("decided", F.element_at("batches", 1)), "status": F.lit("SUGGESTED"), "rule": F.lit("B4_AMOUNT_GROUP_SUGGESTION")})
     )
-    out.states.append(line_states(lines))
+    out.states.append(line_states(settle(lines, "suggested-lines")))
     return out, settle(merged.where("many").select(F.col("id").alias("bank_id")), "capped")
 
 

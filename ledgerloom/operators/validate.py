@@ -20,8 +20,18 @@ REQUIRED = {
 OPTIONAL = {"ledger": ["description"], "psp": [], "bank": ["description"]}
 
 
+def _prepared(raw: DataFrame, source: str, *amounts: str) -> DataFrame:
+    """Cells without outer white space and parsed amounts, each computed once, beside the raw columns."""
+    cells = raw.withColumns({f"__{c}": stripped(F.col(c)) for c in REQUIRED[source]})
+    return cells.withColumns({f"__{c}_minor": parse_amount(F.col(f"__{c}")) for c in amounts})
+
+
 def _cell(name: str) -> Column:
-    return stripped(F.col(name))
+    return F.col(f"__{name}")
+
+
+def _minor(name: str) -> Column:
+    return F.col(f"__{name}_minor")
 
 
 def _first(*rules: tuple[Column, str]) -> Column:
@@ -49,12 +59,12 @@ def _currency() -> list[tuple[Column, str]]:
 
 
 def _amount(name: str) -> list[tuple[Column, str]]:
-    return [(parse_amount(F.col(name)).isNull(), "BAD_AMOUNT")]
+    return [(_minor(name).isNull(), "BAD_AMOUNT")]
 
 
 def ledger(raw: DataFrame) -> DataFrame:
     """Text columns of a ledger file -> parsed columns and ``reason`` (null if the row is good)."""
-    kind, gross = F.upper(_cell("event_type")), parse_amount(F.col("gross_amount"))
+    kind, gross = F.upper(_cell("event_type")), _minor("gross_amount")
     reason = _first(
         *_currency(),
         (kind == "", "MISSING_VALUE"),
@@ -68,8 +78,8 @@ def ledger(raw: DataFrame) -> DataFrame:
         *_ident("merchant_account"),
         *_date("event_date"),
     )
-    return raw.select(
-        "*",
+    return _prepared(raw, "ledger", "gross_amount").select(
+        *[F.col(c) for c in raw.columns],
         _cell("ledger_entry_id").alias("record_id"),
         kind.alias("kind"),
         _cell("business_ref").alias("ref"),
@@ -85,7 +95,7 @@ def ledger(raw: DataFrame) -> DataFrame:
 def psp(raw: DataFrame) -> DataFrame:
     """Text columns of a provider file -> parsed columns and ``reason``."""
     kind = F.lower(_cell("type"))
-    gross, fee, net = (parse_amount(F.col(f"{x}_amount")) for x in ("gross", "fee", "net"))
+    gross, fee, net = (_minor(f"{x}_amount") for x in ("gross", "fee", "net"))
     batch, day, account = (_cell(x) for x in ("settlement_batch_id", "settlement_date", "bank_account"))
     sign = ((kind == "charge") & (gross <= 0)) | ((kind == "refund") & (gross >= 0)) | ((kind == "fee") & (gross != 0))
     reason = _first(
@@ -109,8 +119,8 @@ def psp(raw: DataFrame) -> DataFrame:
         *_date("created_date"),
         *_date("available_on"),
     )
-    return raw.select(
-        "*",
+    return _prepared(raw, "psp", "gross_amount", "fee_amount", "net_amount").select(
+        *[F.col(c) for c in raw.columns],
         _cell("psp_txn_id").alias("record_id"),
         kind.alias("kind"),
         _cell("business_ref").alias("ref"),
@@ -130,13 +140,13 @@ def psp(raw: DataFrame) -> DataFrame:
 
 def bank(raw: DataFrame) -> DataFrame:
     """Text columns of a bank file -> parsed columns and ``reason``."""
-    amount = parse_amount(F.col("amount"))
+    amount = _minor("amount")
     reason = _first(
         *_currency(), *_amount("amount"), (amount == 0, "BAD_AMOUNT"), *_ident("bank_txn_id"), *_ident("bank_account"),
         *_date("value_date"),
     )
-    return raw.select(
-        "*",
+    return _prepared(raw, "bank", "amount").select(
+        *[F.col(c) for c in raw.columns],
         _cell("bank_txn_id").alias("record_id"),
         _cell("bank_account").alias("account"),
         F.upper(_cell("currency")).alias("cur"),

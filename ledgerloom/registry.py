@@ -1,11 +1,201 @@
-"""The engine's queries and their SQL."""
+"""The engine's queries over the derived views, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracle, views
+from .functions.money import fmt_minor, parse_amount, to_plain
+from .functions.text import csv_safe
+from .lineage import settle
+from .operators import asof, chain_b, dedupe, validate
+from .operators.settlements import bridge
+from .plans import cases, summary
+from .plans.engine import Inputs, Outcome, reconcile, violations
+
+Query = Callable[[SparkSession, str], DataFrame]
+EARLIER = views.AS_OF.replace(day=20)
+
+
+@lru_cache(maxsize=16)
+def _sides(app: str, sf_dir: str, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(settle(f(spark, sf_dir), f.__name__) for f in (views.ledger, views.psp, views.bank))
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ledger, provider and bank records, written once per session and directory."""
+    return _sides(spark.sparkContext.applicationId, sf_dir, spark)
+
+
+@lru_cache(maxsize=16)
+def _outcome(app: str, sf_dir: str, spark: SparkSession, as_of) -> Outcome:
+    return reconcile(Inputs(*sides(spark, sf_dir), as_of))
+
+
+def outcome(spark: SparkSession, sf_dir: str, as_of=views.AS_OF) -> Outcome:
+    """A run of the engine; its frames are tables, so that queries share them."""
+    return _outcome(spark.sparkContext.applicationId, sf_dir, spark, as_of)
+
+
+def _of(f: Callable[[Outcome], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(outcome(spark, sf_dir))
+
+
+def _states(where: str) -> Query:
+    return _of(lambda o: o.states.where(where).select("record_type", "record_id", "status", "currency", "amount_minor", "rule"))
+
+
+def _cases(where: str) -> Query:
+    return _of(lambda o: o.exceptions.where(where).select("case_key", "case_type", "rule", "currency", "amount_minor", "anchor_date"))
+
+
+def _groups(where: str) -> Query:
+    return _of(lambda o: o.groups.where(where).join(o.members, "group_id").select("group_id", "rule", "currency", "left_total", "side", "record_id", F.col("amount_minor")))
+
+
+def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger view as file text, with faults that depend on the key; some rows come twice."""
+    k = F.expr("cast(substring(record_id, 3) as bigint)")
+    rows = sides(spark, sf_dir)[0].withColumn("k", k)
+    text = (
+        F.when(k % 173 == 1, "12.345").when(k % 173 == 2, "1e3").when(k % 173 == 3, "")
+        .otherwise(to_plain(F.col("gross_minor")))
+    )
+    one = rows.select(
+        "k", F.lit(0).alias("copy"), F.col("record_id").alias("ledger_entry_id"), F.col("event_type"),
+        F.when(k % 191 == 6, F.concat("business_ref", F.lit("|x"))).otherwise(F.col("business_ref")).alias("business_ref"),
+        F.coalesce("original_ref", F.lit("")).alias("original_ref"), "merchant_account",
+        F.when(k % 181 == 5, "JPY").otherwise(F.col("currency")).alias("currency"), text.alias("gross_amount"),
+        F.when(k % 179 == 4, "2026-13-01").otherwise(F.col("event_date").cast("string")).alias("event_date"), "gross_minor",
+    )
+    k = F.col("k")
+    again = one.where((k % 193 == 7) | (k % 197 == 8)).withColumn("copy", F.lit(1)).withColumn(
+        "gross_amount", F.when(k % 197 == 8, to_plain(F.col("gross_minor") + 1)).otherwise(F.col("gross_amount"))
+    )
+    return one.unionByName(again).drop("gross_minor")
+
+
+def ledger_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.ledger(raw_ledger(spark, sf_dir)).select(
+        "k", F.col("copy").cast("bigint"), F.coalesce("reason", F.lit("")).alias("reason"),
+        F.when(F.col("reason").isNull(), F.col("gross_minor")).alias("gross_minor"),
+        F.when(F.col("reason").isNull(), F.col("event_day")).alias("event_day"),
+    )
+
+
+def ledger_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = validate.ledger(raw_ledger(spark, sf_dir)).where("reason IS NULL")
+    good = validate.records(parsed.withColumn("source_row", F.col("k") * 2 + F.col("copy")), "ledger")
+    found = dedupe.dedupe(good.withColumn("ord", F.col("source_row")))
+    return found.select("record_id", F.col("ord").cast("bigint"), "verdict", F.col("conflicts_with").cast("bigint"))
+
+
+def blocked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_dedupe(spark, sf_dir).where("verdict = 'CONFLICT_RECORD_ID'").select("record_id").distinct()
+
+
+def raw_psp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = sides(spark, sf_dir)[1], F.col("k")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    fee = F.when(k % 173 == 1, F.col("fee_minor") + 1).otherwise(F.col("fee_minor"))
+    return p.select(
+        "k", F.col("record_id").alias("psp_txn_id"), F.when(k % 179 == 4, "payout").otherwise(F.col("type")).alias("type"),
+        F.when(k % 191 == 6, "").otherwise(F.col("business_ref")).alias("business_ref"), "merchant_account", "currency",
+        to_plain(F.col("gross_minor")).alias("gross_amount"), to_plain(fee).alias("fee_amount"), to_plain(F.col("net_minor")).alias("net_amount"),
+        text("created_date").alias("created_date"), F.when(k % 181 == 5, "2026-7-1").otherwise(text("available_on")).alias("available_on"),
+        text("batch_id").alias("settlement_batch_id"), F.when(k % 193 == 7, "").otherwise(text("settlement_date")).alias("settlement_date"),
+        text("bank_account").alias("bank_account"),
+    )
+
+
+def raw_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, n = sides(spark, sf_dir)[2], F.substring("record_id", 10, 8).cast("int") % 101
+    return b.select(
+        F.col("record_id").alias("bank_txn_id"), F.when(n == 1, "").otherwise(F.col("bank_account")).alias("bank_account"),
+        F.lower("currency").alias("currency"), F.when(n == 2, "0.00").when(n == 3, "1,000").otherwise(to_plain(F.col("amount_minor"))).alias("amount"),
+        F.when(n == 4, "").otherwise(F.col("value_date").cast("string")).alias("value_date"), "reference",
+    )
+
+
+def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed and printed amounts of a fixed set of texts, signs and sizes."""
+    m = sides(spark, sf_dir)[1].select(F.col("record_id"), F.col("net_minor"))
+    shown = m.withColumn("plain", to_plain(F.col("net_minor")))
+    return shown.select("record_id", "plain", fmt_minor(F.col("net_minor")).alias("shown"), parse_amount(F.concat(F.lit(" +"), F.abs("net_minor").cast("string"), F.lit(".100 "))).alias("parsed"))
+
+
+def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.when(F.col("k") % 5 == 0, F.concat(F.lit("="), "business_ref")).when(F.col("k") % 5 == 1, F.concat(F.lit("-"), F.col("k").cast("string"))).when(F.col("k") % 5 == 2, F.concat(F.lit("@"), "type")).otherwise(F.col("merchant_account"))
+    return sides(spark, sf_dir)[1].select("record_id", csv_safe(cell).alias("cell"))
+
+
+def case_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What syncing cases of two runs, two days apart, would do."""
+    before = cases.opened(outcome(spark, sf_dir, EARLIER).exceptions, 1)
+    return cases.difference(outcome(spark, sf_dir).exceptions, before).select("case_key", "action")
+
+
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched groups of chain A that the generator's own keys confirm."""
+    o = outcome(spark, sf_dir)
+    pair = o.members.where("group_id LIKE 'A-%'").groupBy("group_id").agg(
+        F.max(F.when(F.col("side") == "L", F.substring("record_id", 3, 20))).alias("l"), F.max(F.when(F.col("side") == "R", F.substring("record_id", 3, 20))).alias("r")
+    )
+    return pair.agg(F.count("*").alias("matched"), F.count_if(F.col("l") != F.col("r")).alias("false_matches"))
+
+
+def queries() -> dict[str, Query]:
+    side = lambda i: lambda spark, sf: sides(spark, sf)[i]
+    on_sides = lambda f: lambda spark, sf: f(*sides(spark, sf))
+    return {
+        "ledger_view": side(0),
+        "psp_view": lambda spark, sf: sides(spark, sf)[1].drop("nation", "k"),
+        "bank_view": side(2),
+        "amount_formats": amounts,
+        "csv_guard": guarded,
+        "ledger_validate": ledger_validate,
+        "psp_validate": lambda spark, sf: validate.psp(raw_psp(spark, sf)).select("k", F.coalesce("reason", F.lit("")).alias("reason")),
+        "bank_validate": lambda spark, sf: validate.bank(raw_bank(spark, sf)).select("record_id", F.coalesce("reason", F.lit("")).alias("reason")),
+        "dedupe_rows": ledger_dedupe,
+        "blocked_records": blocked_records,
+        "import_control_totals": on_sides(summary.control_totals),
+        "input_ranges": on_sides(summary.input_ranges),
+        "default_as_of": on_sides(lambda a, b, c: asof.default_as_of(a, b, c, views.AS_OF)),
+        "as_of_counts": _of(lambda o: o.excluded),
+        "chain_a_status": _states("chain = 'A'"),
+        "chain_a_groups": _groups("chain = 'A'"),
+        "chain_a_exceptions": _cases("chain = 'A'"),
+        "chain_a_account_mismatch": _cases("chain = 'A' AND case_type = 'ACCOUNT_MISMATCH'"),
+        "settlements": _of(lambda o: o.settlements.select("batch_id", "bank_account", "currency", "settlement_date", "gross", "fee", "net", "items", F.coalesce("problem", F.lit("")).alias("problem"))),
+        "settlement_bridge": _of(lambda o: bridge(o.settlements)),
+        "unsettled_items": _states("chain = 'B' AND record_type = 'psp'"),
+        "reference_links": _of(lambda o: chain_b.reference_links(o.bank.withColumnRenamed("record_id", "bank_id"), o.settlements)),
+        "reference_matches": _groups("rule LIKE 'B1%' OR rule LIKE 'B2%'"),
+        "amount_matches": _groups("rule LIKE 'B3%'"),
+        "reference_exceptions": _cases("rule IN ('B-X3_BATCH_PROBLEM', 'B-X7_ACCOUNT_OR_CURRENCY', 'B-X9_DATE', 'B-X10_PARTIAL', 'B-X11_REF_AMOUNT', 'B-X12_REF_GROUP', 'B-X13_COMPLEX')"),
+        "duplicate_credits": _cases("rule = 'B-X8_DUP_REF'"),
+        "ambiguous": _cases("rule = 'B-X4_AMBIGUOUS'"),
+        "group_suggestions": _cases("rule = 'B4_AMOUNT_GROUP_SUGGESTION'"),
+        "leftovers": _cases("rule IN ('B-X5_NO_BANK', 'B-X6_NO_SETTLEMENT')"),
+        "record_status_all": _states("true"),
+        "status_breakdown": _of(lambda o: summary.status_breakdown(o.states)),
+        "side_rollup": _of(lambda o: summary.side_rollup(o.states)),
+        "groups_by_rule": _of(lambda o: summary.groups_by_rule(o.groups)),
+        "exceptions_by_type": _of(lambda o: summary.exceptions_by_type(o.exceptions)),
+        "open_exposure": _of(lambda o: summary.open_exposure(o.exceptions)),
+        "overdue_cases": _of(lambda o: summary.ageing(o.exceptions, views.AS_OF).where("overdue").select("case_key", F.col("age_days").cast("bigint"))),
+        "run_counts": _of(summary.run_counts),
+        "summary_long": _of(summary.long_format),
+        "evidence_rows": _of(lambda o: o.evidence),
+        "case_sync_diff": case_diff,
+        "invariants": _of(violations),
+        "eval_metrics": eval_metrics,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
