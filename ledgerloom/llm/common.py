@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import settle, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "held_out", "settle", "shared_dir", "sized", "table", "utf8", "whole"]
+
 #: A side of a join is broadcast only when it was counted to have at most this many rows.
 BROADCAST_ROWS = 10_000
 
@@ -17,31 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a single-process session without that setting gets a temporary folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` once as a table in the shared folder and read that.
-
-    A lost executor then costs the tasks it ran and never the steps before the table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within the bound, as it is otherwise."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import roots
 from .common import settle, table, utf8
-from .components import roots
 
 RADIUS = 4
 SHINGLE = 4
@@ -59,14 +59,16 @@ def fingerprint(text: bytes | None) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t) for t in utf8(batch.column(1))], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"]
+        )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp long, the fingerprint's bits)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
-    )
+    """(doc_id, text) -> (doc_id, text_hash, fp long, the fingerprint's bits)."""
+    return docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")
+    ).mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp long")
 
 
 def links_in_tables(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -140,6 +142,17 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_link_batches, "u long, v long").distinct()
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """(doc_id, fp) -> (fp, component_id, root): the least id and the least fingerprint reachable from each one."""
+    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-prints")
+    root = roots(link_fingerprints(distinct.select("fp")))
+    member = distinct.join(root.withColumnRenamed("u", "fp"), "fp", "left").select(
+        "fp", "rep", F.coalesce("v", "fp").alias("root")
+    )
+    least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return settle(member.join(least, "root").select("fp", "component_id", "root"), "classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, fingerprint, component_id), one row per input row.
 
@@ -148,33 +161,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     an empty table gives an empty result.
     """
     prints = settle(fingerprints(docs), "prints")
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-prints")
-    root = roots(link_fingerprints(distinct.select("fp")))
-    member = distinct.join(root.withColumnRenamed("u", "fp"), "fp", "left").select(
-        "fp", "rep", F.coalesce("v", "fp").alias("root")
-    )
-    least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = settle(member.join(least, "root").select("fp", "component_id"), "classes")
-    return prints.join(of, "fp").select(
+    return prints.join(classes(prints), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each group the row with the smallest doc_id; rows without id all stay.
-
-    Where rows repeat that doc_id, one of them stays.
-    """
-    found = near_duplicates(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    numbered = docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs.where("doc_id IS NOT NULL")
-    stay = numbered.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").select(*docs.columns)
-    return stay.unionByName(docs.where("doc_id IS NULL"))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    counted = docs.select("doc_id").where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return bool(counted.limit(1).count())
+    """One document of each group, in the columns of ``docs``: the one of the smallest doc_id (null last), of several
+    such the one of the smallest text hash. Ids that unrelated texts share lose none of these."""
+    prints = settle(fingerprints(docs), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash"))
+    keep = prints.join(classes(prints), "fp").groupBy("root").agg(first.alias("k")).select(
+        F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash")
+    )
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__hash") == F.col("keep_hash"))
+    stay = hashed.join(settle(keep, "keep"), same, "left_semi")
+    again = prints.groupBy("doc_id", "text_hash").count().where("count > 1")
+    if again.limit(1).count():  # rows that repeat id and text
+        stay = stay.dropDuplicates(["doc_id", "__hash"])
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

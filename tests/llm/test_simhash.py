@@ -85,3 +85,6 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 6, 7]
     assert kept.where("doc_id IS NULL").count() == 1
+    rows = [(1, "one two three four five"), (1, "quite another text stands here"), (None, "one two three four five")]
+    clash = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(clash.collect()) == sorted(spark.createDataFrame(rows[:2], "doc_id long, text string").collect())
