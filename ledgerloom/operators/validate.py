@@ -164,7 +164,7 @@ CONTENT = {
                "cur": "currency", "gross_minor": "gross_minor", "event_day": "event_date"},
     "psp": {"kind": "type", "ref": "business_ref", "merchant": "merchant_account", "cur": "currency",
             "gross_minor": "gross_minor", "fee_minor": "fee_minor", "net_minor": "net_minor",
-            "created_day": "created_date", "available_day": "available_on", "batch_id": "settlement_batch_id",
+            "created_day": "created_date", "available_day": "available_on", "batch_id": "batch_id",
             "settlement_day": "settlement_date", "account": "bank_account"},
     "bank": {"account": "bank_account", "cur": "currency", "amount_minor": "amount_minor", "value_day": "value_date",
              "memo": "reference"},

@@ -6,6 +6,7 @@ their own event, so readers never see the half of one; cases are versions, of wh
 
 from __future__ import annotations
 
+import hashlib
 import time
 from dataclasses import dataclass
 from datetime import date
@@ -95,7 +96,8 @@ class Store:
         """Load one file: refuse it as a whole, skip it as known, or load its good rows and quarantine the rest."""
         number = self._next("imports", "import_id")
         file = identities(self.spark, path)
-        name, sha = file.select("path", "sha256").first()
+        row = file.select("path", "sha256").first()  # a file without bytes has no row
+        name, sha = row or (path, hashlib.sha256(b"").hexdigest())
         base = {"import_id": number, "source": source, "file_name": name.rsplit("/", 1)[-1], "sha256": sha}
         base |= dict.fromkeys(("rows_read", "rows_loaded", "rows_duplicate", "rows_quarantined"), 0) | {"totals": "{}"}
 
@@ -107,6 +109,8 @@ class Store:
         known = self.table("imports").where((F.col("sha256") == sha) & F.col("status").isin("LOADED", "PARTIAL")).first()
         if known:
             return ended("DUPLICATE_FILE", f"same content as import {known.import_id}; nothing loaded")
+        if row is None:
+            return ended("REJECTED", "empty file")
         rows = settle(scan(file, source), "rows")
         about = rows.where("source_row = 0").agg(F.max("refused").alias("refused"), F.max("unknown").alias("unknown")).first()
         if about.refused:
