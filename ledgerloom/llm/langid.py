@@ -205,11 +205,14 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents in a language that was learnt; rejected are those without text or letters. All columns stay,
-    whatever their names."""
+    """The documents in a language that was learnt; rejected are those without text or letters. Where no language
+    could be learnt, only these go. All columns stay, whatever their names."""
+    model = fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     names = docs.columns
     neutral = [c if c == "text" else f"c{i}" for i, c in enumerate(names)]
-    found = predict(docs.toDF(*neutral), fit(docs), tuple(neutral)).where(F.col("lang_pred") != UNKNOWN)
+    found = predict(docs.toDF(*neutral), model, tuple(neutral)).where(F.col("lang_pred") != UNKNOWN)
     return found.select(*[F.col(n).alias(c) for n, c in zip(neutral, names)])
 
 

@@ -51,6 +51,8 @@ def test_language_of_awkward_rows(spark):
     assert langid.predict(empty(spark), langid.fit(empty(spark))).count() == 0
     kept = langid.keep_known(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 1, 2, 6, 7]
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in langid.keep_known(unlabelled).collect() if r.doc_id) == [1, 1, 2, 6, 7]
 
 
 def test_quality_accuracy_held_out(spark):
