@@ -24,6 +24,8 @@ PASSAGE = 512
 BUCKETS = 512
 HIDDEN = 24
 GATE = 12
+#: Passages whose features are held at a time when scoring.
+BLOCK = 2048
 #: Bound of the training sample: labelled documents in all, and passages of each.
 TRAIN_DOCS = 3000
 TRAIN_PASSAGES = 12
@@ -51,8 +53,11 @@ def features(cut: np.ndarray, own: np.ndarray) -> np.ndarray:
     return root / np.maximum(np.sqrt((root * root).sum(1, keepdims=True)), 1e-9)
 
 
-def _forward(m: Model, x: np.ndarray, of: np.ndarray, n: int):
-    h = np.tanh(x @ m.encode + m.bias)
+def _encode(m: Model, x: np.ndarray) -> np.ndarray:
+    return np.tanh(x @ m.encode + m.bias)
+
+
+def _attend(m: Model, h: np.ndarray, of: np.ndarray, n: int):
     t, s = np.tanh(h @ m.tanh), 1 / (1 + np.exp(-(h @ m.sigm)))
     e = (t * s) @ m.attend
     top = np.full(n, -np.inf)
@@ -61,7 +66,12 @@ def _forward(m: Model, x: np.ndarray, of: np.ndarray, n: int):
     a = w / np.bincount(of, w, n)[of]
     z = np.stack([np.bincount(of, a * h[:, j], n) for j in range(h.shape[1])], axis=1)
     p = 1 / (1 + np.exp(-np.clip(z @ m.out + m.out_bias, -30, 30)))
-    return h, t, s, a, z, p
+    return t, s, a, z, p
+
+
+def _forward(m: Model, x: np.ndarray, of: np.ndarray, n: int):
+    h = _encode(m, x)
+    return h, *_attend(m, h, of, n)
 
 
 def _gradient(m: Model, x: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
@@ -113,9 +123,12 @@ def train(bags: list[list[bytes]], labels: list[int], seed: int = 11) -> Model:
 
 
 def score(model: Model, texts: list[bytes | None]) -> np.ndarray:
-    """Probability of label 1 for every whole text."""
+    """Probability of label 1 for every whole text. Passages are encoded in blocks, so that a very long text needs
+    little more memory than its bytes."""
     cut, of, own = windows([t or b"" for t in texts], PASSAGE, 1)
-    return _forward(model, features(cut, own), of, len(texts))[-1]
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(cut), BLOCK)]
+    hidden = np.concatenate([_encode(model, features(cut[b], own[b])) for b in blocks])
+    return _attend(model, hidden, of, len(texts))[-1]
 
 
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

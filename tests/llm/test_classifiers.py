@@ -84,6 +84,15 @@ def test_attention_gradient():
         assert abs((up - down) / 2e-5 - g[spot]) < 1e-6
 
 
+def test_quality_by_blocks_equals_all_at_once():
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(32, 127, n, dtype=np.uint8)) for n in (0, 1, 700, quality.PASSAGE * quality.BLOCK * 2, 5000)]
+    model = quality.train([], [])
+    cut, of, own = windows(texts, quality.PASSAGE, 1)
+    want = quality._forward(model, quality.features(cut, own), of, len(texts))[-1]
+    assert np.allclose(quality.score(model, texts), want, atol=1e-6)
+
+
 def test_quality_of_awkward_rows(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (4, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
