@@ -121,12 +121,13 @@ class Scorer:
         self.back = np.ascontiguousarray(back.reshape(-1, f)[:, FILTERS:])
 
     def logits(self, cut: np.ndarray) -> np.ndarray:
-        pair = cut[:, :-1].astype(np.int32) << 8 | cut[:, 1:]
         span, model = cut.shape[1] - 3, self.model
         top = np.empty((len(cut), self.front.shape[1]), dtype=np.float32)
         for at in range(0, len(cut), 64):  # stays within the processor's cache
-            answers = self.front[pair[at : at + 64, :span]]
-            answers[:, :, FILTERS:] += self.back[pair[at : at + 64, 2:]]
+            some = cut[at : at + 64]
+            pair = some[:, :-1].astype(np.int32) << 8 | some[:, 1:]
+            answers = self.front[pair[:, :span]]
+            answers[:, :, FILTERS:] += self.back[pair[:, 2:]]
             top[at : at + 64] = answers.max(axis=1)
         return np.maximum(top + model.bias, 0) @ model.out + model.out_bias
 
