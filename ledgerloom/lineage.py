@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Frees the shuffle files of a statement when it ends, instead of when the driver's garbage collector finds them.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a single-process session without it gets a temporary folder of its own."""
@@ -22,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read that; a lost executor costs no earlier step."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", spark.conf.get(_FREE)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
+    return spark.read.schema(df.schema).parquet(path)
