@@ -5,7 +5,8 @@ found from the string alone. Equal strings have equal anchors, so only anchors t
 contexts (the bytes of all strings anchored there) are dealt to shards by anchor. A string starts in one context only.
 
 Matching. A shard of bounded size builds a run-length index of its distinct contexts and streams matching statistics;
-positions with a match of ``length`` bytes or more start repeated strings. An anchor that occurs more than ``HOT``
+positions with a match of ``length`` bytes or more start repeated strings. A text that several rows hold repeats as a
+whole: one of these rows is dealt, and only where it shares an anchor with another text. An anchor that occurs more than ``HOT``
 times would make an unbounded group: its strings are counted by 128-bit digest instead, packed by digest, so no group
 grows with the number of its occurrences.
 """
@@ -18,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ GRAM = 64
 HOT = 400
 SHARD_BYTES = 2_000_000
 CHUNK = 1 << 16
+#: Stands for a text whose own repeats are known already.
+KNOWN = bytes(16)
 
 _U = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 5
@@ -116,16 +120,22 @@ def _context_batches(length: int, buckets: int):
     record = np.dtype([("a", "<u8"), ("b", "<u8"), ("of", "<i4"), ("start", "<i4")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows, tids, hot = [], [], []
-                for tid, text, found in zip(part.column(0).to_pylist(), utf8(part.column(1)), part.column(2).to_pylist()):
+                ends = np.cumsum(pc.list_value_length(part.column(2)).to_numpy()).tolist()
+                los, counts, keys, hots = (c.to_pylist() for c in part.column(2).flatten().flatten())
+                texts = zip(part.column(0).to_pylist(), utf8(part.column(1)), part.column(3).to_pylist(), [0, *ends], ends)
+                for name, text, copied, a, b in texts:
+                    if name == last:  # the join brings a text's copies one after another
+                        continue
+                    last, tid = name, KNOWN if copied else name
                     tids.append(tid)
-                    for f in found:
-                        lo, count = f["lo"], f["count"]
-                        if not f["hot"]:
-                            rows.append((0, f["key"], tid, lo, count, text[lo : lo + count + length - 1]))
+                    for lo, count, key, many in zip(los[a:b], counts[a:b], keys[a:b], hots[a:b]):
+                        if not many:
+                            rows.append((0, key, tid, lo, count, text[lo : lo + count + length - 1]))
                             continue
                         digest = _digests(text, lo, count, length)
                         packed = np.empty(count, record)
@@ -153,27 +163,31 @@ def _context_batches(length: int, buckets: int):
 
 def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs [lo, hi) of sorted distinct numbers."""
+    if not len(starts):
+        return iter(())
     cut = np.flatnonzero(np.diff(starts) != 1) + 1
-    for part in np.split(starts, cut):
-        if len(part):
-            yield int(part[0]), int(part[-1]) + 1
+    return zip(starts[np.r_[0, cut]].tolist(), (starts[np.r_[cut - 1, len(starts) - 1]] + 1).tolist())
 
 
 def match_contexts(groups: list[dict[bytes, list]], length: int) -> list[tuple[bytes, int, int]]:
-    """groups: by anchor, context -> its occurrences (tid, lo). Returns runs (tid, lo, hi) of repeated starts."""
+    """groups: by anchor, context -> its occurrences (tid, lo). Returns runs (tid, lo, hi) of repeated starts, but for
+    texts that are ``KNOWN``."""
     out: list[tuple[bytes, int, int]] = []
     rivals = [(ctx, rows) for g in groups if len(g) > 1 for ctx, rows in g.items()]
     for g in groups:
         for ctx, rows in g.items():
             if len(rows) > 1:  # the whole context recurs
-                out += [(tid, lo, lo + len(ctx) - length + 1) for tid, lo in rows]
+                out += [(tid, lo, lo + len(ctx) - length + 1) for tid, lo in rows if tid != KNOWN]
     if rivals:
         index = RunIndex([ctx for ctx, _ in rivals])
-        hit = index.statistics() >= length
-        for at, size, (_, rows) in zip(index.starts.tolist(), index.lengths.tolist(), rivals):
-            if len(rows) == 1 and hit[at : at + size].any():
+        hits = np.flatnonzero(index.statistics() >= length)  # none starts in the last bytes of a context, so no run crosses
+        spans = list(_runs(hits))
+        of = np.searchsorted(index.starts, [a for a, _ in spans], side="right") - 1
+        for (a, b), i, at in zip(spans, of.tolist(), index.starts[of].tolist()):
+            rows = rivals[i][1]
+            if len(rows) == 1 and rows[0][0] != KNOWN:
                 tid, lo = rows[0]
-                out += [(tid, lo + a, lo + b) for a, b in _runs(np.flatnonzero(hit[at : at + size]))]
+                out.append((tid, lo + a - at, lo + b - at))
     return out
 
 
@@ -193,7 +207,8 @@ def _match_digests(rows: list[tuple[bytes, bytes]]) -> list[tuple[bytes, int, in
     found = every[order[twice]]
     number = {t: i for i, t in enumerate(dict.fromkeys(tids))}
     of = np.array([number[t] for t in tids], dtype=np.int64)[found["of"]]
-    spot = np.unique(of << 32 | found["start"])
+    of, start = of[of != number.get(KNOWN, -1)], found["start"][of != number.get(KNOWN, -1)]
+    spot = np.unique(of << 32 | start)
     names = list(number)
     return [(names[lo >> 32], lo & 0xFFFFFFFF, (lo & 0xFFFFFFFF) + hi - lo) for lo, hi in _runs(spot)]
 
@@ -248,7 +263,9 @@ def covered(marks: list, length: int) -> list[tuple[int, int]]:
 def _spans_batches(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [covered([(m["lo"], m["hi"]) for m in marks or []], length) for marks in batch.column(2).to_pylist()]
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy()).tolist()
+            marks = list(zip(*(c.to_pylist() for c in batch.column(2).flatten().flatten())))
+            spans = [covered(marks[a:b], length) for a, b in zip([0, *ends], ends)]
             kept = []
             for text, cut in zip(utf8(batch.column(1)), spans):
                 edges = [0, *(x for s in cut for x in s), len(text)]
@@ -274,19 +291,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         "tid", F.unhex(F.md5("text"))
     )
     found = texts.select("tid", "text").mapInArrow(_anchor_batches(length), "key long, tid binary, lo int, count int")
-    twice = settle(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    name = F.xxhash64("tid")
+    counted = found.groupBy("key").agg(F.count("*").alias("n"), (F.min(name) == F.max(name)).alias("lone"))
+    twice = settle(counted.where("n > 1"), "anchors")
+    run = F.struct("lo", "count", "key", (F.col("n") > HOT).alias("hot"), "lone")
     of_text = (
         found.join(twice, "key")
         .groupBy("tid")
-        .agg(F.collect_set(F.struct("lo", "count", "key", (F.col("n") > HOT).alias("hot"))).alias("found"))
+        .agg(F.collect_set(run).alias("found"), F.count("*").alias("n"), F.max(F.col("lo") + F.col("count")).alias("hi"))
+        .withColumn("copied", F.col("n") > F.size("found"))  # every copy brings the same runs
     )
-    of_text = settle(of_text, "anchored")
+    met = F.filter("found", lambda x: ~F.col("copied") | ~x["lone"])
+    of_text = settle(of_text.select("tid", F.transform(met, lambda x: x.dropFields("lone")).alias("found"), "copied", "hi"), "anchored")
     buckets = 4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = texts.join(of_text, "tid").select("tid", "text", "found").mapInArrow(_context_batches(length, buckets), _DEALT)
+    dealt = (
+        texts.join(of_text.where(F.size("found") > 0), "tid")
+        .select("tid", "text", "found", "copied")
+        .mapInArrow(_context_batches(length, buckets), _DEALT)
+    )
     marks = (
         dealt.repartition("kind", "key")
         .sortWithinPartitions("kind", "key")
         .mapInArrow(_match_batches(length), "tid binary, lo int, hi int")
+        .union(of_text.where("copied").select("tid", F.lit(0), "hi"))
     )
     marks = settle(marks.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("marks")), "marks")
     return texts.join(marks, "tid", "left").select("doc_id", "text", "marks").mapInArrow(
