@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import roots
+from . import nearcopies
 from .common import settle, table, utf8
 
 RADIUS = 4
@@ -167,13 +168,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, in the columns of ``docs``: the one of the smallest doc_id (null last), of several
-    such the one of the smallest text hash. Ids that unrelated texts share lose none of these."""
-    prints = settle(fingerprints(docs), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash"))
-    keep = prints.join(classes(prints), "fp").groupBy("root").agg(first.alias("k")).select(
-        F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash")
-    )
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more; not the query's
+    fingerprints), in the columns of ``docs``: the one of the smallest doc_id (null last), of several such the one of
+    the smallest text hash. Ids that unrelated texts share lose none of these."""
+    prints = settle(nearcopies.prints(docs), "near-prints")
+    first = F.min(F.struct(F.col("keep_id").isNull().alias("late"), "keep_id", "keep_hash"))
+    keep = nearcopies.groups(docs, prints).groupBy("root").agg(first.alias("k")).select("k.keep_id", "k.keep_hash")
     hashed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__hash") == F.col("keep_hash"))
     stay = hashed.join(settle(keep, "keep"), same, "left_semi")
