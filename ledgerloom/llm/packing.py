@@ -27,7 +27,6 @@ WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 2048
 SHARD_TOKENS = 4_000_000
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 CACHE_WORDS = 400_000
 
@@ -110,10 +109,9 @@ class Index:
         self.impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
 
     def neighbours(self, seed: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by score for the seed's rarest shared terms, best first, ties by position."""
+        """Unused documents by the BM25 score of all of the seed's terms, best first, ties by position."""
         terms = np.unique(seed)
-        shared = terms[self.df[terms] > 1]
-        query = shared[np.argsort(self.df[shared], kind="stable")[:QUERY_TERMS]]
+        query = terms[self.df[terms] > 0]
         if not len(query):
             return query.astype(np.int64)
         spans = [slice(self.at[t], self.at[t + 1]) for t in query.tolist()]

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -70,6 +70,27 @@ def test_neighbours_share_rare_terms():
     assert 2 not in index.neighbours(docs[0], np.array([True, True, False, True]))
 
 
+def test_neighbours_score_every_term_of_long_seeds():
+    """Documents of hundreds of terms: order and members as BM25 by its formula over all terms."""
+    rng = np.random.default_rng(1)
+    docs = [(rng.zipf(1.3, rng.integers(300, 1500)) % 4000).astype(np.uint16) for _ in range(60)]
+    index, n, mean = packing.Index(docs), len(docs), np.mean([len(d) for d in docs])
+    held = [dict(zip(*np.unique(d, return_counts=True))) for d in docs]
+    df = Counter(t for h in held for t in h)
+
+    def score(seed, i):
+        norm = 1.2 * (1 - 0.75 + 0.75 * len(docs[i]) / mean)
+        terms = set(seed.tolist()) & set(held[i])
+        return sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * held[i][t] * 2.2 / (held[i][t] + norm) for t in terms)
+
+    for seed in range(0, 60, 7):
+        assert len(np.unique(docs[seed])) > 100
+        unused = np.arange(n) != seed
+        scores = [score(docs[seed], i) for i in range(n)]
+        want = sorted((i for i in range(n) if unused[i] and scores[i] > 0), key=lambda i: (-scores[i], i))
+        assert index.neighbours(docs[seed], unused).tolist() == want
+
+
 def test_packing_is_lexical():
     rng = np.random.default_rng(0)
     topics = [rng.integers(1000 * t, 1000 * t + 40, 100).astype(np.uint16) for t in range(4) for _ in range(10)]
