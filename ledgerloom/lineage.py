@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Frees the shuffle files of a statement when it ends, instead of when the driver's garbage collector finds them.
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_lock = threading.Lock()
+_writers = {"now": 0, "before": None}
+_scopes = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a single-process session without it gets a temporary folder of its own."""
@@ -23,13 +30,63 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """The session frees shuffle files early while any thread is within; then its own setting holds again."""
+    with _lock:
+        if not _writers["now"]:
+            _writers["before"] = spark.conf.get(_FREE, None)
+            spark.conf.set(_FREE, "true")
+        _writers["now"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers["now"] -= 1
+            if not _writers["now"]:
+                if _writers["before"] is None:
+                    spark.conf.unset(_FREE)
+                else:
+                    spark.conf.set(_FREE, _writers["before"])
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read that; a lost executor costs no earlier step."""
     spark = df.sparkSession
-    path, before = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", spark.conf.get(_FREE)
-    spark.conf.set(_FREE, "true")
-    try:
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if stack := getattr(_scopes, "stack", None):
+        stack[-1].append(path)
+    with _freeing(spark):
         df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables settled inside are deleted at the end, but for those passed to the function that this gives: they belong
+    to the scope around. What leaves the scope must read kept tables only."""
+    if not hasattr(_scopes, "stack"):
+        _scopes.stack = []
+    stack, kept = _scopes.stack, []
+    stack.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._settled_at)
+        return df
+
+    try:
+        yield keep
     finally:
-        spark.conf.set(_FREE, before)
-    return spark.read.schema(df.schema).parquet(path)
+        own = stack.pop()
+        if stack:
+            stack[-1].extend(p for p in own if p in kept)
+        for path in own:
+            if path not in kept:
+                drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
