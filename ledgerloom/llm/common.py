@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import settle, shared_dir
+from ..lineage import scratch, settle, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "held_out", "settle", "shared_dir", "sized", "table", "utf8", "whole"]
+__all__ = ["BROADCAST_ROWS", "held_out", "scratch", "settle", "shared_dir", "sized", "table", "utf8", "whole"]
 
 #: A side of a join is broadcast only when it was counted to have at most this many rows.
 BROADCAST_ROWS = 10_000

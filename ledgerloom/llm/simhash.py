@@ -1,10 +1,14 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Fingerprints within ``radius`` bits agree wholly on at least two of six blocks of bits, so each distinct
-fingerprint is dealt to the 15 tables of block pairs. A table row holds its Hamming distances to many reference
-fingerprints (pivots). The triangle inequality makes the maximum coordinate difference of two rows a lower bound
-of their distance: pairs beyond the radius by that bound are discarded, only survivors are verified. Rows of a
-table are ordered by the first pivot's distance, so a scan stops where that coordinate alone exceeds the radius.
+A distinct fingerprint's Hamming distances to many reference fingerprints (pivots) are computed once and stored with
+it. The triangle inequality makes the maximum coordinate difference of two such rows a lower bound of their distance:
+pairs beyond the radius by that bound are discarded, only survivors are verified.
+
+Distances to random pivots lie close together, so pivots alone can't deal rows out. Fingerprints within four bits agree
+wholly on at least k of k + 4 blocks of bits: each distinct fingerprint is dealt to the tables of all sets of k blocks.
+k grows with the number of fingerprints (15 tables of 20 bits or more, then 35 of 27, then 70 of 32), so that few rows
+share a key at any size; every k finds every pair. Within a table's key, rows are ordered by the first pivot's distance,
+so a scan stops where that coordinate alone exceeds the radius.
 """
 
 from __future__ import annotations
@@ -19,15 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import roots
+from ..operators.counted import join_counted
 from . import nearcopies
-from .common import settle, table, utf8
+from .common import scratch, settle, table, utf8
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Blocks of bits; two of six stay equal when four bits differ.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 PIVOTS = 16
+#: k is the least of these that leaves so many fingerprints a key on average, or else the last.
+EQUAL_BLOCKS, KEY_ROWS = (2, 3, 4), 16
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _MASK64 = (1 << 64) - 1
@@ -72,13 +77,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ).mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp long")
 
 
-def links_in_tables(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Spanning links (row, row) of the pairs within ``radius`` that share a key.
+def pivot_distances(fps: np.ndarray) -> np.ndarray:
+    """(fingerprints, pivots): the precomputed coordinates."""
+    return np.stack([np.bitwise_count(fps ^ p) for p in pivots()], axis=1).astype(np.uint8)
+
+
+def _pivot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = pivot_distances(batch.column(0).to_numpy().view(np.uint64))
+        coordinates = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PIVOTS), len(rows), [None, pa.py_buffer(rows.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), coordinates.cast(pa.binary())], ["fp", "far"])
+
+
+def links_in_tables(key: np.ndarray, fps: np.ndarray, far: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Spanning links (row, row) of the pairs within ``radius`` that share a key; ``far``: their pivot distances.
 
     Rows must be sorted by key and then by distance to the first pivot.
     """
     n = len(key)
-    tables = np.stack([np.bitwise_count(fps ^ p) for p in pivots()], axis=1).astype(np.int16)
+    tables = far.astype(np.int16)
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     end = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
     label, links = np.arange(n), []
@@ -107,62 +124,89 @@ def links_in_tables(key: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> l
 
 
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found(key, fps):
-        pairs = np.array(links_in_tables(key, fps.view(np.uint64)), dtype=np.int64).reshape(-1, 2)
+    def found(held):
+        key, fps, far = (np.concatenate(c) for c in zip(*held))
+        pairs = np.array(links_in_tables(key, fps.view(np.uint64), far), dtype=np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(fps[pairs[:, 0]]), pa.array(fps[pairs[:, 1]])], ["u", "v"])
 
-    key = fps = np.empty(0, np.int64)
+    held: list[tuple] = []  # rows of whole keys, but for the last one, which may go on
     for batch in batches:
-        # keys of different tables differ in their top bits, so the pair (table, key) is one sortable number
-        key, fps = np.r_[key, batch.column(0).to_numpy()], np.r_[fps, batch.column(1).to_numpy()]
-        if len(key) and key[0] != key[-1]:
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
-            yield found(key[:cut], fps[:cut])
-            key, fps = key[cut:], fps[cut:]
-    if len(key):
-        yield found(key, fps)
-
-
-def _tables() -> list:
-    """Columns (key) of the block-pair tables: table number in the top bits, the pair's bits below."""
+        key = batch.column(0).to_numpy()
+        if not len(key):
+            continue
+        far = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, PIVOTS)
+        now = (key, batch.column(1).to_numpy(), far)
+        last = int(np.searchsorted(key, key[-1]))
+        if held and key[0] == key[-1] == held[-1][0][-1]:
+            held.append(now)
+            continue
+        held.append(tuple(c[:last] for c in now))
+        yield found(held)
+        held = [tuple(c[last:] for c in now)]
+    if held:
+        yield found(held)
+
+
+def blocks(equal: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the ``equal + RADIUS`` blocks that 64 bits are cut into."""
+    edges = [64 * i // (equal + RADIUS) for i in range(equal + RADIUS + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def equal_blocks(count: int) -> int:
+    """How many blocks make a key for ``count`` fingerprints."""
+    bits = lambda k: 64 // (k + RADIUS) * k
+    return next((k for k in EQUAL_BLOCKS if count >> bits(k) <= KEY_ROWS), EQUAL_BLOCKS[-1])
+
+
+def _tables(equal: int) -> list:
+    """Columns (key) of the tables: their number in the top bits, the blocks' bits below."""
     out = []
-    for number, (a, b) in enumerate(combinations(BLOCKS, 2)):
-        take = lambda at, width: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-        out.append(F.lit(number << 22) + F.shiftleft(take(*a), b[1]) + take(*b))
+    for number, chosen in enumerate(combinations(blocks(equal), equal)):
+        key = F.lit(0).cast("long")
+        for at, width in chosen:
+            key = F.shiftleft(key, width) + F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
+        out.append(F.shiftleft(F.lit(number).cast("long"), 56) + key)
     return out
 
 
-def link_fingerprints(distinct: DataFrame) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, equal: int | None = None) -> DataFrame:
     """Distinct (fp) -> links (u, v) that span every group of fingerprints within the radius."""
+    equal = equal or equal_blocks(distinct.count())
     first = int(pivots(1).view(np.int64)[0])
     dealt = (
-        distinct.select(F.explode(F.array(*_tables())).alias("key"), "fp")
+        distinct.select("fp").mapInArrow(_pivot_batches, "fp long, far binary")
+        .select(F.explode(F.array(*_tables(equal))).alias("key"), "fp", "far")
         .repartition("key")
         .sortWithinPartitions("key", F.bit_count(F.col("fp").bitwiseXOR(F.lit(first))))
-    )
+    )
     return dealt.mapInArrow(_link_batches, "u long, v long").distinct()
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """(doc_id, fp) -> (fp, component_id, root): the least id and the least fingerprint reachable from each one."""
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-prints")
-    root = roots(link_fingerprints(distinct.select("fp")))
-    member = distinct.join(root.withColumnRenamed("u", "fp"), "fp", "left").select(
-        "fp", "rep", F.coalesce("v", "fp").alias("root")
-    )
-    least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return settle(member.join(least, "root").select("fp", "component_id", "root"), "classes")
+    """(doc_id, fp) -> (fp, n, component_id, root): how many rows have each fingerprint, and the least id and the
+    least fingerprint reachable from it."""
+    with scratch(prints.sparkSession) as keep:
+        distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct-prints")
+        root = roots(link_fingerprints(distinct.select("fp")))
+        member = distinct.join(root.withColumnRenamed("u", "fp"), "fp", "left").select(
+            "fp", "n", "rep", F.coalesce("v", "fp").alias("root")
+        )
+        member = settle(member, "members")
+        least = member.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"))
+        found = join_counted(member.drop("rep").withColumnRenamed("n", "rows"), least.withColumnRenamed("size", "n"), "root", member.count())
+        return keep(settle(found.select("fp", F.col("rows").alias("n"), "component_id", "root"), "classes"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, fingerprint, component_id), one row per input row.
 
     Null and wordless texts have fingerprint zero and link like any other. Repeated rows each get a row. A row
-    without doc_id gets its component's smallest doc_id, null if no member has one. Other columns are ignored;
-    an empty table gives an empty result.
+    without doc_id gets its component's smallest doc_id, null if no member has one. Other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     prints = settle(fingerprints(docs), "prints")
-    return prints.join(classes(prints), "fp").select(
+    return join_counted(prints, classes(prints), "fp", prints.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -170,17 +214,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more; not the query's
     fingerprints), in the columns of ``docs``: the one of the smallest doc_id (null last), of several such the one of
-    the smallest text hash. Ids that unrelated texts share lose none of these."""
-    prints = settle(nearcopies.prints(docs), "near-prints")
-    first = F.min(F.struct(F.col("keep_id").isNull().alias("late"), "keep_id", "keep_hash"))
-    keep = nearcopies.groups(docs, prints).groupBy("root").agg(first.alias("k")).select("k.keep_id", "k.keep_hash")
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__hash") == F.col("keep_hash"))
-    stay = hashed.join(settle(keep, "keep"), same, "left_semi")
-    again = prints.groupBy("doc_id", "text_hash").count().where("count > 1")
-    if again.limit(1).count():  # rows that repeat id and text
-        stay = stay.dropDuplicates(["doc_id", "__hash"])
-    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
+    the smallest text hash.
+
+    Null and wordless texts are copies of each other. Of rows that repeat id and text one stays. Ids that unrelated
+    texts share lose none of these. All columns keep their values, whatever their names; an empty table stays empty.
+    """
+    with scratch(docs.sparkSession) as kept:
+        prints = settle(nearcopies.prints(docs), "near-prints")
+        first = F.min(F.struct(F.col("keep_id").isNull().alias("late"), "keep_id", "keep_hash"))
+        keep = nearcopies.groups(docs, prints).groupBy("root").agg(first.alias("k")).select("k.keep_id", "k.keep_hash")
+        keep = kept(settle(keep, "keep"))
+        again = prints.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    stay = own.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")), "left_semi")
+    if again:  # rows that repeat id and text
+        stay = stay.dropDuplicates(["id", "hash"])
+    return stay.select("row.*")
 
 
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

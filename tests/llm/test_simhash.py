@@ -57,7 +57,7 @@ def test_links_are_complete():
     fps = np.array(sorted(prints), dtype=np.uint64)
     first = np.bitwise_count(fps ^ simhash.pivots(1)[0])
     fps = fps[np.argsort(first, kind="stable")]
-    links = simhash.links_in_tables(np.zeros(len(fps), np.int64), fps)
+    links = simhash.links_in_tables(np.zeros(len(fps), np.int64), fps, simhash.pivot_distances(fps))
     assert all((int(fps[a]) ^ int(fps[b])).bit_count() <= 4 for a, b in links)
     group = list(range(len(fps)))
     for a, b in links:
@@ -73,10 +73,13 @@ def test_tables_catch_every_pair_within_the_radius(spark):
         a = rng.getrandbits(64)
         pairs += [a, a ^ sum(1 << k for k in rng.sample(range(64), 4))]
     rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(pairs)]
-    keyed = spark.createDataFrame(rows, "n long, fp long").select("n", F.array(*simhash._tables()).alias("keys")).collect()
-    keys = {r.n: set(r["keys"]) for r in keyed}
-    assert all(keys[i] & keys[i + 1] for i in range(0, len(pairs), 2))
-    assert max(len(k) for k in keys.values()) == 15
+    frame = spark.createDataFrame(rows, "n long, fp long")
+    for equal, tables in ((2, 15), (3, 35), (4, 70)):
+        keys = {r.n: set(r["keys"]) for r in frame.select("n", F.array(*simhash._tables(equal)).alias("keys")).collect()}
+        assert all(keys[i] & keys[i + 1] for i in range(0, len(pairs), 2))
+        assert {len(k) for k in keys.values()} == {tables}
+        assert sum(w for _, w in simhash.blocks(equal)) == 64
+    assert [simhash.equal_blocks(n) for n in (0, 10**6, 10**9, 10**12)] == [2, 2, 3, 4]
 
 
 def test_one_of_each_group_stays(spark):
@@ -88,3 +91,20 @@ def test_one_of_each_group_stays(spark):
     rows = [(1, "one two three four five"), (1, "quite another text stands here"), (None, "one two three four five")]
     clash = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(clash.collect()) == sorted(spark.createDataFrame(rows[:2], "doc_id long, text string").collect())
+
+
+def test_extra_columns_with_clashing_names(spark):
+    own = ["keep_id", "keep_hash", "id", "hash", "row", "fp", "root", "n", "text_hash", "__hash", "keys", "bits"]
+    docs = awkward(spark)
+    clash = docs.select("*", *[F.lit(7).alias(c) for c in own if c != "fp"])
+    kept = simhash.keep_one(clash)
+    assert kept.columns == clash.columns and kept.select(*docs.columns).exceptAll(simhash.keep_one(docs)).count() == 0
+    assert kept.where("keep_id = 7 AND `__hash` = 7").count() == simhash.keep_one(docs).count()
+    assert sorted(map(tuple, simhash.near_duplicates(clash).collect()), key=str) == sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=str)
+    assert simhash.keep_one(empty(spark)).count() == 0
+
+
+def test_query_columns(spark):
+    found = simhash.op2_simhash_neardup(spark, DATA)
+    assert found.dtypes == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
+    assert found.count() == table(spark, DATA, "documents").count()
