@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import scratch, settle, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "held_out", "scratch", "settle", "shared_dir", "sized", "table", "utf8", "whole"]
+__all__ = ["BROADCAST_ROWS", "held_out", "sampled", "scratch", "settle", "shared_dir", "sized", "table", "utf8", "whole"]
 
 #: A side of a join is broadcast only when it was counted to have at most this many rows.
 BROADCAST_ROWS = 10_000
@@ -32,6 +32,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce((F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3) == 1, F.lit(False))
 
 
+def sampled(rows: DataFrame, most: int, size: int) -> list[Row]:
+    """rows (h, t: hashes of id and text; text, others) -> at most ``most`` rows, those of the least hashes, less those
+    whose whole texts don't fit into ``size`` bytes any more. The order does not depend on how rows are stored."""
+    bounds, left = [], size
+    for r in rows.select("h", "t", F.octet_length("text").alias("n")).orderBy("h", "t").limit(most).collect():
+        if r.n <= left:
+            left -= r.n
+            bounds.append((r.h, r.t))
+    spark, names = rows.sparkSession, rows.columns
+    few = spark.createDataFrame(bounds, "h long, t long").distinct()  # at most ``most`` rows
+    chosen = rows.join(F.broadcast(few), ["h", "t"]).select(*names).orderBy("h", "t").limit(len(bounds))
+    return chosen.collect()
+
+
 def utf8(column: pa.Array) -> list:
     """The values of a string column as ``bytes`` (None for null)."""
     return column.cast(pa.large_binary()).to_pylist()

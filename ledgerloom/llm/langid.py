@@ -20,17 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewindows import windows
-from .common import held_out, table, utf8
+from .common import held_out, sampled, table, utf8
 
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBED = 8
 WINDOW = 256
 OVERLAP = 3
-#: Bound of the training sample: documents in all, and windows of each.
-TRAIN_DOCS = 2000
-TRAIN_WINDOWS = 3
-EPOCHS = 12
+#: Bounds of the training sample: documents, and bytes of their whole texts.
+TRAIN_DOCS, TRAIN_BYTES = 2000, 4 << 20
+#: Training sees so many windows, every one of the sample's equally often.
+TRAIN_STEPS, BATCH = 900, 64
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -52,10 +52,10 @@ def _mask() -> np.ndarray:
 
 
 def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
-    """Fit on windows of the texts; half of them cropped, so that short texts are seen as well."""
+    """Fit on all windows of the texts; half of them cropped, so that short texts are seen as well. A window weighs as
+    the share of its text, so that a long text counts as much as a short one."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(langs))
-    target = np.array([languages.index(x) for x in langs])
     n_filters, mask = len(WIDTHS) * FILTERS, _mask()
     size = max(1, len(languages))
     params = [
@@ -66,15 +66,17 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
     params[1] *= mask
     if not texts:
         return Model(languages, *params)
-    cut, _, _ = windows([t[:WINDOW] for t in texts], WINDOW)
-    length = np.array([min(len(t), WINDOW) for t in texts])
+    cut, of, length = windows(texts, WINDOW, OVERLAP)
+    target = np.array([languages.index(x) for x in langs])[of]
+    share = 1 / np.sqrt(np.bincount(of)[of])  # between a text's one vote and a window's
+    share /= share.mean()
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
-    steps, batch, rate = 0, 64, 0.01
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
+    steps, rate, epochs = 0, 0.01, max(1, round(TRAIN_STEPS * BATCH / len(cut)))
+    for _ in range(epochs):
+        order = rng.permutation(len(cut))
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
             x = cut[pick].copy()
             keep = np.where(rng.random(len(pick)) < 0.5, rng.integers(12, WINDOW, len(pick)), WINDOW)
             x[np.arange(WINDOW) >= np.minimum(keep, length[pick])[:, None]] = 0
@@ -90,7 +92,7 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), target[pick]] -= 1
-            p /= len(pick)
+            p *= share[pick][:, None].astype(np.float32) / len(pick)
             d_hidden = (p @ out.T) * (top > 0)
             rows = np.arange(len(pick))[:, None]
             chosen = patches[rows, where]  # (batch, filters, 4 * EMBED)
@@ -105,7 +107,7 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 move = (first[i] / (1 - 0.9**steps)) / (np.sqrt(second[i] / (1 - 0.999**steps)) + 1e-8)
                 params[i] = (params[i] - rate * move).astype(np.float32)
-        rate *= 0.85
+        rate *= 0.15 ** (1 / epochs)
     return Model(languages, *params)
 
 
@@ -150,30 +152,18 @@ class Scorer:
         return langs, scores
 
 
-def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to TRAIN_WINDOWS windows of each document, spread over its whole text."""
-    for batch in batches:
-        cut, lang = [], []
-        for text, name in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-            count = max(1, min(TRAIN_WINDOWS, len(text) // WINDOW))
-            for k in range(count):
-                at = (len(text) - WINDOW) * k // max(1, count - 1) if k else 0
-                cut.append(text[at : at + WINDOW])
-                lang.append(name)
-        yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), pa.array(lang, pa.string())], ["text", "lang"])
-
-
 def fit(docs: DataFrame) -> Model:
-    """Learn from at most TRAIN_DOCS documents outside the held-out fold, those of the least id hashes."""
-    usable = docs.where(~held_out() & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").rlike(r"\p{L}"))
-    order = F.xxhash64("doc_id")
-    ids = usable.select(order.alias("h")).orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
-    if ids is None:
-        return train([], [])
-    few = usable.where(order <= ids).select("text", "lang", order.alias("h"))
-    rows = few.orderBy("h").limit(TRAIN_DOCS).select("text", "lang").mapInArrow(_sample_batches, "text binary, lang string")
-    got = sorted((bytes(r["text"]), r["lang"]) for r in rows.collect())
-    return train([t for t, _ in got], [x for _, x in got])
+    """Learn from whole documents outside the held-out fold, in the order of their id hashes: at most TRAIN_DOCS of
+    them, and of these the ones that fit into TRAIN_BYTES.
+
+    A document without language, id, text or letters teaches nothing; an empty ``lang`` is a value like any other. Of
+    rows that share an id each may be learnt from. Where nothing can be learnt there is no language to predict. Other
+    columns are ignored.
+    """
+    usable = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = usable.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.col("text").cast("string"), "lang")
+    got = sampled(rows, TRAIN_DOCS, TRAIN_BYTES)
+    return train([r.text.encode() for r in got], [r.lang for r in got])
 
 
 @lru_cache(maxsize=2)
@@ -197,8 +187,8 @@ def _predict_batches(model: bytes, text_at: int, kept: int):
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(text and the columns ``keep``) -> keep, lang_pred, score. Null texts and texts without a letter are ``und``
-    with score 1; repeated rows each get a row."""
+    """(text and the columns ``keep``) -> keep, lang_pred, score, one row per input row. Null texts and texts without a
+    letter are ``und`` with score 1, as is every text if no language was learnt. Whole texts are read."""
     given = keep if "text" in keep else (*keep, "text")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
     run = _predict_batches(pickle.dumps(model), given.index("text"), len(keep))
@@ -206,8 +196,9 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents in a language that was learnt; rejected are those without text or letters. Where no language
-    could be learnt, only these go. All columns stay, whatever their names."""
+    """The documents that the network gives a language. Rejected are those that have none, without text or letters; a
+    low score rejects nothing, since clean short texts have one too. Where no language could be learnt, the same go.
+    Null ids, repeated rows and an empty table stay as they are. All columns stay, whatever their names."""
     model = fit(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewindows import windows
-from .common import held_out, table, utf8
+from .common import held_out, sampled, table, utf8, whole
 
 PASSAGE = 512
 BUCKETS = 512
@@ -26,9 +26,8 @@ HIDDEN = 24
 GATE = 12
 #: Passages whose features are held at a time when scoring.
 BLOCK = 2048
-#: Bound of the training sample: labelled documents in all, and passages of each.
-TRAIN_DOCS = 3000
-TRAIN_PASSAGES = 12
+#: Bounds of the training sample: labelled documents, and bytes of their whole texts.
+TRAIN_DOCS, TRAIN_BYTES = 3000, 16 << 20
 EPOCHS = 25
 
 
@@ -131,29 +130,22 @@ def score(model: Model, texts: list[bytes | None]) -> np.ndarray:
     return _attend(model, hidden, of, len(texts))[-1]
 
 
-def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document's passages, at most TRAIN_PASSAGES of them, spread over its whole text."""
-    for batch in batches:
-        bags = []
-        for text in utf8(batch.column(0)):
-            parts = [(text or b"")[i : i + PASSAGE] for i in range(0, max(1, len(text or b"")), PASSAGE)]
-            take = np.unique(np.linspace(0, len(parts) - 1, TRAIN_PASSAGES).astype(int))
-            bags.append([parts[i] for i in take])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bags, pa.list_(pa.binary())), batch.column(1), batch.column(2)], ["bag", "quality", "h"]
-        )
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from at most TRAIN_DOCS labelled documents outside the held-out fold, those of the least id hashes."""
+    """Learn from whole labelled documents outside the held-out fold, in the order of their id hashes: at most
+    TRAIN_DOCS of them, and of these the ones that fit into TRAIN_BYTES.
+
+    A label other than 0 and 1 or without id is none; of several labels of an id the larger one counts. A null text is
+    the empty text. Of rows that share an id each may be learnt from. Without any labelled document the model is the
+    untrained one. Other columns are ignored.
+    """
     marked = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     few = marked.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(TRAIN_DOCS)  # the broadcast's bound
-    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(few), "doc_id")
-    chosen = rows.select("text", F.col("quality").cast("int"), "h").mapInArrow(
-        _sample_batches, "bag array<binary>, quality int, h long"
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(few), "doc_id").select(
+        "h", F.xxhash64("text").alias("t"), F.col("quality").cast("int"), whole("text").alias("text")
     )
-    got = sorted((r["h"], [bytes(p) for p in r["bag"]], r["quality"]) for r in chosen.orderBy("h").limit(TRAIN_DOCS).collect())
-    return train([b for _, b, _ in got], [q for _, _, q in got])
+    got = sampled(rows, TRAIN_DOCS, TRAIN_BYTES)
+    cut = lambda t: [t[i : i + PASSAGE] for i in range(0, max(1, len(t)), PASSAGE)]
+    return train([cut(r.text.encode()) for r in got], [r.quality for r in got])
 
 
 @lru_cache(maxsize=2)

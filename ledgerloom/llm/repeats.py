@@ -6,16 +6,21 @@ contexts (the bytes of all strings anchored there) are dealt to shards by anchor
 
 Matching. A shard of bounded size builds a run-length index of its distinct contexts and streams matching statistics;
 positions with a match of ``length`` bytes or more start repeated strings. A text that several rows hold repeats as a
-whole: one of these rows is dealt, and only where it shares an anchor with another text. An anchor that occurs more than ``HOT``
-times would make an unbounded group: its strings are counted by 128-bit digest instead, packed by digest, so no group
-grows with the number of its occurrences.
+whole: one of these rows is dealt, and only where it shares an anchor with another text.
+
+An anchor of many occurrences would make an unbounded group. Its contexts are combined first: of equal ones, which are
+known by a 128-bit digest and repeat as a whole, a count and one representative remain. If more than ``GROUP`` different
+contexts remain, they are split by a longer gram: its least hash in a string deals that string, as the anchor did. The
+parts go through the index, or are split again. The last gram is the string itself, so that the parts of this split hold
+one string each and need no index. What is found for a context holds wherever it occurs; contexts of very many
+occurrences are joined back in place. So no task gathers what grows with a string's occurrences.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table, utf8, whole
+from ..operators.counted import join_counted
+from .common import scratch, settle, table, utf8, whole
 from .rindex import RunIndex
 
 LENGTH = 200
 GRAM = 64
-HOT = 400
+#: The grams that split an anchor's contexts, before the string itself.
+LONGER = (128,)
+#: Contexts that one group of a shard holds at most.
+GROUP = 400
 SHARD_BYTES = 2_000_000
 CHUNK = 1 << 16
 #: Stands for a text whose own repeats are known already.
@@ -107,24 +116,32 @@ def _anchor_batches(length: int):
     return run
 
 
-_DEALT = "kind int, key long, tid binary, lo int, count int, data binary"
+_PIECES = "parent binary, at int, cid binary, key long, count int, data binary"
+_DEALT = _PIECES + ", hot boolean"
+_TYPES = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
 
-def _digests(text: bytes, lo: int, count: int, length: int) -> np.ndarray:
-    """128-bit digests (two columns) of the strings that start in [lo, lo + count)."""
-    data = np.frombuffer(text, dtype=np.uint8)[lo : lo + count + length - 1]
-    return np.stack([gram_hashes(data, length, 1), gram_hashes(data, length, 2)], axis=1)
+def _digests(data: bytes, length: int) -> list[bytes]:
+    """128-bit digest of every string of ``length`` bytes."""
+    whole_ = np.frombuffer(data, dtype=np.uint8)
+    both = np.stack([gram_hashes(whole_, length, 1), gram_hashes(whole_, length, 2)], axis=1)
+    return np.frombuffer(both.tobytes(), dtype="V16").tolist()
 
 
-def _context_batches(length: int, buckets: int):
-    record = np.dtype([("a", "<u8"), ("b", "<u8"), ("of", "<i4"), ("start", "<i4")])
+def _columns(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names)
+
+
+def _context_batches(length: int):
+    """(tid, text, runs, copied) -> the contexts of the runs; those of frequent anchors with their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows, tids, hot = [], [], []
+                rows = []
                 ends = np.cumsum(pc.list_value_length(part.column(2)).to_numpy()).tolist()
                 los, counts, keys, hots = (c.to_pylist() for c in part.column(2).flatten().flatten())
                 texts = zip(part.column(0).to_pylist(), utf8(part.column(1)), part.column(3).to_pylist(), [0, *ends], ends)
@@ -132,31 +149,29 @@ def _context_batches(length: int, buckets: int):
                     if name == last:  # the join brings a text's copies one after another
                         continue
                     last, tid = name, KNOWN if copied else name
-                    tids.append(tid)
-                    for lo, count, key, many in zip(los[a:b], counts[a:b], keys[a:b], hots[a:b]):
-                        if not many:
-                            rows.append((0, key, tid, lo, count, text[lo : lo + count + length - 1]))
-                            continue
-                        digest = _digests(text, lo, count, length)
-                        packed = np.empty(count, record)
-                        packed["a"], packed["b"], packed["of"] = digest[:, 0], digest[:, 1], len(tids) - 1
-                        packed["start"] = np.arange(lo, lo + count)
-                        hot.append(packed)
-                if hot:
-                    packed = np.concatenate(hot)
-                    bucket = (packed["a"] % _U(buckets)).astype(np.int64)
-                    packed = packed[order := np.argsort(bucket, kind="stable")]
-                    ends = np.flatnonzero(np.r_[np.diff(bucket[order]) != 0, True]) + 1
-                    for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
-                        piece = packed[a:b].copy()
-                        own, piece["of"] = np.unique(piece["of"], return_inverse=True)
-                        names = b"".join(tids[i] for i in own.tolist())
-                        rows.append((1, int(bucket[order[a]]), names, 0, 0, piece.tobytes()))
-                columns = list(zip(*rows)) or [()] * 6
-                types = [pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=t) for c, t in zip(columns, types)], ["kind", "key", "tid", "lo", "count", "data"]
-                )
+                    for lo, count, key, hot in zip(los[a:b], counts[a:b], keys[a:b], hots[a:b]):
+                        data = text[lo : lo + count + length - 1]
+                        rows.append((tid, lo, hashlib.md5(data).digest() if hot else None, key, count, data, hot))
+                yield _columns(rows, [*_TYPES, pa.bool_()], ["parent", "at", "cid", "key", "count", "data", "hot"])
+
+    return run
+
+
+def _split_batches(length: int, gram: int):
+    """Contexts (cid, data) -> their strings by the least ``gram`` of each; strings themselves carry no data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for cid, data in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in (0, 1))):
+                    if gram == length:
+                        rows += [(cid, i, bytes(d), 0, 1, None) for i, d in enumerate(_digests(data, length))]
+                        continue
+                    for key, lo, count in zip(*(c.tolist() for c in anchors(data, length, gram))):
+                        part = data[lo : lo + count + length - 1]
+                        rows.append((cid, lo, hashlib.md5(part).digest(), key, count, part))
+                yield _columns(rows, _TYPES, ["parent", "at", "cid", "key", "count", "data"])
 
     return run
 
@@ -191,63 +206,61 @@ def match_contexts(groups: list[dict[bytes, list]], length: int) -> list[tuple[b
     return out
 
 
-def _match_digests(rows: list[tuple[bytes, bytes]]) -> list[tuple[bytes, int, int]]:
-    record = np.dtype([("a", "<u8"), ("b", "<u8"), ("of", "<i4"), ("start", "<i4")])
-    tids, parts = [], []
-    for names, data in rows:
-        piece = np.frombuffer(data, record).copy()
-        piece["of"] += len(tids)
-        tids += [names[i : i + 16] for i in range(0, len(names), 16)]
-        parts.append(piece)
-    every = np.concatenate(parts)
-    order = np.lexsort((every["b"], every["a"]))
-    a, b = every["a"][order], every["b"][order]
-    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    twice = np.r_[same, False] | np.r_[False, same]
-    found = every[order[twice]]
-    number = {t: i for i, t in enumerate(dict.fromkeys(tids))}
-    of = np.array([number[t] for t in tids], dtype=np.int64)[found["of"]]
-    of, start = of[of != number.get(KNOWN, -1)], found["start"][of != number.get(KNOWN, -1)]
-    spot = np.unique(of << 32 | start)
-    names = list(number)
-    return [(names[lo >> 32], lo & 0xFFFFFFFF, (lo & 0xFFFFFFFF) + hi - lo) for lo, hi in _runs(spot)]
-
-
 def _match_batches(length: int):
+    """(key, owner, lo, data) sorted by key -> runs (owner, lo, hi) of repeated starts."""
+
     def table_of(found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found)) or [()] * 3
-        types = [pa.binary(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], ["tid", "lo", "hi"])
+        return _columns(found, [pa.binary(), pa.int32(), pa.int32()], ["tid", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[dict[bytes, list]] = []
-        held, last, digests = 0, None, []
+        held, last = 0, None
         for batch in batches:
-            for kind, key, tid, lo, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5))):
-                if (kind, key) != last:
-                    if digests:
-                        yield table_of(_match_digests(digests))
-                        digests = []
+            for key, owner, lo, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if key != last:
                     if held > SHARD_BYTES:
                         yield table_of(match_contexts(groups, length))
                         groups, held = [], 0
-                    last = (kind, key)
-                    if kind == 0:
-                        groups.append({})
-                if kind:
-                    digests.append((tid, data))
-                else:
-                    rows = groups[-1].setdefault(data, [])
-                    if not rows:
-                        held += len(data)
-                    rows.append((tid, lo))
-        if digests:
-            yield table_of(_match_digests(digests))
+                    last = key
+                    groups.append({})
+                rows = groups[-1].setdefault(data, [])
+                if not rows:
+                    held += len(data)
+                rows.append((owner, lo))
         yield table_of(match_contexts(groups, length))
 
     return run
 
 
+def _matched(contexts: DataFrame, length: int) -> DataFrame:
+    """(key, owner, lo, data), bounded in number per key -> (tid: the owner, lo, hi)."""
+    dealt = contexts.select("key", "owner", "lo", "data").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_match_batches(length), "tid binary, lo int, hi int")
+
+
+def marks_of(pieces: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
+    """Settled pieces (parent, at, cid, key, count, data) -> (tid: the parent, lo, hi), the runs of repeated starts in
+    each parent. ``grams``: what splits the contexts of a key that has too many; none if a context is one string."""
+    n, first = F.count("*").alias("n"), [F.first(c).alias(c) for c in ("key", "count", "data")]
+    with scratch(pieces.sparkSession) as keep:
+        contexts = settle(pieces.groupBy("cid").agg(n, *first), "contexts")
+        found = [contexts.where("n > 1").select("cid", F.lit(0).alias("lo"), F.col("count").alias("hi"))]
+        if grams:
+            of_key = settle(contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+            rivals = join_counted(contexts.select("cid", "key", "data"), of_key, "key", contexts.count())
+            small = rivals.where(F.col("n") <= GROUP).withColumnsRenamed({"cid": "owner"}).withColumn("lo", F.lit(0))
+            found.append(_matched(small, length).toDF("cid", "lo", "hi"))
+            if of_key.where(F.col("n") > GROUP).limit(1).count():
+                many = rivals.where(F.col("n") > GROUP).select("cid", "data")
+                parts = settle(many.mapInArrow(_split_batches(length, grams[0]), _PIECES), "parts")
+                found.append(marks_of(parts, length, grams[1:]).toDF("cid", "lo", "hi"))
+        runs = reduce(DataFrame.union, found).groupBy("cid").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+        runs = settle(contexts.select("cid", "n").join(runs, "cid"), "runs")
+        placed = join_counted(pieces.select("parent", "at", "cid"), runs, "cid", pieces.count())
+        run = placed.select(F.col("parent").alias("tid"), "at", F.explode("runs").alias("r"))
+        return keep(settle(run.select("tid", (F.col("at") + F.col("r.lo")).alias("lo"), (F.col("at") + F.col("r.hi")).alias("hi")), "runs"))
+
+
 def covered(marks: list, length: int) -> list[tuple[int, int]]:
     """Merged byte ranges [a, b) of the strings that start in the runs [lo, hi)."""
     out: list[list[int]] = []
@@ -290,11 +303,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), whole(F.col("text").cast("string")).alias("text")).withColumn(
         "tid", F.unhex(F.md5("text"))
     )
+    with scratch(docs.sparkSession) as keep:
+        marks = keep(settle(_marks(texts, length), "marks"))
+    return texts.join(marks, "tid", "left").select("doc_id", "text", "marks").mapInArrow(
+        _spans_batches(length), "doc_id long, removed array<struct<start: long, end: long>>, kept binary"
+    )
+
+
+def _marks(texts: DataFrame, length: int) -> DataFrame:
+    """(tid, text) -> (tid, marks): the runs of starts of repeated strings, of every text that has some."""
     found = texts.select("tid", "text").mapInArrow(_anchor_batches(length), "key long, tid binary, lo int, count int")
     name = F.xxhash64("tid")
     counted = found.groupBy("key").agg(F.count("*").alias("n"), (F.min(name) == F.max(name)).alias("lone"))
     twice = settle(counted.where("n > 1"), "anchors")
-    run = F.struct("lo", "count", "key", (F.col("n") > HOT).alias("hot"), "lone")
+    run = F.struct("lo", "count", "key", (F.col("n") > GROUP).alias("hot"), "lone")
     of_text = (
         found.join(twice, "key")
         .groupBy("tid")
@@ -303,22 +325,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     met = F.filter("found", lambda x: ~F.col("copied") | ~x["lone"])
     of_text = settle(of_text.select("tid", F.transform(met, lambda x: x.dropFields("lone")).alias("found"), "copied", "hi"), "anchored")
-    buckets = 4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = (
-        texts.join(of_text.where(F.size("found") > 0), "tid")
-        .select("tid", "text", "found", "copied")
-        .mapInArrow(_context_batches(length, buckets), _DEALT)
-    )
-    marks = (
-        dealt.repartition("kind", "key")
-        .sortWithinPartitions("kind", "key")
-        .mapInArrow(_match_batches(length), "tid binary, lo int, hi int")
-        .union(of_text.where("copied").select("tid", F.lit(0), "hi"))
-    )
-    marks = settle(marks.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("marks")), "marks")
-    return texts.join(marks, "tid", "left").select("doc_id", "text", "marks").mapInArrow(
-        _spans_batches(length), "doc_id long, removed array<struct<start: long, end: long>>, kept binary"
-    )
+    with_runs = texts.join(of_text.where(F.size("found") > 0), "tid").select("tid", "text", "found", "copied")
+    dealt = settle(with_runs.mapInArrow(_context_batches(length), _DEALT), "dealt")
+    marks = _matched(dealt.where("NOT hot").withColumnsRenamed({"parent": "owner", "at": "lo"}), length)
+    marks = marks.union(of_text.where("copied").select("tid", F.lit(0), "hi"))
+    frequent = dealt.where("hot").drop("hot")
+    if frequent.limit(1).count():
+        own = marks_of(frequent, length, (*(g for g in LONGER if GRAM < g < length), length))
+        marks = marks.union(own.where(F.col("tid") != F.lit(KNOWN)))
+    return marks.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -85,6 +86,28 @@ def test_hot_passages(spark):
     hold(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_a_line_in_every_document_and_a_string_thousands_of_times(spark, monkeypatch):
+    """Frequent anchors: equal contexts are combined, different ones are split by longer grams, down to the string."""
+    monkeypatch.setattr(repeats, "GROUP", 20)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line, string = " ".join(word() for _ in range(43))[:300], " ".join(word() for _ in range(29))[:200]
+    rows = [(i, f"{word()} {word()}{line}{word()} {word()}") for i in range(300)]
+    rows += [(1000 + i, " ".join(string + word() for _ in range(100))) for i in range(50)]
+    rows += [(2000 + i, line[i % 60 :] + word() * 20) for i in range(200)] + [(2500 + i, word() * 9 + line[: 150 + i]) for i in range(120)]
+    rows += [(3000, rows[7][1]), (3001, rows[7][1]), (3002, line), (3003, line)]
+    hold(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_splits_keep_every_string():
+    rng = random.Random(10)
+    data = bytes(rng.randrange(4) for _ in range(336))
+    for gram in (128, 200):
+        (batch,) = repeats._split_batches(200, gram)(iter([pa.RecordBatch.from_arrays([pa.array([b"c" * 16]), pa.array([data])], ["cid", "data"])]))
+        starts = [at + i for at, n in zip(batch["at"].to_pylist(), batch["count"].to_pylist()) for i in range(n)]
+        assert sorted(starts) == list(range(137))
+
+
 def test_awkward_rows(spark):
     hold(awkward(spark))
     assert repeats.repeated_spans(empty(spark)).count() == 0
