@@ -10,6 +10,7 @@ padding.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,7 @@ END_ID = 1
 SHARD_DOCS = 2048
 SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
+DENSE = 16
 CACHE_WORDS = 400_000
 
 SCHEMA = (
@@ -45,15 +47,21 @@ def _byte_of_symbol() -> dict[str, int]:
 class Tokens:
     """Ids of whole texts under a byte-level BPE file, with a bounded cache of words.
 
-    A space between two other characters always starts a new piece of the vocabulary's splitting pattern, so a text
-    may be cut there and each part looked up by itself. Texts with runs of spaces go to the encoder whole.
+    The strings of added tokens are cut out first, wherever they stand, and have ids of their own. A space between two
+    other characters always starts a new piece of the vocabulary's splitting pattern, so a text may be cut there and
+    each part looked up by itself. Texts with runs of spaces go to the encoder whole.
     """
 
     def __init__(self, path: str, pattern: str):
-        spec = json.load(open(path, encoding="utf-8"))
-        special = {x["content"] for x in spec.get("added_tokens", []) if x.get("special")}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self._added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        if any(x.get(k) for x in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens with conditions on what is around them are not supported")
+        longest = sorted(self._added, key=len, reverse=True)
+        self._cut = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         symbol = _byte_of_symbol()
-        ranks = {bytes(map(symbol.__getitem__, k)): v for k, v in spec["model"]["vocab"].items() if k not in special}
+        ranks = {bytes(map(symbol.__getitem__, k)): v for k, v in spec["model"]["vocab"].items() if k not in self._added}
         self._encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._words: dict[str, bytes] = {}
 
@@ -61,6 +69,12 @@ class Tokens:
         return np.array(self._encoding.encode_ordinary(text), dtype=np.uint16).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
+        if self._cut and self._cut.search(text):
+            parts = enumerate(self._cut.split(text))  # every second part is an added token
+            return np.concatenate([np.array([self._added[p]], np.uint16) if i % 2 else self._plain(p) for i, p in parts if p])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         if "  " in text or text[:1].isspace() or text[-1:].isspace() or len(text) < 2:
             return np.frombuffer(self._exact(text), dtype=np.uint16)
         known, out = self._words, []
@@ -91,7 +105,10 @@ def _tokens(path: str) -> Tokens:
 
 
 class Index:
-    """A shard's BM25 inverted index: postings (document, impact) by token id."""
+    """A shard's BM25 inverted index: postings (document, impact) by token id.
+
+    A term that more than one in DENSE documents hold is kept as a row of impacts, zero where it is absent: adding
+    rows is quicker than scattering long postings."""
 
     def __init__(self, docs: list[np.ndarray]):
         self.n = len(docs)
@@ -100,28 +117,42 @@ class Index:
         pairs.sort()
         starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
         tf = np.diff(np.r_[starts, len(pairs)]).astype(np.float64)
-        self.doc = (pairs[starts] & 2047).astype(np.int64)
-        df = np.bincount(pairs[starts] >> 11, minlength=1 << 16)
-        self.at = np.r_[0, np.cumsum(df)]
-        self.df = df
+        doc, term = (pairs[starts] & 2047).astype(np.int64), (pairs[starts] >> 11).astype(np.int64)
+        df = np.bincount(term, minlength=1 << 16)
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / lengths.mean())
-        self.impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-
-    def neighbours(self, seed: np.ndarray, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by the BM25 score of all of the seed's terms, best first, ties by position."""
+        impact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        dense = df * DENSE > self.n
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1)
+        often = dense[term]
+        self.rows = np.zeros((int(dense.sum()), self.n))
+        self.rows[self.row[term[often]], doc[often]] = impact[often]
+        self.doc, self.impact = doc[~often], impact[~often]
+        self.at = np.r_[0, np.cumsum(np.where(dense, 0, df))]
+
+    def scores(self, seed: np.ndarray) -> np.ndarray:
+        """BM25 of every document by all of the seed's terms."""
         terms = np.unique(seed)
-        query = terms[self.df[terms] > 0]
-        if not len(query):
-            return query.astype(np.int64)
-        spans = [slice(self.at[t], self.at[t + 1]) for t in query.tolist()]
-        score = np.bincount(
-            np.concatenate([self.doc[s] for s in spans]),
-            weights=np.concatenate([self.impact[s] for s in spans]),
-            minlength=self.n,
-        )
+        row = self.row[terms]
+        score = self.rows[row[row >= 0]].sum(axis=0)
+        a, b = self.at[terms[row < 0]], self.at[terms[row < 0] + 1]
+        size = b - a
+        if size.sum():
+            at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+            score += np.bincount(self.doc[at], weights=self.impact[at], minlength=self.n)
+        return score
+
+    def neighbours(self, seed: np.ndarray, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents by the BM25 score of all of the seed's terms, best first, ties by position; sorted as far
+        as they are asked for."""
+        score = self.scores(seed)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        score, count = score[found], 16
+        while len(found):
+            least = np.partition(score, -count)[-count] if count < len(score) else -np.inf
+            best = score >= least
+            yield from found[best][np.argsort(-score[best], kind="stable")].tolist()
+            found, score, count = found[~best], score[~best], 8 * count
 
 
 class Packer:
@@ -183,7 +214,7 @@ class Packer:
                 seed = None
             if self.open and seed is None:
                 seed = pick
-                queue = iter(index.neighbours(ids, unused).tolist())
+                queue = index.neighbours(ids, unused)
 
     def close(self) -> None:
         """Cut the last, short window into sequences of powers of two."""

@@ -15,7 +15,6 @@ from .helpers import DATA, awkward, empty
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 REFERENCE = Tokenizer.from_file(PATH)
-REFERENCE.encode_special_tokens = True
 TOKENS = packing.Tokens(PATH, public_tokenizers.PATTERN)
 
 
@@ -25,6 +24,11 @@ def test_cached_words_give_the_ids_of_the_whole_text(text):
     assert TOKENS.ids(text).tolist() == REFERENCE.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "x<|endoftext|>\n y z", "<|endoftext|"])
+def test_added_tokens_have_ids_of_their_own(text):
+    assert TOKENS.ids(text).tolist() == REFERENCE.encode(text, add_special_tokens=False).ids
+
+
 def hold(docs, window=2048):
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     ids = {d: REFERENCE.encode(t or "", add_special_tokens=False).ids + [1] for d, t in texts}
@@ -66,8 +70,8 @@ def test_awkward_rows(spark):
 def test_neighbours_share_rare_terms():
     docs = [np.array(d, dtype=np.uint16) for d in ([1, 2, 3, 900], [1, 2, 4, 5], [6, 7, 900, 900], [1, 2, 3, 8])]
     index = packing.Index(docs)
-    assert index.neighbours(docs[0], np.ones(4, bool)).tolist()[1:3] in ([2, 3], [3, 2])
-    assert 2 not in index.neighbours(docs[0], np.array([True, True, False, True]))
+    assert list(index.neighbours(docs[0], np.ones(4, bool)))[1:3] in ([2, 3], [3, 2])
+    assert 2 not in list(index.neighbours(docs[0], np.array([True, True, False, True])))
 
 
 def test_neighbours_score_every_term_of_long_seeds():
@@ -88,7 +92,7 @@ def test_neighbours_score_every_term_of_long_seeds():
         unused = np.arange(n) != seed
         scores = [score(docs[seed], i) for i in range(n)]
         want = sorted((i for i in range(n) if unused[i] and scores[i] > 0), key=lambda i: (-scores[i], i))
-        assert index.neighbours(docs[seed], unused).tolist() == want
+        assert list(index.neighbours(docs[seed], unused)) == want
 
 
 def test_packing_is_lexical():
