@@ -11,6 +11,8 @@ start at a run's first character only; what they match is the same.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ NEARBY = {
 NEARBY_SCORE = 0.3
 
 _MARK, _OTHER = "\ue000", "\ue001"
+#: In ``redact`` the two characters stand as pairs that no pattern takes in, and are restored at the end.
+_PAIRS = {_MARK: "\ue001\ue002", _OTHER: "\ue001\ue003"}
 
 
 def _digits(span: Column) -> Column:
@@ -158,17 +162,34 @@ def _redacted(text: Column, kind: str) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in angle brackets, one kind after another.
+    """``docs`` with every span of ``text`` replaced by its kind in angle brackets, one kind after another in
+    REDACT_ORDER; a later kind is judged on the text that the kinds before left.
 
-    ``n_chars`` is brought up to date if there is such a column. All rows stay; texts without spans are unchanged.
+    All rows stay; null, empty and spanless texts are unchanged, and so is every character outside the spans. Whole texts
+    are read whatever their length. ``n_chars`` is brought up to date if there is such a column and the text changed.
+    All other columns keep their values, whatever their names; an empty table stays empty.
     """
-    out = docs.withColumn("__before", F.col("text"))
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("was"))
+    strange = F.col("was").rlike(f"[{_MARK}{_OTHER}]")
+    swap = lambda c, pairs: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
+    # the second character goes first, for the first one's pair holds it
+    paired = swap(F.col("was"), [(_OTHER, _PAIRS[_OTHER]), (_MARK, _PAIRS[_MARK])])
+    work = work.withColumn("now", F.when(strange, paired).otherwise(F.col("was")))
     for kind in REDACT_ORDER:
-        out = out.withColumn("text", _redacted(F.col("text"), kind))
-    if "n_chars" in docs.columns:
-        changed = F.col("text") != F.col("__before")
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        work = work.withColumn("now", _redacted(F.col("now"), kind))
+    restored = swap(F.col("now"), [(v, k) for k, v in _PAIRS.items()])
+    work = work.withColumn("now", F.when(strange, restored).otherwise(F.col("now")))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("now").alias(name)
+        own = F.col(f"row.`{name}`")
+        if name == "n_chars":
+            kind = docs.schema[name].dataType
+            return F.when(F.col("now") != F.col("was"), F.char_length("now")).otherwise(own).cast(kind).alias(name)
+        return own.alias(name)
+
+    return work.select(*[column(c) for c in docs.columns])
 
 
 def _named(spans: Column) -> Column:

@@ -77,7 +77,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
 
     Of calls (results) that share an identifier the earliest by turn, then text, stands; their number is returned.
     status: ``linked``, ``no_result``, ``orphan_result``, ``early_result`` (before its call) or ``cycle``. Rows with
-    a null conv_id or call_id can be linked to nothing and are left out. Empty tables give empty results.
+    a null conv_id or call_id can be linked to nothing and are left out. Null names, arguments and contents are null in
+    the record. Texts are serialised whole, whatever their length. Other columns are ignored, whatever their names.
+    Empty tables give empty results.
     """
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     first = lambda *by: F.min(F.struct(*by))
@@ -122,7 +124,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataF
 
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a chat table: a user turn asks the tool ``answer``, a system turn ``configure``; an
-    assistant turn is the result for the turn before it. A user turn depends on the one two turns earlier."""
+    assistant turn is the result for the turn before it. A user turn depends on the one two turns earlier. Turns of any
+    other role, or of none, call nothing and answer nothing: they give no row. Turns without a conversation or number
+    can't be identified; ``link`` leaves them out."""
     ident = lambda at: F.concat(F.col("conv_id"), F.lit("-"), at)
     arguments = F.to_json(
         F.struct(F.char_length("text").alias("chars"), F.col("text").alias("prompt"), F.col("turn").alias("turn")),

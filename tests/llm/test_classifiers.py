@@ -1,11 +1,14 @@
+import math
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, quality
 from ledgerloom.llm.bytewindows import windows
-from ledgerloom.llm.common import held_out, table
+from ledgerloom.llm.common import held_out, sampled, table
 
-from .helpers import awkward, empty
+from .helpers import DATA, awkward, empty
 
 BIG = "/root/testdata/sf0.1"
 
@@ -93,6 +96,82 @@ def test_quality_by_blocks_equals_all_at_once():
     assert np.allclose(quality.score(model, texts), want, atol=1e-6)
 
 
+def plain_score(m, text):
+    """A document's score by the formulas, passage after passage, byte pair after byte pair."""
+    hidden, energy = [], []
+    for at in range(0, max(1, len(text)), quality.PASSAGE - 1):
+        part = text[at : at + quality.PASSAGE]
+        if at and len(part) < 2:
+            continue
+        counts = [0] * quality.BUCKETS
+        for a, b in zip(part, part[1:]):
+            counts[((a * 257 + b) * 0x9E3779B1 % (1 << 32)) >> 23] += 1
+        root = [math.sqrt(c) for c in counts]
+        norm = math.sqrt(sum(counts)) or 1
+        h = [math.tanh(sum(r / norm * m.encode[i, j] for i, r in enumerate(root) if r) + m.bias[j]) for j in range(quality.HIDDEN)]
+        gate = lambda w, k: sum(h[j] * w[j, k] for j in range(quality.HIDDEN))
+        energy.append(sum(m.attend[k] * math.tanh(gate(m.tanh, k)) / (1 + math.exp(-gate(m.sigm, k))) for k in range(quality.GATE)))
+        hidden.append(h)
+    weight = [math.exp(e - max(energy)) for e in energy]
+    z = [sum(w * h[j] for w, h in zip(weight, hidden)) / sum(weight) for j in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(z, m.out)) + m.out_bias[0]))))
+
+
+def test_quality_query_against_brute_force(spark):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    model = quality.fit(docs, labels)
+    found = quality.op5_quality_mil(spark, DATA)
+    assert found.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    got = {r.doc_id: r for r in found.collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        row, want = got[r.doc_id], plain_score(model, (r.text or "").encode())
+        assert abs(row.score - want) < 1e-4 and row.predicted == int(row.score >= 0.5)
+        assert row.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_language_query(spark):
+    found = langid.op8_language_id(spark, DATA)
+    assert found.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    learnt = {r.lang for r in table(spark, DATA, "documents").where(~held_out() & F.col("lang").isNotNull()).collect()}
+    rows = {r.doc_id: r.text for r in table(spark, DATA, "documents").collect()}
+    for r in found.collect():
+        letters = any(c.isalpha() for c in rows[r.doc_id] or "")
+        assert r.lang_pred in learnt if letters else r.lang_pred == "und"
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_samples_are_whole_rows_within_their_bounds(spark):
+    rows = [(h, h * 10, "x" * (50 if h % 3 else 500)) for h in range(40)]
+    frame = spark.createDataFrame(rows, "h long, t long, text string")
+    got = sampled(frame, 10, 700)
+    assert [(r.h, len(r.text)) for r in got] == [(0, 500), (1, 50), (2, 50), (4, 50), (5, 50)]
+    assert sampled(frame.repartition(7), 10, 700) == got and sampled(frame.limit(0), 10, 700) == []
+
+
+def test_learning_sees_late_passages_and_windows(spark):
+    """What tells the classes apart stands at the end of long texts only."""
+    rng = np.random.default_rng(5)
+    word = lambda letters: "".join(rng.choice(list(letters), 5))
+    rows = []
+    for i in range(240):
+        good = i % 2
+        text = " ".join(word("mnopqr") for _ in range(2400)) + " " + " ".join(word("abc" if good else "xyz") for _ in range(500))
+        rows.append((i, text, "aa" if good else "bb", good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    got = quality.score_documents(docs, quality.fit(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))).collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 2) for r in got]) >= 0.95
+
+
+def test_an_empty_language_is_a_value(spark):
+    rows = [(i, "abc cba bca " * 9 if i % 2 else "xyz zyx yxz " * 9, "" if i % 2 else "zz") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == ["", "zz"]
+    assert all(r.lang_pred == r.lang for r in langid.predict(docs, model, ("lang",)).collect())
+
+
 def test_quality_of_awkward_rows(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (4, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")

@@ -2,6 +2,8 @@ import math
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import mixing
 from ledgerloom.llm.common import table
 
@@ -68,3 +70,33 @@ def test_the_mix_repeats_documents(spark):
     mixed = mixing.apply_mix(docs)
     assert mixed.columns == docs.columns
     assert sum(len((r.text or "").split()) for r in mixed.collect()) == words
+
+
+def test_the_level_of_many_capped_sources(spark):
+    """Geometric sizes: one source after another reaches its ceiling."""
+    rows = [(i, "w " * (2 ** (i % 13)), f"s{i % 13:02d}") for i in range(260)]
+    hold(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+
+
+def test_extra_columns_with_clashing_names(spark):
+    own = ["row", "h", "missing", "skey", "base", "threshold", "copy", "n", "prefix", "below", "open", "budget", "part", "level"]
+    docs = awkward(spark)
+    clash = docs.select("*", *[F.lit(7).alias(c) for c in own], *[F.lit(c).alias(c) for c in ("size", "taken", "target")])
+    mixed, plain = mixing.apply_mix(clash), mixing.apply_mix(docs)
+    assert mixed.columns == clash.columns and mixed.select(*docs.columns).exceptAll(plain).count() == 0
+    assert mixed.where("base = 7 AND threshold = 7 AND `copy` = 7 AND size = 'size'").count() == plain.count() == mixed.count()
+    found = mixing.mix(clash)
+    assert found.where("h = 7 AND skey = 7 AND row = 7").count() == docs.count()
+    assert {r["size"] for r in found.where("doc_id = 6").collect()} == {6000}
+    assert mixing.apply_mix(empty(spark)).count() == 0
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
+    hold(spark.createDataFrame([(i, "w " * (i % 9), f"s{i % 7}") for i in range(300)], "doc_id long, text string, source string"))
+
+
+def test_query_columns(spark):
+    found = mixing.op3_source_mix(spark, DATA)
+    assert found.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    assert found.exceptAll(mixing.mix(table(spark, DATA, "documents")).select(found.columns)).count() == 0

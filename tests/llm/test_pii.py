@@ -103,3 +103,15 @@ def test_awkward_rows_and_redaction(spark):
     assert got == {1: ("<EMAIL> and <IP>", 16), 2: ("plain", 5), 3: (None, None), 4: ("call <PHONE>!", 13)}
     again = pii.find(pii.redact(table(spark, DATA, "documents")))
     assert again.where(F.size("pii") > 0).count() == 0
+
+
+def test_redaction_keeps_every_other_character_and_column(spark):
+    texts = ["\ue000 a@b.co \ue001\ue000\ue002", "\ue001\ue002 10.0.0.1\ue003", "\ue000\ue001 none \ue001\ue003", "a@b.co", "", None]
+    own = ["row", "was", "now", "__before", "pii", "parts", "strange"]
+    frame = spark.createDataFrame([(i, t, *[7] * len(own)) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in own))
+    got = pii.redact(frame)
+    assert got.columns == frame.columns and got.where("`row` = 7 AND was = 7 AND now = 7 AND `__before` = 7 AND pii = 7").count() == 6
+    assert [r.text for r in got.orderBy("doc_id").collect()] == [
+        "\ue000 <EMAIL> \ue001\ue000\ue002", "\ue001\ue002 <IP>\ue003", "\ue000\ue001 none \ue001\ue003", "<EMAIL>", "", None,
+    ]
+    assert pii.redact(empty(spark)).count() == 0

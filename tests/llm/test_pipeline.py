@@ -1,10 +1,11 @@
 from collections import Counter
 
 import corpus_pipeline
-from ledgerloom.llm import langid, mixing, packing, pii, simhash
+from ledgerloom.llm import langid, mixing, packing, pii
 from pyspark.sql import functions as F
 
-from .helpers import DATA, awkward
+from .helpers import DATA, awkward, empty
+from .test_nearcopies import plain_kept
 
 
 def test_stages_follow_each_other(spark, tmp_path):
@@ -20,8 +21,8 @@ def test_stages_follow_each_other(spark, tmp_path):
             want = before.where(F.col("text").rlike(r"\p{L}"))
             assert Counter(map(tuple, after.collect())) == Counter(map(tuple, want.collect()))
         if name == "near_dedup":
-            groups = simhash.near_duplicates(before).groupBy("component_id").agg(F.min("doc_id").alias("d"))
-            assert sorted(r.d for r in groups.collect()) == sorted(r.doc_id for r in after.collect())
+            want = plain_kept([(r.doc_id, r.text) for r in before.collect()])
+            assert sorted(r.doc_id for r in after.collect()) == want
         if name == "pii":
             assert after.count() == before.count() and pii.find(after).where(F.size("pii") > 0).count() == 0
         if name == "mixing":
@@ -40,3 +41,19 @@ def test_awkward_documents(spark):
         assert docs.columns == awkward(spark).columns
     assert packing.pack(docs).count() > 0
     assert langid.UNKNOWN == "und"
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    own = ["row", "h", "base", "threshold", "copy", "taken", "keep_id", "hash", "was", "now", "lang_pred", "size", "key", "n"]
+    docs = awkward(spark).select("*", *[F.lit(7).alias(c) for c in own])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.where(" AND ".join(f"`{c}` = 7" for c in own)).count() == docs.count() > 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() > 0
+
+
+def test_empty_documents(spark):
+    docs = empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+        assert docs.count() == 0

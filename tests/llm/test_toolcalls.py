@@ -1,6 +1,9 @@
 import json
 
 from ledgerloom.llm import toolcalls
+from ledgerloom.llm.common import table
+
+from .helpers import DATA
 
 CALLS = "conv_id long, call_id string, parent_id string, turn long, name string, arguments string"
 RESULTS = "conv_id long, call_id string, turn long, content string"
@@ -59,3 +62,26 @@ def test_conversations(spark):
         "1-2": ("no_result", 1, ""),
         "2-4": ("orphan_result", None, None),
     }
+
+
+def test_turns_of_other_roles_give_no_row(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "tool", "t"), (1, 2, None, "n"), (1, 3, "assistant", "a"), (1, None, "user", "x")]
+    got = toolcalls.link(*toolcalls.from_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert {(r.call_id, r.status) for r in got.collect()} == {("1-0", "no_result"), ("1-2", "orphan_result")}
+
+
+def test_long_texts_and_extra_columns(spark):
+    long = "é\n" * 200_000
+    own = "depth long, status string, c long, r long, known long, up long, n_calls long, x long"
+    calls = spark.createDataFrame([(1, "x", None, 0, "add", json.dumps({"a": 1, "note": long}), *[7] * 2, *[7] * 6)][:1], f"{CALLS}, {own}".replace("status string", "status long"))
+    results = spark.createDataFrame([(1, "x", 1, long, 7, 7)], RESULTS + ", content_ long, record long")
+    (row,) = toolcalls.link(calls, results, SCHEMAS).collect()
+    assert (row.status, row.depth, row.violations) == ("linked", 0, "")
+    assert json.loads(row.record) == {"arguments": {"a": 1, "note": long}, "id": "x", "name": "add", "result": long}
+
+
+def test_query_columns(spark):
+    found = toolcalls.op10_chat_tool_calls(spark, DATA)
+    assert [k for _, k in found.dtypes] == ["bigint", "string", "bigint", "bigint", "bigint", "bigint", "bigint", "string", "string", "string"]
+    turns = table(spark, DATA, "conversations")
+    assert found.agg({"n_calls": "sum"}).first()[0] == turns.where("role IN ('user', 'system')").count()
