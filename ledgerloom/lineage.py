@@ -6,6 +6,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,12 +51,15 @@ def _freeing(spark: SparkSession) -> Iterator[None]:
                     spark.conf.set(_FREE, _writers["before"])
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read that; a lost executor costs no earlier step."""
-    spark = df.sparkSession
+def _place(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     if stack := getattr(_scopes, "stack", None):
         stack[-1].append(path)
+    return path
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
     with _freeing(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -63,6 +67,18 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def settle(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read that; a lost executor costs no earlier step."""
+    return _written(df, _place(df.sparkSession, tag))
+
+
+def settle_all(*frames: tuple[DataFrame, str]) -> list[DataFrame]:
+    """Settle (df, tag) that don't depend on each other, at the same time: small steps wait for planning, not for cores."""
+    places = [_place(df.sparkSession, tag) for df, tag in frames]
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return list(pool.map(lambda x: _written(x[0][0], x[1]), zip(frames, places)))
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables settled inside are deleted at the end, but for those passed to the function that this gives: they belong

@@ -26,9 +26,14 @@ RULES = {
 }
 
 
-def _others(df: DataFrame, name: str) -> DataFrame:
-    """Reference -> its merchants, sorted."""
-    return df.groupBy("business_ref").agg(F.sort_array(F.collect_set("merchant_account")).alias(name))
+def _merchants(df: DataFrame, side: str) -> DataFrame:
+    """Reference -> its first and last merchant: if any other than a given one has it, one of these two is another."""
+    return df.groupBy("business_ref").agg(F.min("merchant_account").alias(f"{side}_first"), F.max("merchant_account").alias(f"{side}_last"))
+
+
+def _other(side: str) -> Column:
+    own = F.col("merchant_account")
+    return F.when(F.col(f"{side}_first") != own, F.col(f"{side}_first")).when(F.col(f"{side}_last") != own, F.col(f"{side}_last"))
 
 
 def _text(status: Column, as_of: date) -> Column:
@@ -36,7 +41,6 @@ def _text(status: Column, as_of: date) -> Column:
     led = F.concat(F.lit("ledger "), F.col("l_id"), F.lit(" "), money(F.col("l_gross"), F.col("l_cur")))
     psp = F.concat(F.lit("provider item "), F.col("p_id"), F.lit(" "), money(F.col("p_gross"), F.col("p_cur")))
     both = F.concat(led, F.lit(" and "), psp)
-    other = lambda c: F.array_join(c, ", ")
     return (
         F.when(status == "SOURCE_CONFLICT", F.lit("A source row of this reference conflicts with another one; blocked."))
         .when(status == "CURRENCY_MISMATCH", F.concat(both, F.lit(" are in different currencies.")))
@@ -44,8 +48,8 @@ def _text(status: Column, as_of: date) -> Column:
         .when(status == "AMOUNT_MISMATCH", F.concat(both, F.lit(" differ by "), money(F.col("l_gross") - F.col("p_gross"), F.col("l_cur"))))
         .when(status == "DATE_OUT_OF_TOLERANCE", F.concat(both, F.lit(" lie "), F.col("days").cast("string"), F.lit(" days apart.")))
         .when(status == "MATCHED", F.concat(both, F.lit(" share reference, currency, type and gross.")))
-        .when((status == "ACCOUNT_MISMATCH") & F.col("l_id").isNotNull(), F.concat(led, F.lit(" is booked under another merchant at the provider: "), other(F.col("p_others"))))
-        .when(status == "ACCOUNT_MISMATCH", F.concat(psp, F.lit(" is booked under another merchant in the ledger: "), other(F.col("l_others"))))
+        .when((status == "ACCOUNT_MISMATCH") & F.col("l_id").isNotNull(), F.concat(led, F.lit(" is booked under another merchant at the provider: "), F.col("p_other")))
+        .when(status == "ACCOUNT_MISMATCH", F.concat(psp, F.lit(" is booked under another merchant in the ledger: "), F.col("l_other")))
         .when(F.col("l_id").isNotNull(), F.concat(led, F.lit(f" has no provider item by {as_of}.")))
         .otherwise(F.concat(psp, F.lit(f" has no ledger row by {as_of}.")))
     )
@@ -68,10 +72,9 @@ def decide(ledger: DataFrame, psp: DataFrame, blocked: DataFrame, as_of: date, r
     )
     pairs = (
         left.join(right, ["merchant_account", "business_ref"], "full")
-        .join(_others(items, "p_all"), "business_ref", "left")
-        .join(_others(ledger, "l_all"), "business_ref", "left")
-        .withColumn("p_others", F.array_remove("p_all", F.col("merchant_account")))
-        .withColumn("l_others", F.array_remove("l_all", F.col("merchant_account")))
+        .join(_merchants(items, "p"), "business_ref", "left")
+        .join(_merchants(ledger, "l"), "business_ref", "left")
+        .withColumns({"p_other": _other("p"), "l_other": _other("l")})
         .withColumn("days", F.abs(F.datediff("l_day", "p_day")))
     )
     has_l, has_p = F.col("l_id").isNotNull(), F.col("p_id").isNotNull()
@@ -85,8 +88,8 @@ def decide(ledger: DataFrame, psp: DataFrame, blocked: DataFrame, as_of: date, r
         .when(both & (F.col("l_gross") != F.col("p_gross")), "AMOUNT_MISMATCH")
         .when(both & (F.col("days") > rules.a_date_tolerance), "DATE_OUT_OF_TOLERANCE")
         .when(both, "MATCHED")
-        .when(has_l & (F.size("p_others") > 0), "ACCOUNT_MISMATCH")
-        .when(~has_l & (F.size("l_others") > 0), "ACCOUNT_MISMATCH")
+        .when(has_l & F.col("p_other").isNotNull(), "ACCOUNT_MISMATCH")
+        .when(~has_l & F.col("l_other").isNotNull(), "ACCOUNT_MISMATCH")
         .when(age <= rules.a_grace, "PENDING")
         .when(has_l, "MISSING_IN_PSP")
         .otherwise("MISSING_IN_LEDGER")

@@ -2,7 +2,8 @@
 
 Phases follow the strength of their evidence, each a pure function of what the phases before left over: references,
 unique amount and date, suggested amount groups, leftovers. No phase pairs all records of an account: amounts meet by
-equality on (account, currency, amount, day) of daily counts, and group suggestions look at bounded arrays a day.
+equality on (account, currency, amount, day) of daily counts, and group suggestions look at bounded arrays a day. Where
+many settlements share many lines, the evidence names the class of these lines, which is listed once.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.money import money
 from ..functions.text import reference_tokens
-from ..lineage import settle
+from ..lineage import settle, settle_all
 from ..rules import Rules
 from .components import roots
-from .results import EVIDENCE, EXCEPTION, GROUP, MEMBER, STATE, Found, shaped
+from .results import CLASS, EVIDENCE, EXCEPTION, GROUP, MEMBER, STATE, Found, shaped
 
 ACCOUNT = ["bank_account", "currency"]
 
@@ -149,12 +150,12 @@ def _competing(lines: DataFrame, rules: Rules) -> DataFrame:
     return sums.where(hit).select("comp", F.lit(True).alias("competing"))
 
 
-def by_reference(linked: DataFrame, rules: Rules) -> Found:
-    """linked: comp, batch and line columns of every link of a good settlement with a free line."""
+def by_reference(linked: DataFrame, rules: Rules) -> tuple[Found, DataFrame, DataFrame]:
+    """linked: comp, batch and line columns of every link of a good settlement with a free line -> what was found, and
+    the settlements and lines that it decides."""
     batches = linked.select("comp", "batch_id", *(F.col(c).alias(f"s_{c}") for c in ACCOUNT), "net", "settlement_date").distinct()
-    batches = settle(batches, "batches")
     lines = linked.select("comp", "bank_id", *(F.col(f"k_{c}") for c in ACCOUNT), "amount", "value_date").distinct()
-    lines = settle(lines, "named-lines")
+    batches, lines = settle_all((batches, "batches"), (lines, "named-lines"))
     places = batches.select("comp", F.col("s_bank_account").alias("a"), F.col("s_currency").alias("c")).unionByName(
         lines.select("comp", F.col("k_bank_account").alias("a"), F.col("k_currency").alias("c"))
     )
@@ -189,7 +190,7 @@ def by_reference(linked: DataFrame, rules: Rules) -> Found:
         .otherwise("complex")
     )
     shape = settle(shape.withColumn("verdict", verdict), "shapes")
-    return _failed_references(shape, batches, lines).joined(_matched_references(shape, single, batches, lines))
+    return _referenced(shape, single, batches, lines), batches, lines
 
 
 #: verdict -> (rule, status of the lines)
@@ -209,8 +210,8 @@ def _lookup(column: str, at: int) -> Column:
     return F.create_map(*[F.lit(x) for k, v in _RULE.items() for x in (k, v[at])])[F.col(column)]
 
 
-def _failed_references(shape: DataFrame, batches: DataFrame, lines: DataFrame) -> Found:
-    bad = shape.where(F.col("verdict").isin(*_RULE))
+def _failed(shape: DataFrame, batches: DataFrame) -> DataFrame:
+    """The settlements of components that don't match, with status, amount and text."""
     v = F.col("verdict")
     other_currency = F.size(F.array_remove(F.col("line_currencies"), F.col("s_currency"))) > 0
     status = (
@@ -238,49 +239,52 @@ def _failed_references(shape: DataFrame, batches: DataFrame, lines: DataFrame) -
         .when(v == "partial", "part of the net is outstanding.").when(v == "complex", "links are many to many.")
         .otherwise("the amounts or dates do not fit."),
     )
-    failed = bad.join(batches, "comp").withColumns({"status": status, "amount": amount, "text": text, "rule": _lookup("verdict", 0)})
-    failed = settle(failed.withColumn("currency", F.col("s_currency")), "failed")
-    out = settlement_failures(failed)
-    held = bad.select("comp", "verdict", "first_batch").join(lines, "comp").withColumns({
-        "status": _lookup("verdict", 1), "rule": _lookup("verdict", 0), "currency": F.col("k_currency"), "claimed_by": F.col("first_batch"),
-    })
-    held = settle(held, "held")
-    out.states.append(line_states(held))
-    shown = bad.select("comp", "verdict").join(batches.select("comp", "batch_id"), "comp").join(lines.select("comp", "bank_id"), "comp")
-    out.evidence.append(shaped(shown, EVIDENCE, case_key=stl_key("batch_id"), record_type="bank", record_id=F.col("bank_id"), role=_lookup("verdict", 2)))
-    return out
+    failed = shape.where(v.isin(*_RULE)).join(batches, "comp")
+    return failed.withColumns({"status": status, "amount": amount, "text": text, "rule": _lookup("verdict", 0), "currency": F.col("s_currency")})
 
 
-def _matched_references(shape: DataFrame, single: DataFrame, batches: DataFrame, lines: DataFrame) -> Found:
+def _referenced(shape: DataFrame, single: DataFrame, batches: DataFrame, lines: DataFrame) -> Found:
+    """Matches, failures and evidence of the judged components."""
+    bad = shape.where(F.col("verdict").isin(*_RULE))
     good = shape.where(F.col("verdict").isin("b1", "split", "merged"))
     rule = F.when(F.col("verdict") == "b1", "B1_REF_1TO1").when(F.col("verdict") == "split", "B2S_REF_SPLIT").otherwise("B2M_REF_MERGED")
     good = good.withColumns({"rule": rule, "group_key": F.concat(F.lit("B|"), F.col("comp"))})
-    head = good.select("comp", "verdict", "rule", "group_key")
-    left = head.join(batches, "comp").withColumn("currency", F.col("s_currency"))
-    named = single.select("comp", "bank_id", "exact")
-    right = head.join(lines, "comp").join(named, ["comp", "bank_id"]).where("verdict <> 'b1' OR exact").withColumn("currency", F.col("k_currency"))
-    left = settle(left, "left")
-    right = right.dropDuplicates(["comp", "bank_id"])  # a merged line is linked once to each of its settlements
-    right = settle(right, "right")
+    head = good.select("comp", "verdict", "rule", "group_key", F.col("first_batch").alias("batch_id"))
+    held = bad.select("comp", "verdict", "first_batch", "first_line", "n_s").join(lines, "comp").withColumns({
+        "status": _lookup("verdict", 1), "rule": _lookup("verdict", 0), "currency": F.col("k_currency"), "claimed_by": F.col("first_batch"),
+    })
+    # a merged line is linked once to each of its settlements
+    exact = single.where("exact").select("comp", "bank_id", F.lit(True).alias("exact")).distinct()
+    named = head.join(lines, "comp").join(exact, ["comp", "bank_id"], "left").withColumn("currency", F.col("k_currency"))
+    failed, held, left, named = settle_all(
+        (_failed(shape, batches), "failed"), (held, "held"),
+        (head.drop("batch_id").join(batches, "comp").withColumn("currency", F.col("s_currency")), "left"), (named, "named"),
+    )
+    out = settlement_failures(failed)
+    out.states.append(line_states(held))
+    # a lone settlement's lines are its own; those of several settlements are a class
+    class_key = F.concat(F.lit("R|"), F.col("first_line"))
+    role = {"role": _lookup("verdict", 2)}
+    out.evidence.append(shaped(held.where("n_s = 1"), EVIDENCE, case_key=stl_key("first_batch"), record_type="bank", record_id=F.col("bank_id"), **role))
+    out.evidence.append(shaped(failed.where("n_s > 1"), EVIDENCE, case_key=stl_key("batch_id"), record_type="class", record_id=class_key, members=F.col("n_k"), **role))
+    out.classes.append(shaped(held.where("n_s > 1"), CLASS, class_key=class_key, record_type="bank", record_id=F.col("bank_id")))
+
     keys = left.groupBy("comp").agg(F.sort_array(F.collect_list("batch_id")).alias("first_key"), F.min("currency").alias("currency"))
-    # a component's lines, at most max_ref_group unless a single one matched
-    banks = lines.groupBy("comp").agg(F.sort_array(F.collect_list("bank_id")).alias("second_key"))
     text = F.concat(F.lit("References name "), F.array_join("first_key", ", "), F.lit("; net and bank amount conserve within the window."))
-    groups = good.join(keys, "comp").join(banks, "comp").withColumns({"phase": F.lit(1), "text": text})
-    out = matches(groups, left, right)
-    extra = head.where("verdict = 'b1'").select("comp").join(lines, "comp").join(named, ["comp", "bank_id"]).where("NOT exact")
-    extra = extra.join(left.select("comp", "batch_id"), "comp")
+    # no settlement is in two groups, so the first key decides their order
+    groups = good.join(keys, "comp").withColumns({"phase": F.lit(1), "second_key": F.array().cast("array<string>"), "text": text})
+    out.add(matches(groups, left, named.where("verdict <> 'b1' OR exact")))
     why = F.concat(F.lit("Bank line "), F.col("bank_id"), F.lit(" also names "), F.col("batch_id"), F.lit(", which is matched in full; possibly paid twice."))
-    extra = extra.withColumns({"status": F.lit("DUPLICATE_REFERENCE_CREDIT"), "rule": F.lit("B-X8_DUP_REF"), "currency": F.col("k_currency"), "text": why})
-    extra = settle(extra, "extra")
+    extra = named.where("verdict = 'b1' AND exact IS NULL").withColumns({"status": F.lit("DUPLICATE_REFERENCE_CREDIT"), "rule": F.lit("B-X8_DUP_REF"), "text": why})
     more = line_failures(extra)
     more.evidence.append(shaped(extra, EVIDENCE, case_key=bank_key("bank_id"), record_type="settlement", record_id=F.col("batch_id"), role="referenced"))
     out.add(more)
     return out
 
 
-def by_amount(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> Found:
-    """Equal amount in the window, unique on both sides; the rest of such candidates is ambiguous."""
+def by_amount(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> tuple[Found, DataFrame, DataFrame]:
+    """Equal amount in the window, unique on both sides; the rest of such candidates is ambiguous. What was found, and the
+    settlements and lines that it decides."""
     key = [*ACCOUNT, "minor"]
     s = free_s.withColumn("minor", F.col("net"))
     k = free_k.withColumn("minor", F.col("amount"))
@@ -290,8 +294,10 @@ def by_amount(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> Found:
     degree = lambda df, days, ident: df.join(days, [*key, "day"]).groupBy(ident).agg(F.sum("n").alias("degree"), F.min("least").alias("other"))
     s_deg = degree(spread(s, "settlement_date", -rules.window_before, rules.window_after), k_days, "batch_id")
     k_deg = degree(spread(k, "value_date", -rules.window_after, rules.window_before), s_days, "bank_id")
-    of_s = settle(s.join(s_deg, "batch_id").withColumnRenamed("other", "bank_id"), "amount-s")
-    of_k = settle(k.join(k_deg, "bank_id").withColumnRenamed("other", "claimed_by"), "amount-k")
+    of_s, of_k = settle_all(
+        (s.join(s_deg, "batch_id").withColumnRenamed("other", "bank_id"), "amount-s"),
+        (k.join(k_deg, "bank_id").withColumnRenamed("other", "claimed_by"), "amount-k"),
+    )
     lone = of_k.where("degree = 1").select("bank_id", "amount", "value_date", F.lit(True).alias("lone"))
     paired = of_s.where("degree = 1").join(lone, "bank_id")
     rule = "B3_AMOUNT_DATE_UNIQUE"
@@ -306,15 +312,17 @@ def by_amount(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> Found:
         "text": F.concat(F.lit("Settlement "), F.col("batch_id"), F.lit(" of net "), _named_money("net"), F.lit(" has "),
                          F.col("degree").cast("string"), F.lit(" bank line(s) of its amount in the window, and they or it have other candidates.")),
     })
-    unsure = settle(unsure, "unsure")
-    out.add(settlement_failures(unsure))
     lines = of_k.join(pair.select("bank_id"), "bank_id", "left_anti").withColumns({"status": F.lit("AMBIGUOUS"), "rule": F.lit("B-X4_AMBIGUOUS")})
-    lines = settle(lines, "unsure-lines")
+    unsure, lines = settle_all((unsure, "unsure"), (lines, "unsure-lines"))
+    out.add(settlement_failures(unsure))
     out.states.append(line_states(lines))
-    shown = spread(unsure, "settlement_date", -rules.window_before, rules.window_after).select(*key, "day", "batch_id").join(
-        k.select(*key, F.col("value_date").alias("day"), F.col("bank_id").alias("line")), [*key, "day"])
-    out.evidence.append(shaped(shown, EVIDENCE, case_key=stl_key("batch_id"), record_type="bank", record_id=F.col("line"), role="candidate"))
-    return out
+    # the equal lines of a day are a class: as evidence there are at most as many as the window has days
+    class_key = F.concat_ws("|", F.lit("U"), *key, F.col("day").cast("string"))
+    shown = spread(unsure, "settlement_date", -rules.window_before, rules.window_after).select(*key, "day", "batch_id").join(k_days, [*key, "day"])
+    out.evidence.append(shaped(shown, EVIDENCE, case_key=stl_key("batch_id"), record_type="class", record_id=class_key, role="candidate", members=F.col("n")))
+    listed = lines.withColumn("day", F.col("value_date"))
+    out.classes.append(shaped(listed, CLASS, class_key=class_key, record_type="bank", record_id=F.col("bank_id")))
+    return out, of_s, of_k
 
 
 def _suggestions(wholes: DataFrame, parts: DataFrame, before: int, after: int, rules: Rules) -> DataFrame:
@@ -340,9 +348,9 @@ def _suggestions(wholes: DataFrame, parts: DataFrame, before: int, after: int, r
                         F.when(~many, hits).otherwise(F.slice(hits, 1, 0)).alias("hits"))
 
 
-def suggest(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> tuple[Found, DataFrame]:
-    """Groups of 2 to 4 on one side that add up to one record of the other, for review only; lines that were skipped
-    because they have too many candidates."""
+def suggest(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> tuple[Found, DataFrame, DataFrame, DataFrame]:
+    """Groups of 2 to 4 on one side that add up to one record of the other, for review only; the settlements and lines
+    that this decides; and the lines that were skipped because they have too many candidates."""
     s = free_s.select(F.col("batch_id").alias("id"), *ACCOUNT, F.col("net").alias("minor"), F.col("settlement_date").alias("day"))
     k = free_k.select(F.col("bank_id").alias("id"), *ACCOUNT, F.col("amount").alias("minor"), F.col("value_date").alias("day"))
     merged = _suggestions(k, s, -rules.window_after, rules.window_before, rules)
@@ -351,10 +359,10 @@ def suggest(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> tuple[Found,
         F.struct(F.lit(shape).alias("shape"), F.col("id").alias("id"), F.col("h.n").alias("n"), F.col("h.at").alias("at")).alias("place"),
         F.transform("h.at", lambda i: F.element_at("parts", i + 1)).alias("several"), F.col("id").alias("whole"),
     )
-    found = settle(
+    found, capped = settle_all((
         opened(merged, 0).select("place", F.col("several").alias("batches"), F.array("whole").alias("lines"))
         .unionByName(opened(split, 1).select("place", F.array("whole").alias("batches"), F.col("several").alias("lines"))),
-        "suggestions",
+        "suggestions"), (merged.where("many").select(F.col("id").alias("bank_id")), "capped"),
     )
     member = found.select("place", F.explode(F.concat(
         F.transform("batches", lambda x: F.struct(F.lit("S").alias("side"), x.alias("id"))),
@@ -368,10 +376,6 @@ def suggest(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> tuple[Found,
         "text": F.concat(F.lit("Settlements "), F.array_join("batches", " + "), F.lit(" add up to bank lines "), F.array_join("lines", " + "),
                          F.lit(" by amount alone; a suggestion for review.")),
     })
-    told = settle(told, "told")
-    out = settlement_failures(told)
-    out.evidence.append(shaped(told.select("batch_id", F.explode("lines").alias("line")), EVIDENCE, case_key=stl_key("batch_id"),
-                               record_type="bank", record_id=F.col("line"), role="suggested_counterpart"))
     # a line's case is that of the first settlement which its own first suggestion decided, or else of the first one
     decided = first_s.groupBy("place").agg(F.min("batch_id").alias("decided"))
     lines = (
@@ -379,8 +383,12 @@ def suggest(free_s: DataFrame, free_k: DataFrame, rules: Rules) -> tuple[Found,
         .join(found, "place").join(decided, "place", "left").join(free_k, "bank_id")
         .withColumns({"claimed_by": F.coalesce("decided", F.element_at("batches", 1)), "status": F.lit("SUGGESTED"), "rule": F.lit("B4_AMOUNT_GROUP_SUGGESTION")})
     )
-    out.states.append(line_states(settle(lines, "suggested-lines")))
-    return out, settle(merged.where("many").select(F.col("id").alias("bank_id")), "capped")
+    told, lines = settle_all((told, "told"), (lines, "suggested-lines"))
+    out = settlement_failures(told)
+    out.evidence.append(shaped(told.select("batch_id", F.explode("lines").alias("line")), EVIDENCE, case_key=stl_key("batch_id"),
+                               record_type="bank", record_id=F.col("line"), role="suggested_counterpart"))
+    out.states.append(line_states(lines))
+    return out, told, lines, capped
 
 
 def leftovers(free_s: DataFrame, free_k: DataFrame, capped: DataFrame, as_of: date, rules: Rules) -> Found:
@@ -406,12 +414,12 @@ def leftovers(free_s: DataFrame, free_k: DataFrame, capped: DataFrame, as_of: da
     return out
 
 
-def _free(df: DataFrame, found: Found, kind: str, ident: str, tag: str) -> DataFrame:
-    taken = None
-    for states in found.states:
-        ids = states.where((F.col("record_type") == kind) & (F.col("chain") == "B")).select(F.col("record_id").alias(ident))
-        taken = ids if taken is None else taken.unionByName(ids)
-    return settle(df.join(taken, ident, "left_anti"), tag)
+def _free(free_s: DataFrame, free_k: DataFrame, of_s: DataFrame, of_k: DataFrame) -> list[DataFrame]:
+    """The settlements and lines that a phase has not decided."""
+    return settle_all(
+        (free_s.join(of_s.select("batch_id"), "batch_id", "left_anti"), "free-s"),
+        (free_k.join(of_k.select("bank_id"), "bank_id", "left_anti"), "free-k"),
+    )
 
 
 def chain_b(psp: DataFrame, bank: DataFrame, settlements: DataFrame, blocked: DataFrame, as_of: date, rules: Rules = Rules()) -> Found:
@@ -434,26 +442,25 @@ def chain_b(psp: DataFrame, bank: DataFrame, settlements: DataFrame, blocked: Da
     })
     out.add(settlement_failures(broken))
     to_broken = links.join(broken.select("batch_id"), "batch_id")
+    to_broken = settle(to_broken, "broken-links")
     claims = to_broken.groupBy("bank_id").agg(F.min("batch_id").alias("claimed_by"))
     held = lines.join(claims, "bank_id").withColumns({"status": F.lit("HELD_FOR_REVIEW"), "rule": F.lit("B-X3_BATCH_PROBLEM")})
     out.states.append(line_states(held))
     out.evidence.append(shaped(to_broken, EVIDENCE, case_key=stl_key("batch_id"), record_type="bank", record_id=F.col("bank_id"), role="referencing_line"))
 
-    good = settle(settlements.where("problem IS NULL"), "good")
+    good = settlements.where("problem IS NULL")
     usable = links.join(claims, "bank_id", "left_anti").join(good.select("batch_id"), "batch_id")
     of_line = lines.select("bank_id", *(F.col(c).alias(f"k_{c}") for c in ACCOUNT), "amount", "value_date")
     linked = components(usable).join(good, "batch_id").join(of_line, "bank_id")
-    named = by_reference(settle(linked, "linked"), rules)
+    named, of_s, of_k = by_reference(settle(linked, "linked"), rules)
     out.add(named)
-    lines = settle(lines.join(claims, "bank_id", "left_anti"), "lines")
-    free_s, free_k = _free(good, named, "settlement", "batch_id", "free-s"), _free(lines, named, "bank", "bank_id", "free-k")
-    equal = by_amount(free_s, free_k, rules)
+    free_s, free_k = _free(good, lines.join(claims, "bank_id", "left_anti"), of_s, of_k)
+    equal, of_s, of_k = by_amount(free_s, free_k, rules)
     out.add(equal)
-    free_s, free_k = _free(free_s, equal, "settlement", "batch_id", "free-s"), _free(free_k, equal, "bank", "bank_id", "free-k")
-    offered, capped = suggest(free_s, free_k, rules)
+    free_s, free_k = _free(free_s, free_k, of_s, of_k)
+    offered, of_s, of_k, capped = suggest(free_s, free_k, rules)
     out.add(offered)
-    free_s, free_k = _free(free_s, offered, "settlement", "batch_id", "free-s"), _free(free_k, offered, "bank", "bank_id", "free-k")
-    out.add(leftovers(free_s, free_k, capped, as_of, rules))
+    out.add(leftovers(*_free(free_s, free_k, of_s, of_k), capped, as_of, rules))
     items = psp.where("batch_id IS NOT NULL").select(F.col("record_id"), stl_key("batch_id").alias("case_key"))
     stl_cases = settlements.select("batch_id", stl_key("batch_id").alias("case_key"))
     open_cases = out.exceptions[0].select("case_key")

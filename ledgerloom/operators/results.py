@@ -1,8 +1,8 @@
-"""The four frames in which every matching phase reports."""
+"""The frames in which every matching phase reports."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,9 @@ GROUP = {
     "first_key": "array<string>", "second_key": "array<string>", "explanation": "string",
 }
 MEMBER = {"group_key": "string", "side": "string", "record_type": "string", "record_id": "string", "amount_minor": "bigint"}
-EVIDENCE = {"case_key": "string", "record_type": "string", "record_id": "string", "role": "string"}
+#: A record, or a class of ``members`` records that many cases may share; null members is one record.
+EVIDENCE = {"case_key": "string", "record_type": "string", "record_id": "string", "role": "string", "members": "bigint"}
+CLASS = {"class_key": "string", "record_type": "string", "record_id": "string"}
 
 
 def shaped(df: DataFrame, schema: dict[str, str], **values: Column | str | None) -> DataFrame:
@@ -46,9 +48,10 @@ class Found:
     groups: list[DataFrame]
     members: list[DataFrame]
     evidence: list[DataFrame]
+    classes: list[DataFrame] = field(default_factory=list)
 
     def add(self, other: Found) -> None:
-        for name in ("states", "exceptions", "groups", "members", "evidence"):
+        for name in ("states", "exceptions", "groups", "members", "evidence", "classes"):
             getattr(self, name).extend(getattr(other, name))
 
     def joined(self, other: Found) -> Found:

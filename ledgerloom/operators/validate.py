@@ -22,10 +22,16 @@ OPTIONAL = {"ledger": ["description"], "psp": [], "bank": ["description"]}
 
 def _prepared(raw: DataFrame, source: str, *amounts: str) -> DataFrame:
     """Cells without outer white space and parsed amounts, each computed once, beside the raw columns."""
-    cells = raw.withColumns({f"__{c}": stripped(F.col(c)) for c in REQUIRED[source]})
+    given = [*REQUIRED[source], *(c for c in OPTIONAL[source] if c in raw.columns)]
+    cells = raw.withColumns({f"__{c}": stripped(F.col(c)) for c in given})
     return cells.withColumns({f"__{c}_minor": parse_amount(F.col(f"__{c}")) for c in amounts})
 
 
+def _note(raw: DataFrame) -> Column:
+    """The description, which is free text and may be missing."""
+    return (_cell("description") if "description" in raw.columns else F.lit("")).alias("note")
+
+
 def _cell(name: str) -> Column:
     return F.col(f"__{name}")
 
@@ -88,6 +94,7 @@ def ledger(raw: DataFrame) -> DataFrame:
         F.upper(_cell("currency")).alias("cur"),
         gross.alias("gross_minor"),
         iso_date(_cell("event_date")).alias("event_day"),
+        _note(raw),
         reason.alias("reason"),
     )
 
@@ -153,6 +160,7 @@ def bank(raw: DataFrame) -> DataFrame:
         amount.alias("amount_minor"),
         iso_date(_cell("value_date")).alias("value_day"),
         _cell("reference").alias("memo"),
+        _note(raw),
         reason.alias("reason"),
     )
 
@@ -161,13 +169,13 @@ PARSERS = {"ledger": ledger, "psp": psp, "bank": bank}
 #: The parsed columns that make a record's content, and how records are stored.
 CONTENT = {
     "ledger": {"kind": "event_type", "ref": "business_ref", "original": "original_ref", "merchant": "merchant_account",
-               "cur": "currency", "gross_minor": "gross_minor", "event_day": "event_date"},
+               "cur": "currency", "gross_minor": "gross_minor", "event_day": "event_date", "note": "description"},
     "psp": {"kind": "type", "ref": "business_ref", "merchant": "merchant_account", "cur": "currency",
             "gross_minor": "gross_minor", "fee_minor": "fee_minor", "net_minor": "net_minor",
             "created_day": "created_date", "available_day": "available_on", "batch_id": "batch_id",
             "settlement_day": "settlement_date", "account": "bank_account"},
     "bank": {"account": "bank_account", "cur": "currency", "amount_minor": "amount_minor", "value_day": "value_date",
-             "memo": "reference"},
+             "memo": "reference", "note": "description"},
 }
 
 

@@ -9,7 +9,21 @@ from datetime import date
 
 from . import views
 
-VIEWS = """
+
+def _rows(names: str, rows: list[tuple]) -> str:
+    """A list of the views as a table of the chosen customers."""
+    text = lambda x: str(x).upper() if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else str(x)
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    return f"SELECT c, x.* FROM chosen, (VALUES {values}) x({names})"
+
+
+VIEWS = f"""
+chosen AS (
+  SELECT CAST(c_custkey AS BIGINT) AS c FROM customer WHERE c_custkey % {views.SCENE_EVERY} = {views.SCENE_REST}),
+items AS ({_rows("scene, batch, n, type, gross, fee, day, conflict", views.ITEMS)}),
+lines AS ({_rows("scene, line, amount, currency, day, names, conflict", views.LINES)}),
+booked AS ({_rows("scene, n, type, gross, day", views.BOOKED)}),
+""" + """
 base0 AS (
   SELECT o_orderkey AS k, c_nationkey AS nation, n_regionkey AS region, CAST(o_orderdate AS DATE) AS day,
     CASE WHEN c_nationkey % 5 = 0 THEN CASE WHEN (o_orderkey // 4) % 2 = 0 THEN 990 ELSE 2500 END
@@ -24,7 +38,10 @@ all_ledger AS (
     'MER-' || lpad(CAST(CASE WHEN k % 199 = 9 THEN (nation + 1) % 25 ELSE nation END AS VARCHAR), 2, '0')
       AS merchant_account,
     ['SGD', 'USD', 'EUR'][region % 3 + 1] AS currency, amount AS gross_minor, day AS event_date, k
-  FROM base WHERE k % 89 <> 5),
+  FROM base WHERE k % 89 <> 5
+  UNION ALL
+  SELECT 'L-S' || c || '-' || scene || n, type, 'SC' || c || '-' || scene || n, NULL, 'MER-S' || c, 'SGD',
+    CAST(gross AS BIGINT), CAST(SCENE_DAY + day AS DATE), -c FROM booked),
 psp0 AS (
   SELECT *, CAST(amount - CASE WHEN NOT refund AND k % 101 = 11 THEN 50 ELSE 0 END AS BIGINT) AS gross,
     CAST(day + CAST(CASE WHEN k % 83 = 7 THEN 5 ELSE k % 3 END AS INTEGER) AS DATE) AS created
@@ -46,12 +63,21 @@ all_psp AS (
     settled AS settlement_date,
     CASE WHEN settled IS NOT NULL THEN 'BANK-' || lpad(CAST(nation AS VARCHAR), 2, '0') END AS bank_account,
     CAST(nation AS BIGINT) AS nation, k
-  FROM psp2),
+  FROM psp2
+  UNION ALL
+  SELECT 'P-S' || c || '-' || scene || batch || n, type,
+    CASE WHEN type <> 'fee' THEN 'SC' || c || '-' || scene ||
+      CASE WHEN scene IN (SELECT scene FROM booked) THEN '' ELSE batch END || n END,
+    'MER-S' || c, 'SGD', CAST(gross AS BIGINT), CAST(fee AS BIGINT), CAST(gross - fee AS BIGINT),
+    CAST(SCENE_DAY + day - 2 AS DATE), CAST(SCENE_DAY + day - 1 AS DATE),
+    CASE WHEN batch <> '' THEN 'STL-S' || c || '-' || batch END, CASE WHEN batch <> '' THEN CAST(SCENE_DAY + day AS DATE) END,
+    CASE WHEN batch <> '' THEN 'BANK-' || scene || c END, CAST(-1 AS BIGINT), -c
+  FROM items),
 batch AS (
   SELECT batch_id, min(bank_account) AS account, min(currency) AS currency, max(currency) AS most,
     min(settlement_date) AS day, CAST(sum(net_minor) AS BIGINT) AS net, min(k) AS k, min(nation) AS nation,
     right(batch_id, 1) AS half, left(batch_id, length(batch_id) - 2) AS stem
-  FROM all_psp WHERE batch_id IS NOT NULL GROUP BY batch_id),
+  FROM all_psp WHERE batch_id IS NOT NULL AND k >= 0 GROUP BY batch_id),
 pairs AS (
   SELECT a.stem, a.k % 10 AS how, a.batch_id AS a_id, b.batch_id AS b_id, a.net AS a_net, b.net AS b_net
   FROM batch a JOIN batch b ON a.stem = b.stem AND a.half = 'A' AND b.half = 'B'
@@ -85,8 +111,18 @@ payouts AS (
 all_bank AS (
   SELECT 'B-' || substring(batch_id, 5) || '-' || n AS record_id, account AS bank_account, currency,
     CAST(amount AS BIGINT) AS amount_minor, CAST(value AS DATE) AS value_date, ref AS reference
-  FROM payouts WHERE amount <> 0)
-"""
+  FROM payouts WHERE amount <> 0
+  UNION ALL
+  SELECT 'B-CASE-S-' || lpad(CAST(c AS VARCHAR), 8, '0') || '-' || scene || line, 'BANK-' || scene || c, currency,
+    CAST(amount AS BIGINT), CAST(SCENE_DAY + day AS DATE), array_to_string(list_transform(
+      list_filter(string_split_regex(names, '[ ,]'), lambda x: x <> ''), lambda x: 'stl-S' || c || '-' || x), ',')
+  FROM lines),
+blocked AS (
+  SELECT 'ledger' AS source, record_id, k AS issue FROM all_ledger WHERE k >= 0 AND k % 197 = 8
+  UNION ALL SELECT 'psp', record_id, k FROM all_psp WHERE k >= 0 AND k % 227 = 10
+  UNION ALL SELECT 'psp', 'P-S' || c || '-' || scene || batch || n, c FROM items WHERE conflict
+  UNION ALL SELECT 'bank', 'B-CASE-S-' || lpad(CAST(c AS VARCHAR), 8, '0') || '-' || scene || line, c FROM lines WHERE conflict)
+""".replace("SCENE_DAY", f"DATE '{views.SCENE_DAY}'")
 
 ENGINE = """
 {p}ledger AS (SELECT * FROM all_ledger WHERE event_date <= DATE '{day}'),
@@ -100,16 +136,18 @@ ENGINE = """
     p.currency AS p_cur, l.gross_minor AS l_gross, p.gross_minor AS p_gross,
     coalesce(l.event_date, p.created_date) AS anchor_date,
     CASE
+      WHEN EXISTS (SELECT 1 FROM blocked b WHERE (source = 'ledger' AND b.record_id = l.record_id)
+        OR (source = 'psp' AND b.record_id = p.record_id)) THEN 'SOURCE_CONFLICT'
       WHEN l.record_id IS NOT NULL AND p.record_id IS NOT NULL THEN CASE
         WHEN l.currency <> p.currency THEN 'CURRENCY_MISMATCH'
         WHEN (l.event_type = 'SALE') <> (p.type = 'charge') THEN 'TYPE_MISMATCH'
         WHEN l.gross_minor <> p.gross_minor THEN 'AMOUNT_MISMATCH'
         WHEN abs(l.event_date - p.created_date) > 2 THEN 'DATE_OUT_OF_TOLERANCE' ELSE 'MATCHED' END
-      WHEN p.record_id IS NULL AND business_ref IN (SELECT business_ref FROM {p}psp) THEN 'ACCOUNT_MISMATCH'
+      WHEN p.record_id IS NULL AND business_ref IN (SELECT business_ref FROM {p}psp WHERE type <> 'fee') THEN 'ACCOUNT_MISMATCH'
       WHEN l.record_id IS NULL AND business_ref IN (SELECT business_ref FROM {p}ledger) THEN 'ACCOUNT_MISMATCH'
       WHEN DATE '{day}' - coalesce(l.event_date, p.created_date) <= 2 THEN 'PENDING'
       WHEN p.record_id IS NULL THEN 'MISSING_IN_PSP' ELSE 'MISSING_IN_LEDGER' END AS status
-  FROM {p}ledger l FULL JOIN {p}psp p USING (merchant_account, business_ref)),
+  FROM {p}ledger l FULL JOIN (SELECT * FROM {p}psp WHERE type <> 'fee') p USING (merchant_account, business_ref)),
 {p}stl AS (
   SELECT batch_id, arg_min(bank_account, record_id) AS bank_account, arg_min(currency, record_id) AS currency,
     arg_min(settlement_date, record_id) AS settlement_date,
@@ -117,10 +155,13 @@ ENGINE = """
     CAST(CASE WHEN count(DISTINCT currency) > 1 THEN 0 ELSE sum(fee_minor) END AS BIGINT) AS fee,
     CAST(CASE WHEN count(DISTINCT currency) > 1 THEN 0 ELSE sum(net_minor) END AS BIGINT) AS net, count(*) AS items,
     CASE WHEN count(DISTINCT currency) > 1 OR count(DISTINCT bank_account) > 1 OR count(DISTINCT settlement_date) > 1
-      OR count(DISTINCT merchant_account) > 1 THEN 'BATCH_INCONSISTENT' ELSE '' END AS problem
+      OR count(DISTINCT merchant_account) > 1 THEN 'BATCH_INCONSISTENT'
+      WHEN bool_or(record_id IN (SELECT record_id FROM blocked WHERE source = 'psp')) THEN 'SOURCE_CONFLICT' ELSE '' END AS problem
   FROM {p}psp WHERE batch_id IS NOT NULL GROUP BY batch_id),
+{p}free AS (SELECT * FROM {p}bank WHERE record_id NOT IN (SELECT record_id FROM blocked WHERE source = 'bank')),
+{p}stopped AS (SELECT * FROM {p}bank WHERE record_id IN (SELECT record_id FROM blocked WHERE source = 'bank')),
 {p}tokens AS (
-  SELECT DISTINCT record_id AS bank_id, unnest(string_split_regex(upper(reference), '[\\s,;/|]+')) AS token FROM {p}bank),
+  SELECT DISTINCT record_id AS bank_id, unnest(string_split_regex(upper(reference), '[\\s,;/|]+')) AS token FROM {p}free),
 {p}links AS (SELECT DISTINCT bank_id, batch_id FROM {p}tokens JOIN {p}stl ON token = upper(batch_id)),
 {p}held AS (
   SELECT bank_id, min(batch_id) AS batch_id FROM {p}links JOIN {p}stl USING (batch_id) WHERE problem <> '' GROUP BY 1),
@@ -189,7 +230,7 @@ ENGINE = """
 {p}s3 AS (
   SELECT * FROM {p}stl WHERE problem = '' AND batch_id NOT IN (SELECT batch_id FROM {p}s_of)),
 {p}k3 AS (
-  SELECT * FROM {p}bank WHERE record_id NOT IN (SELECT bank_id FROM {p}k_of)
+  SELECT * FROM {p}free WHERE record_id NOT IN (SELECT bank_id FROM {p}k_of)
     AND record_id NOT IN (SELECT bank_id FROM {p}held)),
 {p}cand AS (
   SELECT *, count(*) OVER (PARTITION BY batch_id) AS ds, count(*) OVER (PARTITION BY record_id) AS dk
@@ -229,6 +270,8 @@ ENGINE = """
   SELECT 'A' AS chain, 'ledger' AS record_type, l_id AS record_id, status, l_cur AS currency, l_gross AS amount_minor,
     {a_rule} AS rule FROM {p}a WHERE l_id IS NOT NULL
   UNION ALL SELECT 'A', 'psp', p_id, status, p_cur, p_gross, {a_rule} FROM {p}a WHERE p_id IS NOT NULL
+  UNION ALL SELECT 'A', 'psp', record_id, 'OUT_OF_SCOPE', currency, gross_minor, 'A0_FEE_ROW' FROM {p}psp WHERE type = 'fee'
+  UNION ALL SELECT 'B', 'bank', record_id, 'SOURCE_CONFLICT', currency, amount_minor, 'B-X2_CONFLICT' FROM {p}stopped
   UNION ALL SELECT 'B', 'psp', record_id,
     CASE WHEN DATE '{day}' - available_on <= 2 THEN 'NOT_DUE' ELSE 'UNSETTLED_OVERDUE' END, currency, net_minor,
     CASE WHEN DATE '{day}' - available_on <= 2 THEN 'B-T1_NOT_DUE' ELSE 'B-X1_UNSETTLED' END
@@ -261,11 +304,13 @@ ENGINE = """
 {p}exceptions AS (
   SELECT 'A' AS chain, 'A|' || merchant_account || '|' || business_ref AS case_key, status AS case_type,
     {a_rule} AS rule, coalesce(l_cur, p_cur) AS currency,
-    CASE WHEN status = 'AMOUNT_MISMATCH' THEN l_gross - p_gross WHEN l_id IS NOT NULL THEN l_gross ELSE -p_gross END
+    CASE WHEN status = 'SOURCE_CONFLICT' THEN coalesce(l_gross, p_gross)
+      WHEN status = 'AMOUNT_MISMATCH' THEN l_gross - p_gross WHEN l_id IS NOT NULL THEN l_gross ELSE -p_gross END
       AS amount_minor, anchor_date
   FROM {p}a WHERE status NOT IN ('MATCHED', 'PENDING')
   UNION ALL SELECT 'B', 'B|ITEM|' || record_id, 'UNSETTLED_OVERDUE', 'B-X1_UNSETTLED', currency, net_minor, available_on
     FROM {p}psp WHERE batch_id IS NULL AND DATE '{day}' - available_on > 2
+  UNION ALL SELECT 'B', 'B|BANK|' || record_id, 'SOURCE_CONFLICT', 'B-X2_CONFLICT', currency, amount_minor, value_date FROM {p}stopped
   UNION ALL SELECT 'B', 'B|STL|' || batch_id, problem, 'B-X3_BATCH_PROBLEM', currency, net, settlement_date
     FROM {p}stl WHERE problem <> ''
   UNION ALL SELECT 'B', 'B|STL|' || batch_id, status, rule, currency, amount, settlement_date FROM {p}ref_fail
@@ -302,7 +347,7 @@ ENGINE = """
 """
 
 _A_RULE = (
-    "CASE status WHEN 'CURRENCY_MISMATCH' THEN 'A-X3_CURRENCY' WHEN 'TYPE_MISMATCH' THEN 'A-X4_TYPE' "
+    "CASE status WHEN 'SOURCE_CONFLICT' THEN 'A-X1_CONFLICT' WHEN 'CURRENCY_MISMATCH' THEN 'A-X3_CURRENCY' WHEN 'TYPE_MISMATCH' THEN 'A-X4_TYPE' "
     "WHEN 'AMOUNT_MISMATCH' THEN 'A-X5_AMOUNT' WHEN 'DATE_OUT_OF_TOLERANCE' THEN 'A-X6_DATE' "
     "WHEN 'MATCHED' THEN 'A1_EXACT_REF' WHEN 'ACCOUNT_MISMATCH' THEN 'A-X2_ACCOUNT' WHEN 'PENDING' THEN 'A-T1_GRACE' "
     "WHEN 'MISSING_IN_PSP' THEN 'A-X7_NO_PSP' ELSE 'A-X8_NO_LEDGER' END"
@@ -311,21 +356,31 @@ _B_RULE = "CASE verdict WHEN 'b1' THEN 'B1_REF_1TO1' WHEN 'split' THEN 'B2S_REF_
 
 RAW = """
 raw_ledger AS (
-  SELECT k, 0 AS copy, record_id, event_type, currency, merchant_account, business_ref, event_date, gross_minor
-  FROM all_ledger
+  SELECT k, 0 AS copy, record_id, event_type, currency, merchant_account, business_ref, event_date, gross_minor, '' AS note
+  FROM all_ledger WHERE k >= 0
   UNION ALL
   SELECT k, 1, record_id, event_type, currency, merchant_account, business_ref, event_date,
-    gross_minor + CASE WHEN k % 197 = 8 THEN 1 ELSE 0 END FROM all_ledger WHERE k % 193 = 7 OR k % 197 = 8),
+    gross_minor + CASE WHEN k % 197 = 8 THEN 1 ELSE 0 END, CASE WHEN k % 211 = 12 THEN 'again' ELSE '' END
+  FROM all_ledger WHERE k >= 0 AND (k % 193 = 7 OR k % 197 = 8 OR k % 211 = 12)
+  UNION ALL
+  SELECT k, 2, record_id || '-B', event_type, currency, merchant_account, business_ref, event_date, gross_minor, ''
+  FROM all_ledger WHERE k >= 0 AND k % 223 = 11),
 checked AS (
   SELECT *, CASE WHEN k % 181 = 5 THEN 'UNSUPPORTED_CURRENCY'
     WHEN k % 173 IN (1, 2, 3) AND NOT (copy = 1 AND k % 197 = 8) THEN 'BAD_AMOUNT'
-    WHEN (event_type = 'SALE' AND gross_minor <= 0) OR (event_type = 'REFUND' AND gross_minor >= 0) THEN 'SIGN_RULE'
+    WHEN (event_type = 'SALE') = (gross_minor <= 0) OR (k % 229 = 13 AND NOT (copy = 1 AND k % 197 = 8)) THEN 'SIGN_RULE'
     WHEN k % 191 = 6 THEN 'BAD_IDENTIFIER' WHEN k % 179 = 4 THEN 'BAD_DATE' ELSE '' END AS reason
   FROM raw_ledger),
 verdicts AS (
-  SELECT record_id, k * 2 + copy AS ord, first_value(gross_minor) OVER w AS first_gross, gross_minor,
-    first_value(k * 2 + copy) OVER w AS first_ord
-  FROM checked WHERE reason = '' WINDOW w AS (PARTITION BY record_id ORDER BY copy))
+  SELECT *, k * 4 + copy AS ord, first_value(gross_minor) OVER w AS first_gross, first_value(note) OVER w AS first_note,
+    first_value(k * 4 + copy) OVER w AS first_ord,
+    CASE WHEN copy = 2 THEN (SELECT min(f.k * 4 + f.copy) FROM checked f WHERE f.reason = '' AND f.copy < 2
+      AND f.k = checked.k) END AS key_ord
+  FROM checked WHERE reason = '' WINDOW w AS (PARTITION BY record_id ORDER BY copy)),
+judged AS (
+  SELECT record_id, ord, CASE WHEN ord <> first_ord THEN CASE WHEN (gross_minor, note) = (first_gross, first_note)
+      THEN 'DUPLICATE_ROW' ELSE 'CONFLICT_RECORD_ID' END WHEN key_ord IS NOT NULL THEN 'CONFLICT_BUSINESS_KEY' ELSE 'LOADED' END
+    AS verdict, CASE WHEN ord <> first_ord THEN first_ord ELSE key_ord END AS conflicts_with FROM verdicts)
 """
 
 
@@ -416,10 +471,10 @@ def statements() -> dict[str, str]:
             "SELECT record_id, CASE WHEN n IN (2, 3) THEN 'BAD_AMOUNT' WHEN n = 1 THEN 'MISSING_VALUE' WHEN n = 4 THEN 'MISSING_VALUE' "
             "ELSE '' END AS reason FROM (SELECT record_id, CAST(substring(record_id, 10, 8) AS INTEGER) % 101 AS n FROM all_bank)"
         ),
-        "dedupe_rows": _with(
-            "SELECT record_id, ord, CASE WHEN ord = first_ord THEN 'LOADED' WHEN gross_minor = first_gross THEN 'DUPLICATE_ROW' "
-            "ELSE 'CONFLICT_RECORD_ID' END AS verdict, CASE WHEN ord <> first_ord THEN first_ord END AS conflicts_with FROM verdicts", raw=True),
-        "blocked_records": _with("SELECT DISTINCT record_id FROM verdicts WHERE gross_minor <> first_gross", raw=True),
+        "dedupe_rows": _with("SELECT * FROM judged", raw=True),
+        "conflict_rows": _with("SELECT j.record_id, j.verdict, j.ord, f.record_id AS stands FROM judged j JOIN judged f "
+                               "ON f.ord = j.conflicts_with WHERE j.verdict LIKE 'CONFLICT%'", raw=True),
+        "blocked_records": _with("SELECT DISTINCT f.record_id FROM judged j JOIN judged f ON f.ord = j.conflicts_with WHERE j.verdict LIKE 'CONFLICT%'", raw=True),
         "import_control_totals": view(sides),
         "input_ranges": view(ranges),
         "default_as_of": view(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import settle
+from ..lineage import settle, settle_all
 from ..operators import asof
 from ..operators.chain_a import chain_a
 from ..operators.chain_b import chain_b
@@ -44,6 +45,7 @@ class Outcome:
     members: DataFrame
     exceptions: DataFrame
     evidence: DataFrame
+    classes: DataFrame
     settlements: DataFrame
     excluded: DataFrame
     ledger: DataFrame
@@ -56,27 +58,28 @@ def reconcile(inputs: Inputs) -> Outcome:
     spark = inputs.ledger.sparkSession
     blocked = inputs.blocked if inputs.blocked is not None else spark.createDataFrame([], BLOCKED)
     sides = {n: asof.visible(getattr(inputs, n), n, inputs.as_of) for n in ("ledger", "psp", "bank")}
-    settlements = settle(build(sides["psp"], blocked), "settlements")
-    found = chain_a(sides["ledger"], sides["psp"], blocked, inputs.hints, inputs.as_of, inputs.rules)
-    found.add(chain_b(sides["psp"], sides["bank"], settlements, blocked, inputs.as_of, inputs.rules))
-    members = settle(union(found.members), "members")
+    with ThreadPoolExecutor(1) as pool:  # the chains share no result
+        other = pool.submit(chain_a, sides["ledger"], sides["psp"], blocked, inputs.hints, inputs.as_of, inputs.rules)
+        settlements = settle(build(sides["psp"], blocked), "settlements")
+        second = chain_b(sides["psp"], sides["bank"], settlements, blocked, inputs.as_of, inputs.rules)
+        found = other.result().joined(second)
+    members, groups = settle_all((union(found.members), "members"), (_with_ids(union(found.groups)), "groups"))
     totals = members.groupBy("group_key").agg(
         F.sum(F.when(F.col("side") == "L", F.col("amount_minor")).otherwise(0)).alias("left_total"),
         F.sum(F.when(F.col("side") == "R", F.col("amount_minor")).otherwise(0)).alias("right_total"),
     )
-    groups = _with_ids(union(found.groups)).join(totals, "group_key", "left")
-    groups = settle(groups, "groups")
     ids = groups.select("group_key", "group_id")
+    evidence = union(found.evidence).withColumn("members", F.coalesce("members", F.lit(1))).distinct()
+    states, members, groups, exceptions, evidence, classes = settle_all(
+        (union(found.states).join(ids, "group_key", "left").drop("group_key"), "states"),
+        (members.join(ids, "group_key").drop("group_key"), "members"),
+        (groups.join(totals, "group_key", "left").drop("group_key"), "groups"),
+        (union(found.exceptions), "exceptions"), (evidence, "evidence"), (union(found.classes).distinct(), "classes"),
+    )
     outcome = Outcome(
-        states=settle(union(found.states).join(ids, "group_key", "left").drop("group_key"), "states"),
-        groups=groups.drop("group_key"),
-        members=settle(members.join(ids, "group_key").drop("group_key"), "members"),
-        exceptions=settle(union(found.exceptions), "exceptions"),
-        evidence=union(found.evidence).distinct(),
-        settlements=settlements,
-        excluded=asof.excluded(inputs.ledger, inputs.psp, inputs.bank, inputs.as_of),
-        **sides,
-    )
+        states, groups, members, exceptions, evidence, classes, settlements,
+        excluded=asof.excluded(inputs.ledger, inputs.psp, inputs.bank, inputs.as_of), **sides,
+    )
     check(outcome)
     return outcome
 

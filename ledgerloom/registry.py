@@ -33,7 +33,7 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 @lru_cache(maxsize=16)
 def _outcome(app: str, sf_dir: str, spark: SparkSession, as_of) -> Outcome:
-    return reconcile(Inputs(*sides(spark, sf_dir), as_of))
+    return reconcile(Inputs(*sides(spark, sf_dir), as_of, views.blocked(spark, sf_dir)))
 
 
 def outcome(spark: SparkSession, sf_dir: str, as_of=views.AS_OF) -> Outcome:
@@ -58,29 +58,40 @@ def _groups(where: str) -> Query:
 
 
 def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger view as file text, with faults that depend on the key; some rows come twice."""
+    """The orders' ledger rows as file text, with faults that depend on the key. Some rows come twice, alike or with
+    another amount or description; some are booked again under another id."""
     k = F.expr("cast(substring(record_id, 3) as bigint)")
-    rows = sides(spark, sf_dir)[0].withColumn("k", k)
-    text = (
-        F.when(k % 173 == 1, "12.345").when(k % 173 == 2, "1e3").when(k % 173 == 3, "")
-        .otherwise(to_plain(F.col("gross_minor")))
-    )
+    rows = sides(spark, sf_dir)[0].where("record_id RLIKE '^L-[0-9]+$'").withColumn("k", k)
+    k = F.col("k")
+    minor = F.when(k % 229 == 13, -F.col("gross_minor")).otherwise(F.col("gross_minor"))
+    text = F.when(k % 173 == 1, "12.345").when(k % 173 == 2, "1e3").when(k % 173 == 3, "").otherwise(to_plain(minor))
     one = rows.select(
         "k", F.lit(0).alias("copy"), F.col("record_id").alias("ledger_entry_id"), F.col("event_type"),
         F.when(k % 191 == 6, F.concat("business_ref", F.lit("|x"))).otherwise(F.col("business_ref")).alias("business_ref"),
         F.coalesce("original_ref", F.lit("")).alias("original_ref"), "merchant_account",
         F.when(k % 181 == 5, "JPY").otherwise(F.col("currency")).alias("currency"), text.alias("gross_amount"),
-        F.when(k % 179 == 4, "2026-13-01").otherwise(F.col("event_date").cast("string")).alias("event_date"), "gross_minor",
+        F.when(k % 179 == 4, "2026-13-01").otherwise(F.col("event_date").cast("string")).alias("event_date"), F.lit("").alias("description"), "gross_minor",
     )
-    k = F.col("k")
-    again = one.where((k % 193 == 7) | (k % 197 == 8)).withColumn("copy", F.lit(1)).withColumn(
-        "gross_amount", F.when(k % 197 == 8, to_plain(F.col("gross_minor") + 1)).otherwise(F.col("gross_amount"))
-    )
-    return one.unionByName(again).drop("gross_minor")
+    again = one.where((k % 193 == 7) | (k % 197 == 8) | (k % 211 == 12)).withColumns({
+        "copy": F.lit(1), "description": F.when(k % 211 == 12, "again").otherwise(""),
+        "gross_amount": F.when(k % 197 == 8, to_plain(F.col("gross_minor") + 1)).otherwise(F.col("gross_amount")),
+    })
+    other = one.where(k % 223 == 11).withColumns({"copy": F.lit(2), "ledger_entry_id": F.concat("ledger_entry_id", F.lit("-B"))})
+    return one.unionByName(again).unionByName(other).drop("gross_minor")
+
+
+@lru_cache(maxsize=16)
+def _parsed(app: str, sf_dir: str, spark: SparkSession) -> DataFrame:
+    return settle(validate.ledger(settle(raw_ledger(spark, sf_dir), "raw-ledger")), "parsed-ledger")
+
+
+def parsed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validated once per session and directory, as an import does."""
+    return _parsed(spark.sparkContext.applicationId, sf_dir, spark)
 
 
 def ledger_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.ledger(raw_ledger(spark, sf_dir)).select(
+    return parsed_ledger(spark, sf_dir).select(
         "k", F.col("copy").cast("bigint"), F.coalesce("reason", F.lit("")).alias("reason"),
         F.when(F.col("reason").isNull(), F.col("gross_minor")).alias("gross_minor"),
         F.when(F.col("reason").isNull(), F.col("event_day")).alias("event_day"),
@@ -88,14 +99,22 @@ def ledger_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = validate.ledger(raw_ledger(spark, sf_dir)).where("reason IS NULL")
-    good = validate.records(parsed.withColumn("source_row", F.col("k") * 2 + F.col("copy")), "ledger")
+    parsed = parsed_ledger(spark, sf_dir)
+    good = validate.records(parsed.withColumn("source_row", F.col("k") * 4 + F.col("copy")), "ledger")
     found = dedupe.dedupe(good.withColumn("ord", F.col("source_row")))
     return found.select("record_id", F.col("ord").cast("bigint"), "verdict", F.col("conflicts_with").cast("bigint"))
 
 
+def conflict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that conflict with a loaded one, and the record that stands."""
+    found = settle(ledger_dedupe(spark, sf_dir), "verdicts")
+    stands = found.select(F.col("ord").alias("conflicts_with"), F.col("record_id").alias("stands"))
+    return found.where("verdict LIKE 'CONFLICT%'").join(stands, "conflicts_with").select("record_id", "verdict", "ord", "stands")
+
+
 def blocked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger_dedupe(spark, sf_dir).where("verdict = 'CONFLICT_RECORD_ID'").select("record_id").distinct()
+    """Records that a conflicting row names, by id or by business key."""
+    return conflict_rows(spark, sf_dir).select(F.col("stands").alias("record_id")).distinct()
 
 
 def raw_psp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +152,12 @@ def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides(spark, sf_dir)[1].select("record_id", csv_safe(cell).alias("cell"))
 
 
+def reference_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that no conflict blocks, and the batches that their references name."""
+    o, bad = outcome(spark, sf_dir), views.blocked(spark, sf_dir).where("source = 'bank'").select("record_id")
+    return chain_b.reference_links(o.bank.join(bad, "record_id", "left_anti").withColumnRenamed("record_id", "bank_id"), o.settlements)
+
+
 def case_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What syncing cases of two runs, two days apart, would do."""
     before = cases.opened(outcome(spark, sf_dir, EARLIER).exceptions, 1)
@@ -161,6 +186,7 @@ def queries() -> dict[str, Query]:
         "psp_validate": lambda spark, sf: validate.psp(raw_psp(spark, sf)).select("k", F.coalesce("reason", F.lit("")).alias("reason")),
         "bank_validate": lambda spark, sf: validate.bank(raw_bank(spark, sf)).select("record_id", F.coalesce("reason", F.lit("")).alias("reason")),
         "dedupe_rows": ledger_dedupe,
+        "conflict_rows": conflict_rows,
         "blocked_records": blocked_records,
         "import_control_totals": on_sides(summary.control_totals),
         "input_ranges": on_sides(summary.input_ranges),
@@ -173,7 +199,7 @@ def queries() -> dict[str, Query]:
         "settlements": _of(lambda o: o.settlements.select("batch_id", "bank_account", "currency", "settlement_date", "gross", "fee", "net", "items", F.coalesce("problem", F.lit("")).alias("problem"))),
         "settlement_bridge": _of(lambda o: bridge(o.settlements)),
         "unsettled_items": _states("chain = 'B' AND record_type = 'psp'"),
-        "reference_links": _of(lambda o: chain_b.reference_links(o.bank.withColumnRenamed("record_id", "bank_id"), o.settlements)),
+        "reference_links": reference_links,
         "reference_matches": _groups("rule LIKE 'B1%' OR rule LIKE 'B2%'"),
         "amount_matches": _groups("rule LIKE 'B3%'"),
         "reference_exceptions": _cases("rule IN ('B-X3_BATCH_PROBLEM', 'B-X7_ACCOUNT_OR_CURRENCY', 'B-X9_DATE', 'B-X10_PARTIAL', 'B-X11_REF_AMOUNT', 'B-X12_REF_GROUP', 'B-X13_COMPLEX')"),

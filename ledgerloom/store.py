@@ -29,10 +29,10 @@ SCHEMAS = {
     "imports": "import_id bigint, source string, file_name string, sha256 string, status string, message string, rows_read bigint, "
     "rows_loaded bigint, rows_duplicate bigint, rows_quarantined bigint, totals string",
     "issues": "issue_id bigint, import_id bigint, source string, source_row int, kind string, reason string, record_id string, conflicts_with string, raw string",
-    "ledger": "event_type string, business_ref string, original_ref string, merchant_account string, currency string, gross_minor bigint, event_date date, " + _KEY,
+    "ledger": "event_type string, business_ref string, original_ref string, merchant_account string, currency string, gross_minor bigint, event_date date, description string, " + _KEY,
     "psp": "type string, business_ref string, merchant_account string, currency string, gross_minor bigint, fee_minor bigint, net_minor bigint, "
     "created_date date, available_on date, batch_id string, settlement_date date, bank_account string, " + _KEY,
-    "bank": "bank_account string, currency string, amount_minor bigint, value_date date, reference string, " + _KEY,
+    "bank": "bank_account string, currency string, amount_minor bigint, value_date date, reference string, description string, " + _KEY,
     "runs": "run_id bigint, as_of date, rules string, high_water bigint, fingerprint string, case_sync boolean, elapsed_ms bigint, summary string",
     "states": "run_id bigint, chain string, record_type string, record_id string, status string, currency string, amount_minor bigint, rule string, "
     "case_key string, detail string, group_id string",
@@ -40,6 +40,8 @@ SCHEMAS = {
     "members": "run_id bigint, group_id string, side string, record_type string, record_id string, amount_minor bigint",
     "run_exceptions": "run_id bigint, case_key string, case_id bigint, chain string, case_type string, rule string, anchor_type string, anchor_id string, "
     "currency string, amount_minor bigint, anchor_date date, explanation string, status string, owner string, disposition string",
+    "evidence": "run_id bigint, case_key string, record_type string, record_id string, role string, members bigint",
+    "classes": "run_id bigint, class_key string, record_type string, record_id string",
     "cases": "event_id bigint, " + case_plan.CASE,
     "notes": "case_id bigint, actor string, text string",
     "audit": case_plan.AUDIT,
@@ -192,7 +194,7 @@ class Store:
             self.append("cases", after.withColumn("event_id", F.lit(self._next("cases", "event_id"))))
             cases = after
         tag = lambda df: df.withColumn("run_id", F.lit(run_id))
-        for name in ("states", "groups", "members"):
+        for name in ("states", "groups", "members", "evidence", "classes"):
             self.append(name, tag(getattr(found, name)))
         self.append("run_exceptions", tag(case_plan.snapshot(found.exceptions, cases)))
         counts = {r.what: r.n for r in summary.run_counts(found).collect()}
@@ -234,14 +236,24 @@ class Store:
     def list_cases(self, **filters: str | None) -> DataFrame:
         return case_plan.listed(self.cases(), self.table("notes"), **filters)
 
-    def evidence_rows(self, found: Outcome) -> DataFrame:
-        """Evidence with the source row and file that each record came from."""
+    def evidence_rows(self, run_id: int, case_key: str | None = None) -> DataFrame:
+        """Evidence of a run with the source row and file that each record or row issue came from; settlements and classes
+        have none. With a case, classes give way to the records in them."""
+        of_run = lambda name: self.table(name).where(F.col("run_id") == run_id).drop("run_id")
+        shown = of_run("evidence")
+        if case_key is not None:
+            shown = shown.where(F.col("case_key") == case_key)
+            member = of_run("classes").select(F.col("class_key").alias("record_id"), F.struct("record_type", "record_id").alias("r"))
+            listed = shown.where("record_type = 'class'").join(member, "record_id").select("case_key", "r.record_type", "r.record_id", "role", F.lit(1).cast("bigint").alias("members"))
+            shown = shown.where("record_type <> 'class'").unionByName(listed.distinct())
         files = self.table("imports").select("import_id", "file_name", "sha256")
-        out = None
+        issues = self.table("issues").select(F.col("issue_id").cast("string").alias("record_id"), "import_id", "source_row")
+        places = issues.select(F.lit("row_issue").alias("record_type"), "*")
         for source in SOURCES:
-            rows = found.evidence.where(F.col("record_type") == source).join(self.records(source).select("record_id", "import_id", "source_row"), "record_id")
-            out = rows if out is None else out.unionByName(rows)
-        return out.join(files, "import_id")
+            places = places.unionByName(self.records(source).select(F.lit(source).alias("record_type"), "record_id", "import_id", "source_row"))
+        return shown.join(places, ["record_type", "record_id"], "left").join(files, "import_id", "left").select(
+            "case_key", "record_type", "record_id", "role", "members", "source_row", "file_name", "sha256"
+        )
 
     def latest(self, name: str, key: str, k: int) -> DataFrame:
         """The k last rows of a log."""

@@ -1,6 +1,8 @@
 """Ledger, provider and bank records derived from order tables, for tests and benchmarks.
 
-Every value is a fixed function of an order's key and its customer's nation, so that each rule of the engine is met.
+Every value is a fixed function of an order's key and its customer's nation. Situations that orders don't bring about are
+listed as scenes; each is played for some of the customers, on accounts of their own, so that every rule of the engine is
+met.
 """
 
 from __future__ import annotations
@@ -11,6 +13,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = date(2001, 7, 22)
+#: Day 0 of the scenes, and the customers that they are played for.
+SCENE_DAY, SCENE_EVERY, SCENE_REST = date(2001, 7, 1), 50, 3
+#: scene, batch ('' for none), number, type, gross, fee, day it settles (or would), its source row conflicts
+ITEMS = [
+    ("trap", "T1", 0, "charge", 10000, 0, 2, False), ("trap", "T2", 0, "charge", 10000, 0, 5, False),
+    *[("contest", f"C{i}", 0, "charge", x, 0, 2, False) for i, x in enumerate((100, 200, 150, 150))],
+    ("rival", "V1", 0, "charge", 9000, 0, 2, False), ("several", "E1", 0, "charge", 5000, 0, 2, False),
+    ("group", "N1", 0, "charge", 970, 0, 2, False), ("group", "N2", 0, "charge", 485, 0, 2, False),
+    ("groupday", "U1", 0, "charge", 970, 0, 2, False), ("groupday", "U2", 0, "charge", 485, 0, 2, False),
+    ("over", "O1", 0, "charge", 2000, 0, 2, False), ("money", "M1", 0, "charge", 2000, 0, 2, False),
+    *[("capped", f"K{i:02d}", 0, "charge", 100 + i, 0, 2, False) for i in range(14)],
+    ("parts", "H1", 0, "charge", 900, 0, 2, False), ("manyparts", "J1", 0, "charge", 5000, 0, 2, False),
+    ("lines", "Q1", 0, "charge", 1100, 0, 2, False),
+    *[("batches", f"B{i:02d}", 0, "charge", 100, 0, 2, False) for i in range(11)],
+    ("stopped", "Z1", 0, "charge", 700, 0, 2, False), ("clash", "Y1", 0, "charge", 800, 0, 2, True),
+    ("fees", "F1", 0, "charge", 735, 0, 2, False), ("fees", "F1", 1, "fee", 0, 25, 2, False),
+    ("kinds", "", 0, "refund", -300, 0, 2, False), ("fresh", "", 0, "charge", 400, 0, 22, False),
+    ("grows", "G1", 0, "charge", 2000, 0, 18, False), ("returns", "R1", 0, "charge", 2000, 0, 16, False),
+]
+#: scene, line, amount, currency, value day, reference, its source row conflicts
+LINES = [
+    ("trap", "1", 10000, "SGD", 4, "", False), ("trap", "2", 10000, "SGD", 7, "", False), ("contest", "1", 300, "SGD", 2, "", False),
+    ("rival", "1", 4000, "SGD", 2, "V1", False), ("rival", "2", 5000, "SGD", 2, "V1", False), ("rival", "3", 9000, "SGD", 2, "V1", False),
+    ("several", "1", 5000, "SGD", 2, "E1", False), ("several", "2", 5000, "SGD", 3, "E1", False),
+    ("group", "1", 1400, "SGD", 2, "N1 N2", False), ("groupday", "1", 1455, "SGD", 7, "U1,U2", False),
+    ("over", "1", 2100, "SGD", 2, "O1", False), ("money", "1", 2000, "USD", 2, "M1", False), ("capped", "1", 203, "SGD", 2, "", False),
+    ("parts", "1", 500, "SGD", 2, "", False), ("parts", "2", 400, "SGD", 3, "", False),
+    *[("manyparts", f"{i:02d}", 100 + i, "SGD", 2, "", False) for i in range(13)],
+    *[("lines", f"{i:02d}", 100, "SGD", 2, "Q1", False) for i in range(11)],
+    ("batches", "1", 1100, "SGD", 2, " ".join(f"B{i:02d}" for i in range(11)), False),
+    ("stopped", "1", 700, "SGD", 2, "Z1", True), ("clash", "1", 800, "SGD", 2, "Y1", False), ("fees", "1", 710, "SGD", 2, "F1", False),
+    ("debit", "1", -50, "SGD", 2, "", False),
+    ("grows", "1", 1200, "SGD", 18, "G1", False), ("grows", "2", 300, "SGD", 20, "G1", False),
+    ("returns", "1", 1200, "SGD", 16, "R1", False), ("returns", "2", 800, "SGD", 18, "R1", False), ("returns", "3", 500, "SGD", 21, "R1", False),
+]
+#: scene, number of the item that the ledger row books, type, gross, day
+BOOKED = [("kinds", 0, "SALE", 300, 0), ("fees", 0, "SALE", 735, 0)]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +80,75 @@ def _tag(prefix: str, n: Column) -> Column:
     return F.concat(F.lit(prefix), F.lpad(n.cast("string"), 2, "0"))
 
 
+def _played(spark: SparkSession, sf_dir: str, rows: list[tuple], names: str) -> DataFrame:
+    """The rows of a list for each of the chosen customers, with the customer ``c``."""
+    chosen = _read(spark, sf_dir, "customer").where(F.col("c_custkey") % SCENE_EVERY == SCENE_REST).select(F.col("c_custkey").cast("bigint").alias("c"))
+    listed = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(r, names.split())]) for r in rows])
+    return chosen.select("c", F.explode(listed).alias("x")).select("c", "x.*")
+
+
+def _scene_day(n: Column | int) -> Column:
+    return F.date_add(F.lit(SCENE_DAY), (n if isinstance(n, Column) else F.lit(n)).cast("int"))
+
+
+def _of_customer(prefix: str, *parts: Column) -> Column:
+    return F.concat(F.lit(prefix), F.col("c").cast("string"), *parts)
+
+
+def _played_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("-"), F.col("scene"), F.col("n").cast("string"))
+    return _played(spark, sf_dir, BOOKED, "scene n type gross day").select(
+        _of_customer("L-S", name).alias("record_id"), F.col("type").alias("event_type"), _of_customer("SC", name).alias("business_ref"),
+        F.lit(None).cast("string").alias("original_ref"), _of_customer("MER-S").alias("merchant_account"), F.lit("SGD").alias("currency"),
+        F.col("gross").cast("bigint").alias("gross_minor"), _scene_day(F.col("day")).alias("event_date"),
+    )
+
+
+def _played_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("-"), F.col("scene"), F.col("batch"), F.col("n").cast("string"))
+    rows = _played(spark, sf_dir, ITEMS, "scene batch n type gross fee day conflict")
+    settled, gross, fee = F.col("batch") != "", F.col("gross").cast("bigint"), F.col("fee").cast("bigint")
+    booked = F.concat(F.lit("-"), F.col("scene"), F.when(F.col("scene").isin(*[b[0] for b in BOOKED]), "").otherwise(F.col("batch")), F.col("n").cast("string"))
+    return rows.select(
+        _of_customer("P-S", name).alias("record_id"), "type", F.when(F.col("type") != "fee", _of_customer("SC", booked)).alias("business_ref"),
+        _of_customer("MER-S").alias("merchant_account"), F.lit("SGD").alias("currency"), gross.alias("gross_minor"), fee.alias("fee_minor"),
+        (gross - fee).alias("net_minor"), _scene_day(F.col("day") - 2).alias("created_date"), _scene_day(F.col("day") - 1).alias("available_on"),
+        F.when(settled, _of_customer("STL-S", F.lit("-"), F.col("batch"))).alias("batch_id"), F.when(settled, _scene_day(F.col("day"))).alias("settlement_date"),
+        F.when(settled, F.concat(F.lit("BANK-"), F.col("scene"), F.col("c").cast("string"))).alias("bank_account"),
+        F.lit(-1).cast("bigint").alias("nation"), (-F.col("c")).alias("k"),
+    )
+
+
+def _line_id() -> Column:
+    return F.concat(F.lit("B-CASE-S-"), F.lpad(F.col("c").cast("string"), 8, "0"), F.lit("-"), F.col("scene"), F.col("line"))
+
+
+def _played_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _played(spark, sf_dir, LINES, "scene line amount currency day names conflict")
+    named = F.transform(F.filter(F.split("names", "[ ,]"), lambda x: x != ""), lambda x: _of_customer("stl-S", F.lit("-"), x))
+    return rows.select(
+        _line_id().alias("record_id"), F.concat(F.lit("BANK-"), F.col("scene"), F.col("c").cast("string")).alias("bank_account"), "currency",
+        F.col("amount").cast("bigint").alias("amount_minor"), _scene_day(F.col("day")).alias("value_date"), F.array_join(named, ",").alias("reference"),
+    )
+
+
+def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that a conflicting source row names: some orders' ledger rows and items, and those of the scenes."""
+    k = F.expr("try_cast(substring(record_id, 3) as bigint)")
+    of = lambda df, source, hit: df.select("record_id", k.alias("k")).where(hit).select(
+        F.lit(source).alias("source"), "record_id", F.array("k").alias("issue_ids")
+    )
+    items = _played(spark, sf_dir, ITEMS, "scene batch n type gross fee day conflict").where("conflict")
+    name = F.concat(F.lit("-"), F.col("scene"), F.col("batch"), F.col("n").cast("string"))
+    lines = _played(spark, sf_dir, LINES, "scene line amount currency day names conflict").where("conflict")
+    return (
+        of(ledger(spark, sf_dir), "ledger", F.col("k") % 197 == 8)
+        .unionByName(of(psp(spark, sf_dir).drop("k"), "psp", F.col("k") % 227 == 10))
+        .unionByName(items.select(F.lit("psp").alias("source"), _of_customer("P-S", name).alias("record_id"), F.array("c").alias("issue_ids")))
+        .unionByName(lines.select(F.lit("bank").alias("source"), _line_id().alias("record_id"), F.array("c").alias("issue_ids")))
+    )
+
+
 def _ref(k: Column) -> Column:
     return F.concat(F.lit("ORD-"), k.cast("string"))
 
@@ -48,11 +156,12 @@ def _ref(k: Column) -> Column:
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     nation = F.when(k % 199 == 9, (F.col("nation") + 1) % 25).otherwise(F.col("nation"))
-    return base(spark, sf_dir).where("k % 89 <> 5").select(
+    rows = base(spark, sf_dir).where("k % 89 <> 5").select(
         F.concat(F.lit("L-"), k.cast("string")).alias("record_id"), F.when(F.col("refund"), "REFUND").otherwise("SALE").alias("event_type"),
         _ref(k).alias("business_ref"), F.when(F.col("refund"), _ref(k - 1)).alias("original_ref"), _tag("MER-", nation).alias("merchant_account"),
         _currency(F.col("region")).alias("currency"), F.col("amount").alias("gross_minor"), F.col("day").alias("event_date"),
     )
+    return rows.unionByName(_played_ledger(spark, sf_dir))
 
 
 def psp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +179,7 @@ def psp(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("merchant", _tag("MER-", F.col("nation")))
     )
     batch = F.concat_ws("-", F.lit("STL"), "merchant", F.date_format("settled", "yyyyMMdd"), half)
-    return rows.select(
+    ordered = rows.select(
         F.concat(F.lit("P-"), k.cast("string")).alias("record_id"), F.when(F.col("refund"), "refund").otherwise("charge").alias("type"),
         _ref(k).alias("business_ref"), F.col("merchant").alias("merchant_account"),
         _currency(F.col("region") + F.when(k % 211 == 9, 1).otherwise(0)).alias("currency"),
@@ -79,11 +188,12 @@ def psp(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("settled").isNotNull(), batch).alias("batch_id"), F.col("settled").alias("settlement_date"),
         F.when(F.col("settled").isNotNull(), _tag("BANK-", F.col("nation"))).alias("bank_account"), F.col("nation").cast("bigint").alias("nation"), k.alias("k"),
     )
+    return ordered.unionByName(_played_items(spark, sf_dir))
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One or two lines per batch, by the batch's smallest order key."""
-    batches = psp(spark, sf_dir).where("batch_id IS NOT NULL").groupBy("batch_id").agg(
+    """One or two lines per batch of orders, by the batch's smallest order key; then the lines of the scenes."""
+    batches = psp(spark, sf_dir).where("batch_id IS NOT NULL AND k >= 0").groupBy("batch_id").agg(
         F.min("bank_account").alias("account"), F.min("currency").alias("currency"), F.max("currency").alias("most"),
         F.min("settlement_date").alias("day"), F.sum("net_minor").alias("net"), F.min("k").alias("k"), F.min("nation").alias("nation"),
     )
@@ -121,8 +231,9 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("label") == "bare", F.array(line(net, F.date_add("day", (F.col("k") % 4).cast("int")), bare)))
         .otherwise(F.array(line(net, day, own)))
     )
-    return rows.select("batch_id", "currency", F.posexplode(lines).alias("n", "l")).where("l.amount <> 0").select(
+    paid = rows.select("batch_id", "currency", F.posexplode(lines).alias("n", "l")).where("l.amount <> 0").select(
         F.concat(F.lit("B-"), F.substring("batch_id", 5, 64), F.lit("-"), (F.col("n") + 1).cast("string")).alias("record_id"),
         F.col("l.account").alias("bank_account"), "currency", F.col("l.amount").alias("amount_minor"), F.col("l.value").alias("value_date"),
         F.col("l.ref").alias("reference"),
     )
+    return paid.unionByName(_played_lines(spark, sf_dir))

@@ -50,7 +50,11 @@ def test_from_files_to_reports(spark, files, tmp_path):
     assert state == {"L1": "MATCHED", "P1": "MATCHED", "L2": "SOURCE_CONFLICT", "P3": "MISSING_IN_LEDGER", "STL-1": "MATCHED", "B1": "MATCHED", "STL-2": "MISSING_IN_BANK"}
     case = {r.case_key: r for r in store.list_cases().collect()}
     assert set(case) == {"A|M1|R2", "A|M1|R3", "B|STL|STL-2"} and "quarantined" in case["A|M1|R3"].explanation
-    assert {r.file_name for r in store.evidence_rows(o).collect()} == {"ledger.csv", "psp.csv"}
+    shown = store.evidence_rows(run).collect()
+    assert {r.file_name for r in shown if r.record_type != "settlement"} == {"ledger.csv", "psp.csv"}
+    assert {(r.record_id, r.source_row) for r in shown if r.case_key == "A|M1|R2" and r.record_type == "ledger"} == {("L2", 3)}
+    assert [r.source_row for r in shown if r.record_type == "row_issue"] == [5]
+    assert {r.record_id for r in store.evidence_rows(run, "B|STL|STL-2").collect()} == {"STL-2", "P3"}
 
     missing = case["B|STL|STL-2"].case_id
     with pytest.raises(WorkflowError):
