@@ -388,15 +388,109 @@ def _with(select: str, *days: tuple[str, date], raw: bool = False) -> str:
     parts = [VIEWS.strip()] + ([RAW.strip()] if raw else [])
     for p, day in days:
         parts.append(ENGINE.strip().replace("{a_rule}", _A_RULE).replace("{b_rule}", _B_RULE).replace("{p}", p).replace("{day}", day.isoformat()))
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select.replace("{day}", views.AS_OF.isoformat())
 
 
 def _plain(minor: str) -> str:
     return f"CAST(CAST({minor} AS DECIMAL(20, 0)) * CAST(0.01 AS DECIMAL(3, 2)) AS VARCHAR)"
 
 
+_EVIDENCE = """
+SELECT DISTINCT case_key, record_type, record_id, role, CAST(members AS BIGINT) AS members FROM (
+  SELECT 'A|' || merchant_account || '|' || business_ref AS case_key, 'ledger' AS record_type, l_id AS record_id, 'ledger' AS role, 1 AS members
+    FROM r_a WHERE status NOT IN ('MATCHED', 'PENDING') AND l_id IS NOT NULL
+  UNION ALL SELECT 'A|' || merchant_account || '|' || business_ref, 'psp', p_id, 'psp', 1
+    FROM r_a WHERE status NOT IN ('MATCHED', 'PENDING') AND p_id IS NOT NULL
+  UNION ALL SELECT 'A|' || merchant_account || '|' || business_ref, 'row_issue', CAST(issue AS VARCHAR), 'conflicting_row', 1
+    FROM r_a JOIN blocked b ON (source = 'ledger' AND b.record_id = l_id) OR (source = 'psp' AND b.record_id = p_id) WHERE status = 'SOURCE_CONFLICT'
+  UNION ALL SELECT 'B|ITEM|' || record_id, 'psp', record_id, 'psp', 1 FROM r_psp WHERE batch_id IS NULL AND DATE '{day}' - available_on > 2
+  UNION ALL SELECT 'B|BANK|' || record_id, 'bank', record_id, 'bank', 1 FROM r_stopped
+  UNION ALL SELECT 'B|BANK|' || record_id, 'row_issue', CAST(issue AS VARCHAR), 'conflicting_row', 1
+    FROM r_stopped JOIN blocked b USING (record_id) WHERE source = 'bank'
+  UNION ALL SELECT 'B|STL|' || batch_id, 'bank', bank_id, 'referencing_line', 1 FROM r_links JOIN r_stl USING (batch_id) WHERE problem <> ''
+  UNION ALL SELECT 'B|STL|' || f.batch_id, 'bank', bank_id, CASE WHEN verdict IN ('competing', 'several') THEN 'candidate'
+      WHEN verdict = 'partial' THEN 'partial_receipt' ELSE 'referencing_line' END, 1
+    FROM r_ref_fail f JOIN r_k_of USING (comp) WHERE (SELECT count(*) FROM r_s_of s WHERE s.comp = f.comp) = 1
+  UNION ALL SELECT 'B|STL|' || f.batch_id, 'class', 'R|' || min(bank_id), 'referencing_line', count(*)
+    FROM r_ref_fail f JOIN r_k_of USING (comp) WHERE (SELECT count(*) FROM r_s_of s WHERE s.comp = f.comp) > 1 GROUP BY f.batch_id
+  UNION ALL SELECT 'B|BANK|' || bank_id, 'bank', bank_id, 'bank', 1 FROM r_doubles
+  UNION ALL SELECT 'B|BANK|' || bank_id, 'settlement', batch_id, 'referenced', 1 FROM r_doubles JOIN r_s_of USING (comp)
+  UNION ALL SELECT 'B|STL|' || batch_id, 'class', 'U|' || bank_account || '|' || currency || '|' || net || '|' || value_date, 'candidate', count(*)
+    FROM r_cand WHERE batch_id IN (SELECT batch_id FROM r_cand WHERE NOT (ds = 1 AND dk = 1)) GROUP BY batch_id, bank_account, currency, net, value_date
+  UNION ALL SELECT 'B|STL|' || t.batch_id, 'bank', unnest(s.lines), 'suggested_counterpart', 1
+    FROM r_told t JOIN r_uses u ON u.side = 'S' AND u.id = t.batch_id JOIN r_sugg s ON s.place = u.place
+  UNION ALL SELECT 'B|BANK|' || record_id, 'bank', record_id, 'bank', 1 FROM r_k6
+  UNION ALL SELECT case_key, 'settlement', substring(case_key, 7), 'settlement', 1 FROM r_exceptions WHERE case_key LIKE 'B|STL|%'
+  UNION ALL SELECT case_key, 'psp', record_id, 'settlement_item', 1 FROM r_exceptions JOIN r_psp ON case_key = 'B|STL|' || batch_id)
+"""
+_CLASSES = """
+SELECT DISTINCT 'R|' || (SELECT min(bank_id) FROM r_k_of m WHERE m.comp = k.comp) AS class_key, 'bank' AS record_type, bank_id AS record_id
+FROM r_k_of k WHERE comp IN (SELECT comp FROM r_ref_fail) AND (SELECT count(*) FROM r_s_of s WHERE s.comp = k.comp) > 1
+UNION ALL
+SELECT DISTINCT 'U|' || bank_account || '|' || currency || '|' || net || '|' || value_date, 'bank', record_id
+FROM r_cand WHERE record_id NOT IN (SELECT record_id FROM r_cand WHERE ds = 1 AND dk = 1)
+"""
+_HISTORY = f"""
+, keys AS (
+  SELECT case_key, a.case_key IS NOT NULL AS in1, o.case_key IS NOT NULL AS in2, r.case_key IS NOT NULL AS in3,
+    coalesce(a.case_key IS NOT NULL AND (TRY_CAST(regexp_extract(case_key, 'STL-S([0-9]+)-', 1) AS INTEGER) // {views.SCENE_EVERY}) % 2 = 0, FALSE) AS by_hand,
+    (a.case_type, a.rule, a.amount_minor, a.currency) AS f1, (o.case_type, o.rule, o.amount_minor, o.currency) AS f2,
+    (r.case_type, r.rule, r.amount_minor, r.currency) AS f3
+  FROM a_exceptions a FULL JOIN o_exceptions o USING (case_key) FULL JOIN r_exceptions r USING (case_key))
+"""
+_EVENTS = _HISTORY + """
+SELECT CAST(2 AS BIGINT) AS run_id, case_key, CASE WHEN NOT in1 THEN 'CASE_OPENED' WHEN in2 THEN 'CASE_ENGINE_FIELDS_UPDATED'
+  WHEN by_hand THEN 'CASE_ENGINE_CLEARED' ELSE 'CASE_AUTO_CLEARED' END AS action
+FROM keys WHERE (in1 OR in2) AND NOT (in1 AND in2 AND f1 = f2)
+UNION ALL
+SELECT 3, case_key, CASE WHEN NOT in1 AND NOT in2 THEN 'CASE_OPENED' WHEN in3 AND in2 THEN 'CASE_ENGINE_FIELDS_UPDATED'
+  WHEN in3 AND by_hand THEN 'CASE_ISSUE_REAPPEARED' WHEN in3 THEN 'CASE_REOPENED'
+  WHEN by_hand THEN 'CASE_ENGINE_CLEARED' ELSE 'CASE_AUTO_CLEARED' END
+FROM keys WHERE (in3 OR in2) AND NOT (in2 AND in3 AND f2 = f3)
+UNION ALL
+SELECT 3, case_key, 'CASE_ENGINE_FIELDS_UPDATED' FROM keys WHERE in1 AND NOT in2 AND in3 AND f1 <> f3
+"""
+_CASES = _HISTORY + """
+SELECT case_key,
+  CASE WHEN by_hand THEN 'Resolved' WHEN in3 THEN 'Open' ELSE 'Resolved' END AS status,
+  CASE WHEN by_hand THEN 'NO_ACTION_REQUIRED' WHEN in3 THEN '' ELSE 'AUTO_CLEARED' END AS disposition,
+  in3 AS engine_active, CAST(CASE WHEN in1 THEN 1 WHEN in2 THEN 2 ELSE 3 END AS BIGINT) AS first_seen_run,
+  CAST(CASE WHEN in3 THEN 3 WHEN in2 THEN 2 ELSE 1 END AS BIGINT) AS last_seen_run
+FROM keys
+"""
+_INVARIANTS = """
+, of_group AS (
+  SELECT m.group_id, side, s.* FROM r_members m JOIN r_states s ON s.record_id = m.record_id AND s.chain = left(m.group_id, 1))
+SELECT 'conservation' AS invariant, count(*) AS broken FROM (SELECT group_id FROM of_group GROUP BY group_id HAVING
+  coalesce(sum(amount_minor) FILTER (side = 'L'), 0) <> coalesce(sum(amount_minor) FILTER (side = 'R'), 0))
+UNION ALL SELECT 'one_currency', count(*) FROM (SELECT group_id FROM of_group GROUP BY group_id HAVING count(DISTINCT currency) > 1)
+UNION ALL SELECT 'consumed_once', count(*) FROM (SELECT 1 FROM of_group GROUP BY chain, record_type, record_id HAVING count(*) > 1)
+UNION ALL SELECT 'one_state', count(*) FROM (SELECT 1 FROM r_states GROUP BY chain, record_type, record_id HAVING count(*) > 1)
+UNION ALL SELECT 'unique_case_key', count(*) FROM (SELECT 1 FROM r_exceptions GROUP BY case_key HAVING count(*) > 1)
+"""
+_METRICS = """
+, auto AS (
+  SELECT chain, array_to_string(list_sort(l), ',') || '=' || array_to_string(list_sort(r), ',') AS pair FROM r_groups
+  WHERE l[1] NOT LIKE 'L-S%' AND l[1] NOT LIKE 'STL-S%'),
+paid AS (
+  SELECT p.*, label, a_id, b_id FROM payouts p JOIN labelled l USING (batch_id) WHERE amount <> 0
+    AND NOT (label = 'double' AND n = 2) AND label NOT IN ('partial', 'late', 'elsewhere')),
+truth AS (
+  SELECT 'A' AS chain, 'L-' || k || '=P-' || k AS pair, k % 211 <> 9 AND NOT (k % 101 = 11 AND NOT refund) AND k % 83 <> 7
+    AND k % 197 <> 8 AND k % 227 <> 10 AND day + 2 <= DATE '{day}' AS meant
+  FROM base WHERE k % 89 <> 5 AND k % 97 <> 3 AND k % 199 <> 9
+  UNION ALL
+  SELECT 'B', CASE WHEN any_value(label) IN ('merge', 'merge_bare', 'complex') THEN any_value(a_id) || ',' || any_value(b_id) ELSE batch_id END
+    || '=' || string_agg('B-' || substring(batch_id, 5) || '-' || n, ',' ORDER BY n), any_value(label) NOT IN ('merge_bare', 'complex')
+  FROM paid GROUP BY batch_id)
+SELECT chain, count(*) FILTER (a.pair IS NOT NULL) AS matched, count(*) FILTER (a.pair IS NOT NULL AND t.pair IS NULL) AS false_matches,
+  count(*) FILTER (meant) AS meant, count(*) FILTER (meant AND a.pair IS NOT NULL) AS found
+FROM (SELECT *, pair AS p FROM auto) a FULL JOIN (SELECT *, pair AS p FROM truth) t USING (chain, p) GROUP BY chain
+"""
+
+
 def statements() -> dict[str, str]:
-    run = ("r_", views.AS_OF)
+    run, day18 = ("r_", views.AS_OF), views.AS_OF.replace(day=18)
     states = "SELECT record_type, record_id, status, currency, amount_minor, rule FROM r_states WHERE "
     cases = "SELECT case_key, case_type, rule, currency, amount_minor, anchor_date FROM r_exceptions WHERE "
     groups = (
@@ -507,10 +601,24 @@ def statements() -> dict[str, str]:
         "run_counts": _with(" UNION ALL ".join(f"SELECT '{w}' AS what, count(*) AS n FROM r_{t}" for w, t in (
             ("groups", "groups"), ("exceptions", "exceptions"), ("ledger", "ledger"), ("psp", "psp"), ("bank", "bank"), ("settlements", "stl"))), run),
         "summary_long": _with(long, run),
+        "settlement_problems": _with("SELECT batch_id, problem, items FROM r_stl WHERE problem <> ''", run),
+        "component_shapes": _with("SELECT min(batch_id) AS first_batch, count(DISTINCT batch_id) AS n_s, count(DISTINCT bank_id) AS n_k FROM r_linked GROUP BY comp", run),
+        "capped_lines": _with("SELECT 'B|BANK|' || record_id AS case_key FROM r_k6 WHERE record_id IN (SELECT whole FROM r_near WHERE shape = 0 GROUP BY whole HAVING count(*) > 12)", run),
+        "filter_values": _with("SELECT DISTINCT 'case_type' AS filter, case_type AS value FROM r_exceptions UNION ALL SELECT DISTINCT 'currency', currency FROM r_exceptions", run),
+        "evidence_rows": _with(_EVIDENCE, run),
+        "evidence_classes": _with(_CLASSES, run),
         "case_sync_diff": _with(
             "SELECT coalesce(n.case_key, o.case_key) AS case_key, CASE WHEN o.case_key IS NULL THEN 'OPEN' WHEN n.case_key IS NULL THEN 'AUTO_CLEAR' "
             "WHEN (n.case_type, n.rule, n.amount_minor, n.currency) <> (o.case_type, o.rule, o.amount_minor, o.currency) THEN 'UPDATE' ELSE 'KEEP' END AS action "
             "FROM r_exceptions n FULL JOIN o_exceptions o ON n.case_key = o.case_key", run, ("o_", views.AS_OF.replace(day=20))),
-        "invariants": "SELECT unnest(['conservation', 'one_currency', 'consumed_once', 'one_state', 'unique_case_key']) AS invariant, CAST(0 AS BIGINT) AS broken",
-        "eval_metrics": _with("SELECT count(*) AS matched, CAST(0 AS BIGINT) AS false_matches FROM r_a WHERE status = 'MATCHED'", run),
+        "case_events": _with(_EVENTS, ("a_", day18), ("o_", views.AS_OF.replace(day=20)), run),
+        "case_states": _with(_CASES, ("a_", day18), ("o_", views.AS_OF.replace(day=20)), run),
+        "case_list": _with(
+            "SELECT case_key, case_id, row_number() OVER (ORDER BY anchor_date, case_id) AS place FROM (SELECT case_key, chain, anchor_date, "
+            "row_number() OVER (ORDER BY case_key) AS case_id FROM r_exceptions) WHERE chain = 'B'", run),
+        "run_snapshot": _with(
+            "SELECT n.case_key, CASE WHEN o.case_key IS NULL THEN 'Not tracked (historical run)' ELSE 'Open' END AS status, '' AS owner, '' AS disposition "
+            "FROM r_exceptions n LEFT JOIN o_exceptions o ON n.case_key = o.case_key", run, ("o_", views.AS_OF.replace(day=20))),
+        "invariants": _with(_INVARIANTS, run),
+        "eval_metrics": _with(_METRICS, run),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle, views
@@ -13,6 +13,7 @@ from .functions.money import fmt_minor, parse_amount, to_plain
 from .functions.text import csv_safe
 from .lineage import settle
 from .operators import asof, chain_b, dedupe, validate
+from .operators.numbering import numbered
 from .operators.settlements import bridge
 from .plans import cases, summary
 from .plans.engine import Inputs, Outcome, reconcile, violations
@@ -164,13 +165,68 @@ def case_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.difference(outcome(spark, sf_dir).exceptions, before).select("case_key", "action")
 
 
+def case_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cases and engine events of three runs, two days apart. After the first a person resolves the settlement cases of
+    every other scene."""
+    days = [views.AS_OF.replace(day=d) for d in (18, 20, 22)]
+    first, *later = (outcome(spark, sf_dir, d) for d in days)
+    scene = F.regexp_extract("case_key", r"STL-S([0-9]+)-", 1).try_cast("int")
+    by_hand = F.coalesce(F.floor(scene / views.SCENE_EVERY) % 2 == 0, F.lit(False))
+    known, events = cases.opened(first.exceptions, 1), []
+    known = known.withColumns({"status": F.when(by_hand, "Resolved").otherwise(F.col("status")), "disposition": F.when(by_hand, "NO_ACTION_REQUIRED").otherwise("")})
+    for number, run in enumerate(later, 2):
+        known, told = cases.sync(run.exceptions, settle(known, "cases"), run.states, number)
+        events.append(told)
+    return known, events[0].unionByName(events[1])
+
+
+def case_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every open case of chain B in the list that a person reads."""
+    listed = cases.listed(cases.opened(outcome(spark, sf_dir).exceptions, 1), status="Open", chain="B").select("case_id", "case_key", "anchor_date")
+    return numbered(listed, ["anchor_date", "case_id"], "place").select("case_key", F.col("case_id").cast("bigint"), F.col("place").cast("bigint"))
+
+
+def run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's exceptions with the state of the cases that an earlier run had opened."""
+    before = cases.opened(outcome(spark, sf_dir, EARLIER).exceptions, 1)
+    return cases.snapshot(outcome(spark, sf_dir).exceptions, before).select("case_key", "status", "owner", "disposition")
+
+
+def component_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settlements and lines of each component of references, by its first settlement."""
+    o, links = outcome(spark, sf_dir), settle(reference_links(spark, sf_dir), "links")
+    held = links.join(o.settlements.where("problem IS NOT NULL").select("batch_id"), "batch_id").select("bank_id").distinct()
+    usable = links.join(held, "bank_id", "left_anti").join(o.settlements.where("problem IS NULL").select("batch_id"), "batch_id")
+    of = chain_b.components(usable.select("bank_id", "batch_id"))
+    return of.groupBy("comp").agg(F.min("batch_id").alias("first_batch"), F.count_distinct("batch_id").alias("n_s"), F.count_distinct("bank_id").alias("n_k")).drop("comp")
+
+
+def _joined_ids(members: DataFrame, key: str, left: Column, right: Column) -> DataFrame:
+    """key -> the records of both sides as one text; sides hold at most a few records."""
+    ids = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return members.groupBy(key).agg(F.concat_ws("=", ids(left), ids(right)).alias("pair"))
+
+
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matched groups of chain A that the generator's own keys confirm."""
+    """Per chain: groups matched among orders' records, those that the generator doesn't confirm, the groups that it
+    meant to be matched, and how many of these were. Chain B compares whole groups."""
     o = outcome(spark, sf_dir)
-    pair = o.members.where("group_id LIKE 'A-%'").groupBy("group_id").agg(
-        F.max(F.when(F.col("side") == "L", F.substring("record_id", 3, 20))).alias("l"), F.max(F.when(F.col("side") == "R", F.substring("record_id", 3, 20))).alias("r")
-    )
-    return pair.agg(F.count("*").alias("matched"), F.count_if(F.col("l") != F.col("r")).alias("false_matches"))
+    side = lambda x: F.when(F.col("side") == x, F.col("record_id"))
+    of_orders = o.members.where("record_id NOT LIKE '_-S%' AND record_id NOT LIKE 'STL-S%' AND record_id NOT LIKE 'B-CASE%'")
+    found = _joined_ids(of_orders.withColumn("chain", F.substring("group_id", 1, 1)), "group_id", side("L"), side("R")).withColumn("chain", F.substring("group_id", 1, 1))
+    key = F.col("k").cast("string")
+    clean = F.expr("k % 89 <> 5 AND k % 97 <> 3 AND k % 211 <> 9 AND NOT (k % 101 = 11 AND NOT refund) AND k % 83 <> 7 AND k % 199 <> 9 AND k % 197 <> 8 AND k % 227 <> 10")
+    orders = views.base(spark, sf_dir).where("k % 89 <> 5 AND k % 97 <> 3 AND k % 199 <> 9")
+    chain_a = orders.select(F.lit("A").alias("chain"), F.concat(F.lit("L-"), key, F.lit("=P-"), key).alias("pair"), (clean & (F.date_add("day", 2) <= F.lit(views.AS_OF))).alias("meant"))
+    meant = views.payouts(spark, sf_dir)
+    pairs = _joined_ids(meant, "event", F.col("batch_id"), F.col("record_id"))
+    wanted = meant.groupBy("event").agg(F.max("meant").alias("meant"))
+    truth = chain_a.unionByName(pairs.join(wanted, "event").select(F.lit("B").alias("chain"), "pair", "meant"))
+    joined = found.select("chain", "pair", F.lit(True).alias("matched")).join(truth.withColumn("true", F.lit(True)), ["chain", "pair"], "full")
+    return joined.groupBy("chain").agg(
+        F.count_if("matched").alias("matched"), F.count_if(F.col("matched") & F.col("true").isNull()).alias("false_matches"),
+        F.count_if("meant").alias("meant"), F.count_if(F.col("meant") & F.col("matched")).alias("found"),
+    )
 
 
 def queries() -> dict[str, Query]:
@@ -216,8 +272,17 @@ def queries() -> dict[str, Query]:
         "overdue_cases": _of(lambda o: summary.ageing(o.exceptions, views.AS_OF).where("overdue").select("case_key", F.col("age_days").cast("bigint"))),
         "run_counts": _of(summary.run_counts),
         "summary_long": _of(summary.long_format),
+        "settlement_problems": _of(lambda o: o.settlements.where("problem IS NOT NULL").select("batch_id", "problem", "items")),
+        "component_shapes": component_shapes,
+        "capped_lines": _of(lambda o: o.exceptions.where("rule = 'B-X6_NO_SETTLEMENT' AND explanation LIKE '%too many candidates%'").select("case_key")),
+        "filter_values": _of(lambda o: cases.filter_values(o.exceptions)),
         "evidence_rows": _of(lambda o: o.evidence),
+        "evidence_classes": _of(lambda o: o.classes),
         "case_sync_diff": case_diff,
+        "case_events": lambda spark, sf: case_runs(spark, sf)[1].select("run_id", "case_key", "action"),
+        "case_states": lambda spark, sf: case_runs(spark, sf)[0].select("case_key", "status", "disposition", "engine_active", "first_seen_run", "last_seen_run"),
+        "case_list": case_list,
+        "run_snapshot": run_snapshot,
         "invariants": _of(violations),
         "eval_metrics": eval_metrics,
     }

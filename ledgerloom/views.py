@@ -191,8 +191,8 @@ def psp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.unionByName(_played_items(spark, sf_dir))
 
 
-def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One or two lines per batch of orders, by the batch's smallest order key; then the lines of the scenes."""
+def _payouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One or two bank lines per batch of orders, by the batch's smallest order key: batch, its label, pair and line."""
     batches = psp(spark, sf_dir).where("batch_id IS NOT NULL AND k >= 0").groupBy("batch_id").agg(
         F.min("bank_account").alias("account"), F.min("currency").alias("currency"), F.max("currency").alias("most"),
         F.min("settlement_date").alias("day"), F.sum("net_minor").alias("net"), F.min("k").alias("k"), F.min("nation").alias("nation"),
@@ -231,9 +231,23 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("label") == "bare", F.array(line(net, F.date_add("day", (F.col("k") % 4).cast("int")), bare)))
         .otherwise(F.array(line(net, day, own)))
     )
-    paid = rows.select("batch_id", "currency", F.posexplode(lines).alias("n", "l")).where("l.amount <> 0").select(
-        F.concat(F.lit("B-"), F.substring("batch_id", 5, 64), F.lit("-"), (F.col("n") + 1).cast("string")).alias("record_id"),
-        F.col("l.account").alias("bank_account"), "currency", F.col("l.amount").alias("amount_minor"), F.col("l.value").alias("value_date"),
+    return rows.select("batch_id", "currency", "label", "how", "a_id", "b_id", F.posexplode(lines).alias("n", "l")).where("l.amount <> 0").withColumn("record_id", F.concat(F.lit("B-"), F.substring("batch_id", 5, 64), F.lit("-"), (F.col("n") + 1).cast("string")))
+
+
+def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payouts of the orders' batches, and the lines of the scenes."""
+    paid = _payouts(spark, sf_dir).select(
+        "record_id", F.col("l.account").alias("bank_account"), "currency", F.col("l.amount").alias("amount_minor"), F.col("l.value").alias("value_date"),
         F.col("l.ref").alias("reference"),
     )
     return paid.unionByName(_played_lines(spark, sf_dir))
+
+
+def payouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event, batch_id, record_id, meant): which lines pay which batches; meant: they carry what a match needs."""
+    paid = _payouts(spark, sf_dir).where("NOT (label = 'double' AND n = 1) AND label NOT IN ('partial', 'late', 'elsewhere')")
+    both = F.col("label").isin("merge", "merge_bare", "complex")
+    batches = F.when(both, F.array("a_id", "b_id")).otherwise(F.array("batch_id"))
+    return paid.select(
+        F.col("batch_id").alias("event"), F.explode(batches).alias("batch_id"), "record_id", (~F.col("label").isin("merge_bare", "complex")).alias("meant")
+    )
