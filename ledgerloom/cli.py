@@ -8,6 +8,7 @@ from datetime import date
 
 from pyspark.sql import SparkSession
 
+from . import sample
 from .plans.cases import WorkflowError
 from .plans.reports import Report
 from .store import SOURCES, Store
@@ -25,7 +26,12 @@ def parser() -> argparse.ArgumentParser:
     report = sub.add_parser("report")
     report.add_argument("--run", type=int)
     report.add_argument("--out", required=True)
+    sub.add_parser("init-db")
+    sub.add_parser("load-sample")
+    sub.add_parser("demo").add_argument("--out", required=True)
     cases = sub.add_parser("cases")
+    cases.add_argument("--limit", type=int, help="rows to show, all without it")
+    cases.add_argument("--offset", type=int, default=0)
     for name in ("status", "chain", "case_type", "currency"):
         cases.add_argument(f"--{name.replace('_', '-')}")
     for name in ("case-note", "case-status", "case-assign"):
@@ -39,23 +45,52 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _load_sample(store: Store) -> None:
+    for source, path in sample.write(f"{store.root}/sample").items():
+        print(source, store.import_file(source, path).message)
+
+
+def _demo(store: Store, out: str) -> int:
+    """The sample from files to reports, in a store that is not there yet."""
+    if store.exists():
+        print(f"{store.root} exists already; a demo needs a new one", file=sys.stderr)
+        return 2
+    _load_sample(store)
+    print("run", store.reconcile(sample.AS_OF)[0])
+    print(*Report(store).write(out), sep="\n")
+    return 0
+
+
+def _show_cases(store: Store, a: argparse.Namespace) -> None:
+    """One case a line, streamed, however many there are."""
+    listed = store.list_cases(status=a.status, chain=a.chain, case_type=a.case_type, currency=a.currency).offset(a.offset)
+    listed = listed.limit(a.limit) if a.limit is not None else listed
+    names = ["case_id", "status", "owner", "case_type", "currency", "amount_minor", "anchor_date", "case_key", "note_count"]
+    print(*names, sep="\t")
+    for row in listed.select(*names).toLocalIterator():
+        print(*row, sep="\t")
+
+
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     store = Store(SparkSession.builder.getOrCreate(), a.root)
     try:
-        if a.command == "import":
+        if a.command == "init-db":
+            store.create()
+        elif a.command == "import":
             done = store.import_file(a.source, a.file, a.strict)
             print(done.status, done.message)
             return int(done.status == "REJECTED")
-        if a.command == "reconcile":
+        elif a.command == "load-sample":
+            _load_sample(store)
+        elif a.command == "demo":
+            return _demo(store, a.out)
+        elif a.command == "reconcile":
             print("run", store.reconcile(a.as_of)[0])
         elif a.command == "report":
-            for name, text in Report(store, a.run).files().items():
-                with open(f"{a.out}/{name}", "w", encoding="utf-8", newline="") as f:
-                    f.write(text)
-                print(name)
+            print(*Report(store, a.run).write(a.out), sep="\n")
         elif a.command == "cases":
-            store.list_cases(status=a.status, chain=a.chain, case_type=a.case_type, currency=a.currency).show(1000, False)
+            _show_cases(store, a)
         elif a.command == "case-note":
             store.add_note(a.case_id, a.value, a.actor)
         elif a.command == "case-status":
@@ -66,7 +101,7 @@ def main(args: list[str] | None = None) -> int:
             from .streaming.landing import watch
 
             watch(store, a.folder).awaitTermination()
-    except (WorkflowError, ValueError) as e:
+    except (WorkflowError, ValueError, OSError) as e:
         print(e, file=sys.stderr)
         return 1
     return 0

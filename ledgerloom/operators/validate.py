@@ -40,32 +40,39 @@ def _minor(name: str) -> Column:
     return F.col(f"__{name}_minor")
 
 
-def _first(*rules: tuple[Column, str]) -> Column:
-    out = F.when(rules[0][0], F.lit(rules[0][1]))
-    for broken, code in rules[1:]:
-        out = out.when(broken, F.lit(code))
-    return out.otherwise(F.lit(None).cast("string"))
+Rule = tuple[Column, str, str]  # what breaks it, the reason, the cell to blame
 
 
-def _ident(name: str, required: bool = True) -> list[tuple[Column, str]]:
+def _first(*rules: Rule) -> tuple[Column, Column]:
+    """The first broken rule's reason, and the cell that broke it with its text; null if none is broken."""
+    reason = field = F
+    for broken, code, cell in rules:
+        reason, field = reason.when(broken, F.lit(code)), field.when(broken, F.lit(cell))
+    cells = F.create_map(*[x for c in dict.fromkeys(r[2] for r in rules) for x in (F.lit(c), _cell(c))])
+    blamed = field.otherwise(F.lit(None).cast("string"))
+    shown = F.concat(blamed, F.lit(": '"), cells[blamed], F.lit("'"))
+    return reason.otherwise(F.lit(None).cast("string")).alias("reason"), shown.alias("detail")
+
+
+def _ident(name: str, required: bool = True) -> list[Rule]:
     v = _cell(name)
-    blank = [(v == "", "MISSING_VALUE")] if required else []
-    return [*blank, ((v != "") & ~v.rlike(IDENTIFIER), "BAD_IDENTIFIER")]
+    blank = [(v == "", "MISSING_VALUE", name)] if required else []
+    return [*blank, ((v != "") & ~v.rlike(IDENTIFIER), "BAD_IDENTIFIER", name)]
 
 
-def _date(name: str, required: bool = True) -> list[tuple[Column, str]]:
+def _date(name: str, required: bool = True) -> list[Rule]:
     v = _cell(name)
-    blank = [(v == "", "MISSING_VALUE")] if required else []
-    return [*blank, ((v != "") & iso_date(v).isNull(), "BAD_DATE")]
+    blank = [(v == "", "MISSING_VALUE", name)] if required else []
+    return [*blank, ((v != "") & iso_date(v).isNull(), "BAD_DATE", name)]
 
 
-def _currency() -> list[tuple[Column, str]]:
+def _currency() -> list[Rule]:
     v = F.upper(_cell("currency"))
-    return [(v == "", "MISSING_VALUE"), (~v.isin(*CURRENCIES), "UNSUPPORTED_CURRENCY")]
+    return [(v == "", "MISSING_VALUE", "currency"), (~v.isin(*CURRENCIES), "UNSUPPORTED_CURRENCY", "currency")]
 
 
-def _amount(name: str) -> list[tuple[Column, str]]:
-    return [(_minor(name).isNull(), "BAD_AMOUNT")]
+def _amount(name: str) -> list[Rule]:
+    return [(_minor(name).isNull(), "BAD_AMOUNT", name)]
 
 
 def ledger(raw: DataFrame) -> DataFrame:
@@ -73,12 +80,12 @@ def ledger(raw: DataFrame) -> DataFrame:
     kind, gross = F.upper(_cell("event_type")), _minor("gross_amount")
     reason = _first(
         *_currency(),
-        (kind == "", "MISSING_VALUE"),
-        (~kind.isin("SALE", "REFUND"), "BAD_VALUE"),
+        (kind == "", "MISSING_VALUE", "event_type"),
+        (~kind.isin("SALE", "REFUND"), "BAD_VALUE", "event_type"),
         *_amount("gross_amount"),
-        (((kind == "SALE") & (gross <= 0)) | ((kind == "REFUND") & (gross >= 0)), "SIGN_RULE"),
+        (((kind == "SALE") & (gross <= 0)) | ((kind == "REFUND") & (gross >= 0)), "SIGN_RULE", "gross_amount"),
         *_ident("original_ref", False),
-        ((kind == "REFUND") & (_cell("original_ref") == ""), "MISSING_VALUE"),
+        ((kind == "REFUND") & (_cell("original_ref") == ""), "MISSING_VALUE", "original_ref"),
         *_ident("ledger_entry_id"),
         *_ident("business_ref"),
         *_ident("merchant_account"),
@@ -95,7 +102,7 @@ def ledger(raw: DataFrame) -> DataFrame:
         gross.alias("gross_minor"),
         iso_date(_cell("event_date")).alias("event_day"),
         _note(raw),
-        reason.alias("reason"),
+        *reason,
     )
 
 
@@ -107,20 +114,21 @@ def psp(raw: DataFrame) -> DataFrame:
     sign = ((kind == "charge") & (gross <= 0)) | ((kind == "refund") & (gross >= 0)) | ((kind == "fee") & (gross != 0))
     reason = _first(
         *_currency(),
-        (kind == "", "MISSING_VALUE"),
-        (~kind.isin("charge", "refund", "fee"), "BAD_VALUE"),
+        (kind == "", "MISSING_VALUE", "type"),
+        (~kind.isin("charge", "refund", "fee"), "BAD_VALUE", "type"),
         *_amount("gross_amount"),
         *_amount("fee_amount"),
         *_amount("net_amount"),
-        (net != gross - fee, "NET_MISMATCH"),
-        (sign, "SIGN_RULE"),
+        (net != gross - fee, "NET_MISMATCH", "net_amount"),
+        (sign, "SIGN_RULE", "gross_amount"),
         *_ident("business_ref", False),
-        ((kind != "fee") & (_cell("business_ref") == ""), "MISSING_VALUE"),
+        ((kind != "fee") & (_cell("business_ref") == ""), "MISSING_VALUE", "business_ref"),
         *_ident("settlement_batch_id", False),
         *_date("settlement_date", False),
         *_ident("bank_account", False),
-        ((batch != "") & ((day == "") | (account == "")), "MISSING_VALUE"),
-        ((batch == "") & (day != ""), "BAD_VALUE"),
+        ((batch != "") & (day == ""), "MISSING_VALUE", "settlement_date"),
+        ((batch != "") & (account == ""), "MISSING_VALUE", "bank_account"),
+        ((batch == "") & (day != ""), "BAD_VALUE", "settlement_date"),
         *_ident("psp_txn_id"),
         *_ident("merchant_account"),
         *_date("created_date"),
@@ -141,7 +149,7 @@ def psp(raw: DataFrame) -> DataFrame:
         F.nullif(batch, F.lit("")).alias("batch_id"),
         iso_date(day).alias("settlement_day"),
         F.nullif(account, F.lit("")).alias("account"),
-        reason.alias("reason"),
+        *reason,
     )
 
 
@@ -149,7 +157,7 @@ def bank(raw: DataFrame) -> DataFrame:
     """Text columns of a bank file -> parsed columns and ``reason``."""
     amount = _minor("amount")
     reason = _first(
-        *_currency(), *_amount("amount"), (amount == 0, "BAD_AMOUNT"), *_ident("bank_txn_id"), *_ident("bank_account"),
+        *_currency(), *_amount("amount"), (amount == 0, "BAD_AMOUNT", "amount"), *_ident("bank_txn_id"), *_ident("bank_account"),
         *_date("value_date"),
     )
     return _prepared(raw, "bank", "amount").select(
@@ -161,7 +169,7 @@ def bank(raw: DataFrame) -> DataFrame:
         iso_date(_cell("value_date")).alias("value_day"),
         _cell("reference").alias("memo"),
         _note(raw),
-        reason.alias("reason"),
+        *reason,
     )
 
 

@@ -51,6 +51,7 @@ class Outcome:
     ledger: DataFrame
     psp: DataFrame
     bank: DataFrame
+    rules: Rules = field(default_factory=Rules)
 
 
 def reconcile(inputs: Inputs) -> Outcome:
@@ -78,7 +79,7 @@ def reconcile(inputs: Inputs) -> Outcome:
     )
     outcome = Outcome(
         states, groups, members, exceptions, evidence, classes, settlements,
-        excluded=asof.excluded(inputs.ledger, inputs.psp, inputs.bank, inputs.as_of), **sides,
+        excluded=asof.excluded(inputs.ledger, inputs.psp, inputs.bank, inputs.as_of), rules=inputs.rules, **sides,
     )
     check(outcome)
     return outcome

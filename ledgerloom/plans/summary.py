@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -80,24 +82,38 @@ def run_counts(o: Outcome) -> DataFrame:
     ])
 
 
+def as_json(o: Outcome, as_of: date) -> str:
+    """The run's summary for programs: aggregates per chain and currency, a few rows each."""
+    rows = lambda df: [r.asDict() for r in df.collect()]
+    return json.dumps({
+        "as_of": as_of.isoformat(), "rules": asdict(o.rules), "status_breakdown": rows(status_breakdown(o.states)), "sides": rows(side_rollup(o.states)),
+        "bridge": rows(bridge(o.settlements)), "groups_by_rule": rows(groups_by_rule(o.groups)), "exceptions": rows(exceptions_by_type(o.exceptions)),
+        "excluded": rows(o.excluded), "counts": {r.what: r.n for r in run_counts(o).collect()},
+    }, default=str, sort_keys=True)
+
+
 def long_format(o: Outcome) -> DataFrame:
     """The summary as section, chain, source, currency, metric, count, amount (a machine decimal)."""
+    return long_rows(o.states, o.groups, o.exceptions, bridge(o.settlements), o.excluded)
+
+
+def long_rows(states: DataFrame, groups: DataFrame, cases: DataFrame, flows: DataFrame, excluded: DataFrame) -> DataFrame:
+    """The long format of stored tables: states, groups, open cases, the settlement bridge, what the cut-off left out."""
     shape = lambda df, section, chain, source, metric, n, amount: df.select(
         F.lit(section).alias("section"), chain.alias("chain"), source.alias("source"), F.col("currency"), metric.alias("metric"),
         n.cast("bigint").alias("count"), to_plain(amount).alias("amount"),
     )
     col = F.col
     chain = F.when(col("chain") == "A", "A (gross)").otherwise("B (net)")
-    sides = side_rollup(o.states)
-    flows = bridge(o.settlements)
+    sides = side_rollup(states)
     parts = [
         shape(sides, "chain", chain, col("record_type"), F.lit("total"), col("total_count"), col("total_amount")),
         shape(sides, "chain", chain, col("record_type"), F.lit("matched"), col("matched_count"), col("matched_amount")),
-        shape(status_breakdown(o.states.where("status <> 'MATCHED'")), "chain", chain, col("record_type"), F.concat(F.lit("status:"), "status"), col("n"), col("amount_minor")),
+        shape(status_breakdown(states.where("status <> 'MATCHED'")), "chain", chain, col("record_type"), F.concat(F.lit("status:"), "status"), col("n"), col("amount_minor")),
         *[shape(flows, "settlement_bridge", F.lit("B"), F.lit("psp"), F.lit(m), col("batches"), col(f"{m}_minor")) for m in ("gross", "fee", "net")],
-        shape(groups_by_rule(o.groups), "match_groups", col("chain"), col("rule"), F.lit("groups"), col("n_groups"), col("amount_minor")),
-        shape(open_exposure(o.exceptions), "open_exceptions", col("chain"), col("case_type"), F.lit("open (abs exposure)"), col("n"), col("exposure_minor")),
+        shape(groups_by_rule(groups), "match_groups", col("chain"), col("rule"), F.lit("groups"), col("n_groups"), col("amount_minor")),
+        shape(open_exposure(cases), "open_exceptions", col("chain"), col("case_type"), F.lit("open (abs exposure)"), col("n"), col("exposure_minor")),
     ]
-    cut = o.excluded.select(F.lit("as_of_cutoff").alias("section"), F.lit("").alias("chain"), "source", F.lit("").alias("currency"),
-                            F.lit("excluded (dated after as-of)").alias("metric"), F.col("excluded").cast("bigint").alias("count"), F.lit("").alias("amount"))
+    cut = excluded.select(F.lit("as_of_cutoff").alias("section"), F.lit("").alias("chain"), "source", F.lit("").alias("currency"),
+                          F.lit("excluded (dated after as-of)").alias("metric"), F.col("excluded").cast("bigint").alias("count"), F.lit("").alias("amount"))
     return union([*parts, cut])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-RULES_VERSION = "2026.09-v1"
+#: The version of this engine's rules, kept with each run.
+RULES_VERSION = "loom-2"
 CURRENCIES = ("SGD", "USD", "EUR")
 AMOUNT_LIMIT_DIGITS = 12
 SLA_DAYS = 3

@@ -7,6 +7,7 @@ their own event, so readers never see the half of one; cases are versions, of wh
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from dataclasses import dataclass
 from datetime import date
@@ -18,17 +19,18 @@ from .lineage import settle
 from .operators import dedupe, validate
 from .operators.asof import default_as_of
 from .plans import cases as case_plan
-from .plans import summary
 from .plans.engine import Inputs, Outcome, reconcile
+from .plans.summary import as_json
 from .rules import RULES_VERSION, Rules
 from .sources.files import identities, scan
 
 SOURCES = ("ledger", "psp", "bank")
+#: Names of stored columns and of audit actions that readers of the tables rely on.
 _KEY = "record_id string, business_key struct<merchant:string,ref:string>, content_hash string, import_id bigint, source_row int"
 SCHEMAS = {
     "imports": "import_id bigint, source string, file_name string, sha256 string, status string, message string, rows_read bigint, "
     "rows_loaded bigint, rows_duplicate bigint, rows_quarantined bigint, totals string",
-    "issues": "issue_id bigint, import_id bigint, source string, source_row int, kind string, reason string, record_id string, conflicts_with string, raw string",
+    "issues": "issue_id bigint, import_id bigint, source string, source_row int, kind string, reason string, detail string, record_id string, conflicts_with string, raw string",
     "ledger": "event_type string, business_ref string, original_ref string, merchant_account string, currency string, gross_minor bigint, event_date date, description string, " + _KEY,
     "psp": "type string, business_ref string, merchant_account string, currency string, gross_minor bigint, fee_minor bigint, net_minor bigint, "
     "created_date date, available_on date, batch_id string, settlement_date date, bank_account string, " + _KEY,
@@ -118,15 +120,20 @@ class Store:
         if about.refused:
             return ended("REJECTED", about.refused)
         text = rows.where("source_row > 0").withColumn("import_id", F.lit(number).cast("bigint"))
-        parsed = validate.PARSERS[source](text).withColumn("reason", F.when(F.col("misshapen"), "BAD_ROW_SHAPE").otherwise(F.col("reason")))
+        odd = F.col("misshapen")
+        parsed = validate.PARSERS[source](text).withColumns({
+            "reason": F.when(odd, "BAD_ROW_SHAPE").otherwise(F.col("reason")),
+            "detail": F.when(odd, "the row has more or fewer cells than the header").otherwise(F.col("detail")),
+        })
         parsed = settle(parsed, "parsed")
         order = F.struct("import_id", "source_row")
         stored = self.records(source).withColumn("ord", order)
         judged = settle(dedupe.dedupe(validate.records(parsed, source).withColumn("ord", order), stored), "judged")
-        bad = parsed.where("reason IS NOT NULL").select("source_row", F.lit("QUARANTINED").alias("kind"), "reason", "record_id", F.lit(None).cast("string").alias("conflicts_with"), "raw")
+        bad = parsed.where("reason IS NOT NULL").select("source_row", F.lit("QUARANTINED").alias("kind"), "reason", "detail", "record_id", F.lit(None).cast("string").alias("conflicts_with"), "raw")
         blocker = F.concat_ws(":", F.col("conflicts_with.import_id"), F.col("conflicts_with.source_row"))
         twice = judged.where("verdict <> 'LOADED'").select(
-            "source_row", F.when(F.col("verdict") == "DUPLICATE_ROW", "DUPLICATE").otherwise("QUARANTINED").alias("kind"), F.col("verdict").alias("reason"), "record_id",
+            "source_row", F.when(F.col("verdict") == "DUPLICATE_ROW", "DUPLICATE").otherwise("QUARANTINED").alias("kind"), F.col("verdict").alias("reason"),
+            F.concat_ws(" ", F.lit("the record of import and row"), blocker, F.lit("stands")).alias("detail"), "record_id",
             blocker.alias("conflicts_with"), "raw",
         )
         issues = settle(bad.unionByName(twice), "issues")
@@ -142,7 +149,7 @@ class Store:
         self.append("issues", issues.withColumns({"issue_id": F.col("source_row") + F.lit(number * (1 << 32)), "import_id": F.lit(number), "source": F.lit(source)}))
         amount = {"ledger": "gross_minor", "psp": "net_minor", "bank": "amount_minor"}[source]
         sums = judged.where("verdict = 'LOADED'").groupBy("currency").agg(F.count("*").alias("count"), F.sum(amount).alias("amount_minor")).orderBy("currency")
-        base["totals"] = "{" + ",".join(f'"{r.currency}":{{"count":{r["count"]},"amount_minor":{r.amount_minor}}}' for r in sums.collect()) + "}"
+        base["totals"] = json.dumps({r.currency: {"count": r["count"], "amount_minor": r.amount_minor} for r in sums.collect()})
         note = f"; unknown columns ignored: {about.unknown}" if about.unknown else ""
         message = f"read {read}, loaded {loaded}, duplicate {dup}, quarantined {held}{note}"
         return ended("PARTIAL" if held else "LOADED", message, read=read, loaded=loaded, duplicate=dup, quarantined=held)
@@ -197,10 +204,10 @@ class Store:
         for name in ("states", "groups", "members", "evidence", "classes"):
             self.append(name, tag(getattr(found, name)))
         self.append("run_exceptions", tag(case_plan.snapshot(found.exceptions, cases)))
-        counts = {r.what: r.n for r in summary.run_counts(found).collect()}
-        self._event("audit", {"run_id": run_id, "case_key": None, "actor": "system", "action": "RUN_COMPLETED", "detail": str(counts)})
+        about = as_json(found, as_of)
+        self._event("audit", {"run_id": run_id, "case_key": None, "actor": "system", "action": "RUN_COMPLETED", "detail": json.dumps(json.loads(about)["counts"])})
         self._event("runs", {"run_id": run_id, "as_of": as_of, "rules": RULES_VERSION, "high_water": high, "fingerprint": mark, "case_sync": synced,
-                             "elapsed_ms": int(1000 * (time.time() - began)), "summary": str(counts)})
+                             "elapsed_ms": int(1000 * (time.time() - began)), "summary": about})
         return run_id, found
 
     # ------------------------------------------------------------ case work
@@ -217,7 +224,7 @@ class Store:
         changed = case | event["change"]
         if event["change"]:
             self._event("cases", changed | {"event_id": self._next("cases", "event_id")})
-        self._event("audit", {"run_id": None, "case_key": case["case_key"], "actor": event["actor"], "action": event["action"], "detail": str(event["change"])})
+        self._event("audit", {"run_id": None, "case_key": case["case_key"], "actor": event["actor"], "action": event["action"], "detail": json.dumps(event["change"])})
         return changed
 
     def set_status(self, case_id: int, status: str, actor: str, disposition: str = "", reason: str = "") -> dict:
@@ -255,6 +262,18 @@ class Store:
             "case_key", "record_type", "record_id", "role", "members", "source_row", "file_name", "sha256"
         )
 
+    def exists(self) -> bool:
+        fs, path = self._path("")
+        return fs.exists(path)
+
+    def create(self) -> None:
+        """Make the store's folder, so that it can be looked at before anything is imported."""
+        fs, path = self._path("")
+        fs.mkdirs(path)
+
+    def filter_values(self) -> DataFrame:
+        return case_plan.filter_values(self.cases())
+
     def latest(self, name: str, key: str, k: int) -> DataFrame:
         """The k last rows of a log."""
         return self.table(name).orderBy(F.desc(key)).limit(k)

@@ -1,10 +1,13 @@
+import csv
+import io
+import json
 from datetime import date
 
 import pytest
 
 from ledgerloom import cli
 from ledgerloom.plans.cases import WorkflowError
-from ledgerloom.plans.reports import Report, page, safe
+from ledgerloom.plans.reports import SECTIONS, Report, write_page
 from ledgerloom.store import Store
 from ledgerloom.streaming.landing import watch
 
@@ -69,10 +72,10 @@ def test_from_files_to_reports(spark, files, tmp_path):
     assert [(r.owner, r.status, r.note_count) for r in listed] == [("bob", "In review", 1)]
 
     report = Report(store)
-    assert report.live and len(report.exception_rows()) == 3
+    assert report.live and report.exceptions().count() == 3
     assert store.import_file("bank", f"{files}/late.csv").status == "LOADED"
     old = Report(store, run)
-    assert not old.live and {r[1] for r in old.exception_rows()} == set(case)
+    assert not old.live and {r.case_key for r in old.exceptions().collect()} == set(case)
     store.reconcile(date(2026, 7, 11))
     after = {r.case_key: (r.status, r.disposition, r.engine_active) for r in store.cases().collect()}
     assert after["B|STL|STL-2"] == ("Resolved", "AUTO_CLEARED", False)
@@ -81,8 +84,19 @@ def test_from_files_to_reports(spark, files, tmp_path):
     back, _ = store.reconcile(date(2026, 7, 5))
     assert store.table("cases").count() == versions and not store.table("runs").where(f"run_id = {back}").first().case_sync
     made = Report(store).files()
-    assert len(made) == 4 and all(name.startswith("eod_2026-07-05_run3_snapshot") for name in made)
+    assert len(made) == 3 and all(name.startswith("eod_2026-07-05_run3_snapshot") for name in made)
     assert any("A (gross),ledger,SGD,matched,1,1000.00" in text for text in made.values())
+    text = next(v for k, v in made.items() if k.endswith("summary.csv"))
+    table = list(csv.DictReader(io.StringIO(text)))
+    order = [SECTIONS.index(r["section"]) for r in table]
+    assert order == sorted(order) and set(range(len(SECTIONS))) - set(order) <= {SECTIONS.index("match_groups")}
+    bridge = {r["metric"]: (r["count"], r["amount"]) for r in Report(store, run).summary().where("section = 'settlement_bridge'").collect()}
+    assert bridge == {"gross": ("2", "1050.00"), "fee": ("2", "20.00"), "net": ("2", "1030.00")}
+    held = {r["source_row"]: (r["reason_code"], r["detail"]) for r in csv.DictReader(io.StringIO(next(v for k, v in made.items() if k.endswith("data_quality.csv"))))}
+    assert held["6"] == ("BAD_AMOUNT", "gross_amount: 'abc'") and "cells" in held["7"][1] and held["5"][0] == "CONFLICT_RECORD_ID"
+    about = json.loads(store.table("runs").where(f"run_id = {run}").first().summary)
+    assert about["counts"]["settlements"] == 2 and about["rules"]["max_candidates"] == 12
+    assert {r.value for r in store.filter_values().where("filter = 'currency'").collect()} == {"SGD"}
     actions = {r.action for r in store.table("audit").collect()}
     assert {"CASE_OPENED", "CASE_AUTO_CLEARED", "CASE_RESOLVED", "CASE_ASSIGNED", "NOTE_ADDED", "RUN_COMPLETED", "IMPORT_REJECTED"} <= actions
 
@@ -112,6 +126,25 @@ def test_command_line(spark, files, tmp_path, capsys):
     assert "LOADED" in capsys.readouterr().out
 
 
-def test_cells_are_escaped():
-    assert [safe(x) for x in ("=1", "-1.50", None, "", "@a")] == ["'=1", "-1.50", "", "", "'@a"]
-    assert "<script>" not in page("t", {"x": (["h"], [["<script>"]])})
+def test_the_demo_and_paged_lists(spark, tmp_path, capsys):
+    root = ["--root", str(tmp_path / "new")]
+    assert cli.main([*root, "demo", "--out", str(tmp_path / "out" / "deep")]) == 0
+    assert len(list((tmp_path / "out" / "deep").iterdir())) == 4
+    assert "<h2>settlement_bridge</h2>" in next((tmp_path / "out" / "deep").glob("*.html")).read_text()
+    assert cli.main([*root, "demo", "--out", str(tmp_path)]) == 2
+    capsys.readouterr()
+    assert cli.main([*root, "cases", "--limit", "2", "--offset", "1"]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 3
+    store = Store(spark, str(tmp_path / "new"))
+    got = {r.case_key: r.case_type for r in store.list_cases().collect()}
+    assert got == {
+        "A|SHOP-1|ORD-01": "SOURCE_CONFLICT", "A|SHOP-1|ORD-04": "AMOUNT_MISMATCH", "A|SHOP-1|ORD-10": "MISSING_IN_LEDGER",
+        "B|STL|BATCH-3": "MISSING_IN_BANK", "B|BANK|B-4": "UNEXPECTED_BANK_DEBIT",
+    }
+    assert {r.rule for r in store.table("groups").where("chain = 'B'").collect()} == {"B1_REF_1TO1", "B2S_REF_SPLIT", "B3_AMOUNT_DATE_UNIQUE"}
+    assert cli.main(["--root", str(tmp_path / "void"), "init-db"]) == 0 and Store(spark, str(tmp_path / "void")).exists()
+
+
+def test_cells_are_escaped(spark):
+    write_page(file := io.StringIO(), "t", iter([("x", ["h"], iter([["<script>"]]))]))
+    assert "<script>" not in file.getvalue()
