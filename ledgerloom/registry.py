@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import oracle, views
 from .functions.money import fmt_minor, parse_amount, to_plain
 from .functions.text import csv_safe
-from .lineage import settle
+from .lineage import settle, settle_all
 from .operators import asof, chain_b, dedupe, validate
 from .operators.numbering import numbered
 from .operators.settlements import bridge
@@ -22,24 +22,31 @@ Query = Callable[[SparkSession, str], DataFrame]
 EARLIER = views.AS_OF.replace(day=20)
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the order tables changed last: what is kept of them holds no longer than that."""
+    path = lambda n: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{n}.parquet")
+    system = path("orders").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.sparkContext.applicationId, *(system.getFileStatus(path(n)).getModificationTime() for n in ("orders", "customer", "nation"))
+
+
 @lru_cache(maxsize=16)
-def _sides(app: str, sf_dir: str, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(settle(f(spark, sf_dir), f.__name__) for f in (views.ledger, views.psp, views.bank))
+def _sides(stamp: tuple, sf_dir: str, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(settle_all(*((f(spark, sf_dir), f.__name__) for f in (views.ledger, views.psp, views.bank))))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Ledger, provider and bank records, written once per session and directory."""
-    return _sides(spark.sparkContext.applicationId, sf_dir, spark)
+    """Ledger, provider and bank records, written once per session and state of the directory."""
+    return _sides(_stamp(spark, sf_dir), sf_dir, spark)
 
 
 @lru_cache(maxsize=16)
-def _outcome(app: str, sf_dir: str, spark: SparkSession, as_of) -> Outcome:
+def _outcome(stamp: tuple, sf_dir: str, spark: SparkSession, as_of) -> Outcome:
     return reconcile(Inputs(*sides(spark, sf_dir), as_of, views.blocked(spark, sf_dir)))
 
 
 def outcome(spark: SparkSession, sf_dir: str, as_of=views.AS_OF) -> Outcome:
     """A run of the engine; its frames are tables, so that queries share them."""
-    return _outcome(spark.sparkContext.applicationId, sf_dir, spark, as_of)
+    return _outcome(_stamp(spark, sf_dir), sf_dir, spark, as_of)
 
 
 def _of(f: Callable[[Outcome], DataFrame]) -> Query:
@@ -82,13 +89,13 @@ def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lru_cache(maxsize=16)
-def _parsed(app: str, sf_dir: str, spark: SparkSession) -> DataFrame:
+def _parsed(stamp: tuple, sf_dir: str, spark: SparkSession) -> DataFrame:
     return settle(validate.ledger(settle(raw_ledger(spark, sf_dir), "raw-ledger")), "parsed-ledger")
 
 
 def parsed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validated once per session and directory, as an import does."""
-    return _parsed(spark.sparkContext.applicationId, sf_dir, spark)
+    return _parsed(_stamp(spark, sf_dir), sf_dir, spark)
 
 
 def ledger_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
