@@ -31,7 +31,8 @@ def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
 
 @lru_cache(maxsize=16)
 def _sides(stamp: tuple, sf_dir: str, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(settle_all(*((f(spark, sf_dir), f.__name__) for f in (views.ledger, views.psp, views.bank))))
+    ledger, psp = settle_all((views.ledger(spark, sf_dir), "ledger"), (views.psp(spark, sf_dir), "psp"))
+    return ledger, psp, settle(views.bank(spark, sf_dir, psp), "bank")
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -39,9 +40,18 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return _sides(_stamp(spark, sf_dir), sf_dir, spark)
 
 
+@lru_cache(maxsize=16)
+def _blocked(stamp: tuple, sf_dir: str, spark: SparkSession) -> DataFrame:
+    return settle(views.blocked(spark, sf_dir, *sides(spark, sf_dir)[:2]), "blocked")
+
+
+def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocked(_stamp(spark, sf_dir), sf_dir, spark)
+
+
 @lru_cache(maxsize=16)
 def _outcome(stamp: tuple, sf_dir: str, spark: SparkSession, as_of) -> Outcome:
-    return reconcile(Inputs(*sides(spark, sf_dir), as_of, views.blocked(spark, sf_dir)))
+    return reconcile(Inputs(*sides(spark, sf_dir), as_of, blocked(spark, sf_dir)))
 
 
 def outcome(spark: SparkSession, sf_dir: str, as_of=views.AS_OF) -> Outcome:
@@ -162,7 +172,7 @@ def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reference_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that no conflict blocks, and the batches that their references name."""
-    o, bad = outcome(spark, sf_dir), views.blocked(spark, sf_dir).where("source = 'bank'").select("record_id")
+    o, bad = outcome(spark, sf_dir), blocked(spark, sf_dir).where("source = 'bank'").select("record_id")
     return chain_b.reference_links(o.bank.join(bad, "record_id", "left_anti").withColumnRenamed("record_id", "bank_id"), o.settlements)
 
 
@@ -225,7 +235,7 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = F.expr("k % 89 <> 5 AND k % 97 <> 3 AND k % 211 <> 9 AND NOT (k % 101 = 11 AND NOT refund) AND k % 83 <> 7 AND k % 199 <> 9 AND k % 197 <> 8 AND k % 227 <> 10")
     orders = views.base(spark, sf_dir).where("k % 89 <> 5 AND k % 97 <> 3 AND k % 199 <> 9")
     chain_a = orders.select(F.lit("A").alias("chain"), F.concat(F.lit("L-"), key, F.lit("=P-"), key).alias("pair"), (clean & (F.date_add("day", 2) <= F.lit(views.AS_OF))).alias("meant"))
-    meant = views.payouts(spark, sf_dir)
+    meant = views.payouts(sides(spark, sf_dir)[1])
     pairs = _joined_ids(meant, "event", F.col("batch_id"), F.col("record_id"))
     wanted = meant.groupBy("event").agg(F.max("meant").alias("meant"))
     truth = chain_a.unionByName(pairs.join(wanted, "event").select(F.lit("B").alias("chain"), "pair", "meant"))

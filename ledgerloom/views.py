@@ -132,8 +132,9 @@ def _played_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that a conflicting source row names: some orders' ledger rows and items, and those of the scenes."""
+def blocked(spark: SparkSession, sf_dir: str, ledgers: DataFrame, provided: DataFrame) -> DataFrame:
+    """Records that a conflicting source row names: some of the orders' ledger rows and provider items, and those of the
+    scenes."""
     k = F.expr("try_cast(substring(record_id, 3) as bigint)")
     of = lambda df, source, hit: df.select("record_id", k.alias("k")).where(hit).select(
         F.lit(source).alias("source"), "record_id", F.array("k").alias("issue_ids")
@@ -142,8 +143,8 @@ def blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("-"), F.col("scene"), F.col("batch"), F.col("n").cast("string"))
     lines = _played(spark, sf_dir, LINES, "scene line amount currency day names conflict").where("conflict")
     return (
-        of(ledger(spark, sf_dir), "ledger", F.col("k") % 197 == 8)
-        .unionByName(of(psp(spark, sf_dir).drop("k"), "psp", F.col("k") % 227 == 10))
+        of(ledgers, "ledger", F.col("k") % 197 == 8)
+        .unionByName(of(provided.drop("k"), "psp", F.col("k") % 227 == 10))
         .unionByName(items.select(F.lit("psp").alias("source"), _of_customer("P-S", name).alias("record_id"), F.array("c").alias("issue_ids")))
         .unionByName(lines.select(F.lit("bank").alias("source"), _line_id().alias("record_id"), F.array("c").alias("issue_ids")))
     )
@@ -191,9 +192,9 @@ def psp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.unionByName(_played_items(spark, sf_dir))
 
 
-def _payouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _payouts(provided: DataFrame) -> DataFrame:
     """One or two bank lines per batch of orders, by the batch's smallest order key: batch, its label, pair and line."""
-    batches = psp(spark, sf_dir).where("batch_id IS NOT NULL AND k >= 0").groupBy("batch_id").agg(
+    batches = provided.where("batch_id IS NOT NULL AND k >= 0").groupBy("batch_id").agg(
         F.min("bank_account").alias("account"), F.min("currency").alias("currency"), F.max("currency").alias("most"),
         F.min("settlement_date").alias("day"), F.sum("net_minor").alias("net"), F.min("k").alias("k"), F.min("nation").alias("nation"),
     )
@@ -234,18 +235,18 @@ def _payouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("batch_id", "currency", "label", "how", "a_id", "b_id", F.posexplode(lines).alias("n", "l")).where("l.amount <> 0").withColumn("record_id", F.concat(F.lit("B-"), F.substring("batch_id", 5, 64), F.lit("-"), (F.col("n") + 1).cast("string")))
 
 
-def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The payouts of the orders' batches, and the lines of the scenes."""
-    paid = _payouts(spark, sf_dir).select(
+def bank(spark: SparkSession, sf_dir: str, provided: DataFrame) -> DataFrame:
+    """The payouts of the orders' batches, and the lines of the scenes; ``provided``: the provider's items."""
+    paid = _payouts(provided).select(
         "record_id", F.col("l.account").alias("bank_account"), "currency", F.col("l.amount").alias("amount_minor"), F.col("l.value").alias("value_date"),
         F.col("l.ref").alias("reference"),
     )
     return paid.unionByName(_played_lines(spark, sf_dir))
 
 
-def payouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def payouts(provided: DataFrame) -> DataFrame:
     """(event, batch_id, record_id, meant): which lines pay which batches; meant: they carry what a match needs."""
-    paid = _payouts(spark, sf_dir).where("NOT (label = 'double' AND n = 1) AND label NOT IN ('partial', 'late', 'elsewhere')")
+    paid = _payouts(provided).where("NOT (label = 'double' AND n = 1) AND label NOT IN ('partial', 'late', 'elsewhere')")
     both = F.col("label").isin("merge", "merge_bare", "complex")
     batches = F.when(both, F.array("a_id", "b_id")).otherwise(F.array("batch_id"))
     return paid.select(
