@@ -135,3 +135,27 @@ def test_no_records_and_broken_invariants(spark):
     full.groups = full.groups.withColumn("right_total", F.lit(1))
     with pytest.raises(InvariantError, match="conservation"):
         check(full)
+
+
+def test_evidence_grows_with_the_records_not_with_their_pairs(spark):
+    """Hundreds of equal amounts on one day, and one reference that joins many settlements with many lines."""
+    n = 300
+    psp = [batch(f"E{i:04d}", 500) for i in range(n)] + [batch(f"C{i:02d}", 100 + i, account="BK2") for i in range(40)]
+    names = " ".join(f"C{i:02d}" for i in range(40))
+    bank = [line(f"e{i:04d}", 500) for i in range(n)] + [line(f"c{i:02d}", 7, ref=names, account="BK2") for i in range(50)]
+    o = run(spark, psp=psp, bank=bank)
+    assert {r.case_type for r in o.exceptions.where("chain = 'B'").collect()} == {"AMBIGUOUS_CANDIDATES", "COMPLEX_REFERENCE"}
+    assert o.evidence.where("case_key LIKE 'B%'").count() <= 4 * (n + 40) and o.classes.count() == n + 50
+    shown = o.evidence.where("record_type = 'class'").groupBy("record_id", "members", "role").count().collect()
+    assert {(r.record_id, r.members, r.role, r["count"]) for r in shown} == {
+        (f"U|BK1|SGD|500|{D}", n, "candidate", n), ("R|c00", 50, "referencing_line", 40),
+    }
+    assert {r.record_id for r in o.classes.where("class_key = 'R|c00'").collect()} == {f"c{i:02d}" for i in range(50)}
+
+
+def test_other_merchants_of_a_reference_many_share(spark):
+    ledger = [(f"L{i}", "SALE", "SAME", None, f"M{i:03d}", "SGD", 100, day(0)) for i in range(200)]
+    psp = [("P1", "charge", "SAME", "M999", "SGD", 100, 0, 100, day(0), day(0), None, None, None)]
+    o = run(spark, ledger=ledger, psp=psp)
+    assert {r.status for r in o.states.where("chain = 'A'").collect()} == {"ACCOUNT_MISMATCH"}
+    assert "M000" in o.exceptions.where("anchor_id = 'P1'").first().explanation

@@ -46,6 +46,35 @@ def test_content_is_what_was_parsed(spark):
     assert len(set(hashes)) == 2
 
 
+def test_a_description_is_content(spark):
+    """Rows alike but for their description conflict, and an empty one is none."""
+    for source in ("ledger", "bank"):
+        columns = validate.REQUIRED[source] + validate.OPTIONAL[source]
+        rows = [tuple((GOOD[source] | {"description": d})[x] for x in columns) for d in (None, " ", "one", " one ", "two")]
+        frame = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+        hashes = [r.content_hash for r in validate.records(validate.PARSERS[source](frame), source).collect()]
+        assert [hashes.index(h) for h in hashes] == [0, 0, 2, 2, 4]
+        bare = validate.records(validate.PARSERS[source](frame.drop("description").limit(1)), source).first()
+        assert bare.content_hash == hashes[0] and bare.description == ""
+
+
+def test_dedupe_against_stored_records(spark):
+    rng = random.Random(18)
+    rows = [(i, f"r{rng.randrange(60)}", rng.choice([None, *(f"k{j}" for j in range(40))]), rng.choice("ab")) for i in range(160)]
+    want = sequential(rows)
+    schema = "ord int, record_id string, business_key string, content_hash string"
+    stored = spark.createDataFrame([r for r in rows[:80] if want[r[0]][0] == "LOADED"], schema)
+    got = {r.ord: (r.verdict, r.conflicts_with) for r in dedupe(spark.createDataFrame(rows[80:], schema), stored).collect()}
+    assert got == {r[0]: want[r[0]] for r in rows[80:]}
+
+
+def test_the_cell_to_blame_is_shown(spark):
+    columns = validate.REQUIRED["psp"]
+    rows = [tuple((GOOD["psp"] | c)[x] for x in columns) for c in ({"net_amount": "9.01"}, {"bank_account": ""}, {})]
+    got = [r.detail for r in validate.psp(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))).collect()]
+    assert got == ["net_amount: '9.01'", "bank_account: ''", None]
+
+
 def sequential(rows):
     """Load one after another."""
     ids, keys, out = {}, {}, {}
