@@ -35,9 +35,9 @@ from .rindex import RunIndex
 LENGTH = 200
 GRAM = 64
 #: The grams that split an anchor's contexts, before the string itself.
-LONGER = (128,)
+LONGER = (128, 176, 192)
 #: Contexts that one group of a shard holds at most.
-GROUP = 400
+GROUP = 256
 SHARD_BYTES = 2_000_000
 CHUNK = 1 << 16
 #: Stands for a text whose own repeats are known already.

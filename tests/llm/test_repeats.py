@@ -102,7 +102,7 @@ def test_a_line_in_every_document_and_a_string_thousands_of_times(spark, monkeyp
 def test_splits_keep_every_string():
     rng = random.Random(10)
     data = bytes(rng.randrange(4) for _ in range(336))
-    for gram in (128, 200):
+    for gram in (*repeats.LONGER, 200):
         (batch,) = repeats._split_batches(200, gram)(iter([pa.RecordBatch.from_arrays([pa.array([b"c" * 16]), pa.array([data])], ["cid", "data"])]))
         starts = [at + i for at, n in zip(batch["at"].to_pylist(), batch["count"].to_pylist()) for i in range(n)]
         assert sorted(starts) == list(range(137))
