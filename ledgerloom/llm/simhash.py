@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..operators.components import roots
 from ..operators.counted import join_counted
 from . import nearcopies
-from .common import scratch, settle, table, utf8
+from .common import NARROW_ROWS, scratch, settle, table, utf8
 
 RADIUS = 4
 SHINGLE = 4
@@ -224,12 +224,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
         first = F.min(F.struct(F.col("keep_id").isNull().alias("late"), "keep_id", "keep_hash"))
         keep = nearcopies.groups(docs, prints).groupBy("root").agg(first.alias("k")).select("k.keep_id", "k.keep_hash")
         keep = kept(settle(keep, "keep"))
-        again = prints.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+        ids = prints.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+        same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash"))
+        gone = kept(settle(ids.distinct().join(keep, same, "left_anti").toDF("gone_id", "gone_hash"), "gone"))
+        again = ids.groupBy("id", "hash").count().where("count > 1").limit(1).count()
     own = docs.select(
         F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
-    stay = own.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")), "left_semi")
+    few = gone.count()
+    if few <= NARROW_ROWS:  # spares the shuffle of the texts
+        stay = own.join(F.broadcast(gone), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
+    else:
+        stay = own.join(keep, same, "left_semi")
     if again:  # rows that repeat id and text
         stay = stay.dropDuplicates(["id", "hash"])
     return stay.select("row.*")

@@ -2,8 +2,9 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
-from ledgerloom.llm import nearcopies, simhash
+from ledgerloom.llm import common, nearcopies, simhash
 from ledgerloom.llm.common import table
 
 from .helpers import DATA
@@ -47,7 +48,12 @@ def test_near_copies_beyond_the_radius_go(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
-def test_kept_documents_against_brute_force(spark):
+@pytest.mark.parametrize("rows", [None, 3])
+def test_kept_documents_against_brute_force(spark, monkeypatch, rows):
+    """By broadcast lists of ids, and by shuffles where these are long."""
+    if rows:
+        monkeypatch.setattr(common, "NARROW_ROWS", rows)
+        monkeypatch.setattr(simhash, "NARROW_ROWS", rows)
     docs = table(spark, DATA, "documents")
     want = plain_kept([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
