@@ -25,7 +25,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.counted import join_counted
@@ -238,27 +238,47 @@ def _matched(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(_match_batches(length), "tid binary, lo int, hi int")
 
 
+def _joined(runs: Column) -> Column:
+    """Runs array<struct<lo, hi>> as maximal ones: those that meet or overlap are one. For a context, whose runs are few;
+    work grows with the square of their number."""
+    inner = lambda x: F.exists(runs, lambda y: (y["lo"] < x["lo"]) & (x["lo"] <= y["hi"]))
+    outer = lambda x: F.exists(runs, lambda y: (y["lo"] <= x["hi"]) & (x["hi"] < y["hi"]))
+    los = F.array_sort(F.array_distinct(F.transform(F.filter(runs, lambda x: ~inner(x)), lambda x: x["lo"])))
+    his = F.array_sort(F.array_distinct(F.transform(F.filter(runs, lambda x: ~outer(x)), lambda x: x["hi"])))
+    return F.zip_with(los, his, lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+def _own_runs(found: DataFrame) -> DataFrame:
+    """(tid, lo, hi) -> (tid, runs), one row per run still."""
+    return found.select("tid", F.array(F.struct("lo", "hi")).alias("runs"))
+
+
 def marks_of(pieces: DataFrame, length: int, grams: tuple[int, ...]) -> DataFrame:
-    """Settled pieces (parent, at, cid, key, count, data) -> (tid: the parent, lo, hi), the runs of repeated starts in
-    each parent. ``grams``: what splits the contexts of a key that has too many; none if a context is one string."""
+    """Settled pieces (parent, at, cid, key, count, data) -> (tid: the parent, runs: those of repeated starts in it);
+    nothing for ``KNOWN`` parents. ``grams``: what splits the contexts of a key that has too many; none if a context
+    is one string. A context's runs stay one list, wherever it occurs."""
     n, first = F.count("*").alias("n"), [F.first(c).alias(c) for c in ("key", "count", "data")]
     with scratch(pieces.sparkSession) as keep:
         contexts = settle(pieces.groupBy("cid").agg(n, *first), "contexts")
-        found = [contexts.where("n > 1").select("cid", F.lit(0).alias("lo"), F.col("count").alias("hi"))]
+        recurs = contexts.where("n > 1").select(F.col("cid").alias("tid"), F.lit(0).alias("lo"), F.col("count").alias("hi"))
+        found = [_own_runs(recurs)]
         if grams:
             of_key = settle(contexts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
             rivals = join_counted(contexts.select("cid", "key", "data"), of_key, "key", contexts.count())
             small = rivals.where(F.col("n") <= GROUP).withColumnsRenamed({"cid": "owner"}).withColumn("lo", F.lit(0))
-            found.append(_matched(small, length).toDF("cid", "lo", "hi"))
+            found.append(_own_runs(_matched(small, length)))
             if of_key.where(F.col("n") > GROUP).limit(1).count():
                 many = rivals.where(F.col("n") > GROUP).select("cid", "data")
                 parts = settle(many.mapInArrow(_split_batches(length, grams[0]), _PIECES), "parts")
-                found.append(marks_of(parts, length, grams[1:]).toDF("cid", "lo", "hi"))
-        runs = reduce(DataFrame.union, found).groupBy("cid").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-        runs = settle(contexts.select("cid", "n").join(runs, "cid"), "runs")
-        placed = join_counted(pieces.select("parent", "at", "cid"), runs, "cid", pieces.count())
-        run = placed.select(F.col("parent").alias("tid"), "at", F.explode("runs").alias("r"))
-        return keep(settle(run.select("tid", (F.col("at") + F.col("r.lo")).alias("lo"), (F.col("at") + F.col("r.hi")).alias("hi")), "runs"))
+                found.append(marks_of(parts, length, grams[1:]))
+        runs = reduce(DataFrame.union, found).toDF("cid", "runs").groupBy("cid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        runs = settle(contexts.select("cid", "n").join(runs.select("cid", _joined(F.col("runs")).alias("runs")), "cid"), "runs")
+        own = pieces.where(F.col("parent") != F.lit(KNOWN)).select("parent", "at", "cid")
+        placed = join_counted(own, runs, "cid", pieces.count()).select(
+            F.col("parent").alias("tid"),
+            F.transform("runs", lambda r: F.struct((F.col("at") + r["lo"]).alias("lo"), (F.col("at") + r["hi"]).alias("hi"))).alias("runs"),
+        )
+        return keep(settle(placed.groupBy("tid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs"))
 
 
 def covered(marks: list, length: int) -> list[tuple[int, int]]:
@@ -328,12 +348,11 @@ def _marks(texts: DataFrame, length: int) -> DataFrame:
     with_runs = texts.join(of_text.where(F.size("found") > 0), "tid").select("tid", "text", "found", "copied")
     dealt = settle(with_runs.mapInArrow(_context_batches(length), _DEALT), "dealt")
     marks = _matched(dealt.where("NOT hot").withColumnsRenamed({"parent": "owner", "at": "lo"}), length)
-    marks = marks.union(of_text.where("copied").select("tid", F.lit(0), "hi"))
+    marks = _own_runs(marks.union(of_text.where("copied").select("tid", F.lit(0), "hi")))
     frequent = dealt.where("hot").drop("hot")
     if frequent.limit(1).count():
-        own = marks_of(frequent, length, (*(g for g in LONGER if GRAM < g < length), length))
-        marks = marks.union(own.where(F.col("tid") != F.lit(KNOWN)))
-    return marks.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+        marks = marks.union(marks_of(frequent, length, (*(g for g in LONGER if GRAM < g < length), length)))
+    return marks.groupBy("tid").agg(F.flatten(F.collect_list("runs")).alias("marks"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

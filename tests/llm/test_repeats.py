@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import repeats
 from ledgerloom.llm.common import table
@@ -108,6 +109,19 @@ def test_splits_keep_every_string():
         assert sorted(starts) == list(range(137))
 
 
+def test_runs_of_a_context_are_joined_and_stay_one_row(spark):
+    """Single strings that follow each other are one run; where a context occurs, its runs are not multiplied out."""
+    runs = spark.createDataFrame([([(5, 6), (0, 2), (2, 3), (8, 9), (6, 8), (8, 9), (20, 30), (21, 25)],)], "r array<struct<lo: int, hi: int>>")
+    assert [tuple(x) for x in runs.select(repeats._joined(F.col("r")).alias("r")).first().r] == [(0, 3), (5, 9), (20, 30)]
+    rng = random.Random(12)
+    line = bytes(rng.randrange(97, 123) for _ in range(230))
+    data = [line[:k] + b"#" + line[k:] for k in (3, 7, 226)] * 40
+    rows = [(bytes([1, i]) * 8, 5, hashlib.md5(d).digest(), 0, len(d) - 199, d) for i, d in enumerate(data)]
+    pieces = repeats.settle(spark.createDataFrame(rows, repeats._PIECES), "pieces")
+    got = repeats.marks_of(pieces, 200, (200,)).collect()
+    assert len(got) == 120 and all([tuple(x) for x in r.runs] == [(5, 37)] for r in got)
+
+
 def test_awkward_rows(spark):
     hold(awkward(spark))
     assert repeats.repeated_spans(empty(spark)).count() == 0
