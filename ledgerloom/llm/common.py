@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import scratch, settle, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "held_out", "narrow", "sampled", "scratch", "settle", "shared_dir", "sized", "table", "utf8", "whole"]
+__all__ = ["BROADCAST_ROWS", "held_out", "loaded", "narrow", "returning", "sampled", "scratch", "settle", "shared_dir", "sized", "table", "utf8", "whole"]
 
 #: A side of a join is broadcast only when it was counted to have at most this many rows.
 BROADCAST_ROWS = 10_000
 NARROW_ROWS = 1 << 20
 
+_held: dict = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,6 +57,36 @@ def sampled(rows: DataFrame, most: int, size: int) -> list[Row]:
     return chosen.collect()
 
 
+def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` over a partition's batches; at its end the worker gives freed memory back to the system. Workers live on
+    for the next stage and would hold what the greediest one needed, beside the executor's heap."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return over
+
+
+def loaded(make: Callable, given):
+    """``make(given)``, which the worker keeps for its next partitions; what it kept for another stage goes."""
+    if (make, given) not in _held:
+        _held.clear()
+        release()
+        _held[make, given] = make(given)
+    return _held[make, given]
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def utf8(column: pa.Array) -> list:
     """The values of a string column as ``bytes`` (None for null)."""
     return column.cast(pa.large_binary()).to_pylist()

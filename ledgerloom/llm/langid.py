@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 import pickle
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewindows import windows
-from .common import held_out, sampled, table, utf8
+from .common import held_out, loaded, returning, sampled, table, utf8
 
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -166,14 +165,13 @@ def fit(docs: DataFrame) -> Model:
     return train([r.text.encode() for r in got], [r.lang for r in got])
 
 
-@lru_cache(maxsize=2)
 def _scorer(model: bytes) -> Scorer:
     return Scorer(pickle.loads(model))
 
 
 def _predict_batches(model: bytes, text_at: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model)
+        scorer = loaded(_scorer, model)
         for batch in batches:
             texts, langs, scores = utf8(batch.column(text_at)), [], []
             for at in range(0, len(texts), 128):
@@ -192,7 +190,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     given = keep if "text" in keep else (*keep, "text")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double"])
     run = _predict_batches(pickle.dumps(model), given.index("text"), len(keep))
-    return docs.select(*[F.col(f"`{c}`") for c in given]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in given]).mapInArrow(returning(run), schema)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import loaded, returning, table
 
 WINDOW = 2048
 END_ID = 1
@@ -97,7 +96,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
     import public_tokenizers
 
@@ -243,7 +241,7 @@ def _pack_batches(path: str, window: int):
         return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, tokens, shard, held = Packer(TaskContext.get().partitionId(), window), _tokens(path), [], 0
+        packer, tokens, shard, held = Packer(TaskContext.get().partitionId(), window), loaded(_tokens, path), [], 0
         end = np.array([END_ID], dtype=np.uint16)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -271,7 +269,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
     ids are unique and grow within a scan partition; they depend on how the input is split into partitions.
     """
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(_pack_batches(tokenizer or default_tokenizer(), window), SCHEMA)
+    return chosen.mapInArrow(returning(_pack_batches(tokenizer or default_tokenizer(), window)), SCHEMA)
 
 
 def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,26 @@ def test_quality_of_awkward_rows(spark):
     assert len(found) == docs.count() and all(0 <= r.score <= 1 for r in found)
     none = quality.fit(empty(spark), labels.limit(0))
     assert quality.score_documents(empty(spark), none).count() == 0
+
+
+def test_a_worker_keeps_one_stage_s_model_and_returns_memory():
+    """What another stage kept goes; freed memory leaves the process when a partition ends."""
+    import numpy as np
+    import psutil
+
+    from ledgerloom.llm import common
+
+    made = []
+    make = lambda x: made.append(x) or [x]
+    assert common.loaded(make, 1) is common.loaded(make, 1) and made == [1]
+    assert common.loaded(make, 2) == [2] and common.loaded(make, 1) == [1] and made == [1, 2, 1] and len(common._held) == 1
+    own = psutil.Process().memory_info
+
+    def run(batches):
+        rows = [bytes(900) for _ in range(200_000)]
+        yield len(rows)
+        del rows
+
+    before = own().rss
+    assert list(common.returning(run)(iter(()))) == [200_000]
+    assert own().rss - before < 90_000_000 and np.zeros(1)[0] == 0
