@@ -1,18 +1,23 @@
-"""Near copies by the similarity of their word shingles.
-
-Two texts are near when the Jaccard similarity of their sets of five-word shingles is at least 0.8. There a 64-bit
-SimHash differs by ten bits or so and by seventeen now and then, too many for blocks of equal bits to select anything.
-So each distinct set is dealt by the hashes of 40 blocks of five minima; a pair of similarity 0.8 shares none of them
-with probability 1.3e-7. Of these pairs, those are discarded that lie in one group already or that exact bounds rule
-out, and the survivors are verified on the shingles themselves. The bounds: the sizes; and a 512-bit print of a set, the
-parities of its shingles by hash, in which two sets differ by no more bits than they differ in shingles. A print's
-Hamming distances to many reference prints (pivots) are computed first, and the maximum difference of these coordinates
-is a lower bound of the prints' distance, which is counted only where that does not exceed what 0.8 allows.
+"""Near copies by SimHash with pivot distance tables, verified on word shingles.
+
+Two texts are near when the Jaccard similarity of their sets of five-word shingles is at least 0.8. A set's SimHash has
+4,096 bits here, the signs of as many projections of its shingles: a bit of two sets of similarity 0.8 differs with
+probability 0.15, one of unrelated sets with a half. As in ``simhash``, blocks of bits deal the sets, but too many bits
+differ for few blocks of equal bits to find every pair: tables are keyed by drawn bits, the more bits the more sets there
+are, and there are as many tables as a pair of similarity 0.8 needs to meet in one but with probability 1e-6. In a
+table's key the first 256 bits decide: distances to reference prints (pivots) are computed once a set, pairs beyond the
+radius by the triangle inequality are discarded, then pairs beyond it by their own distance. The radius is more than five
+standard deviations above the mean distance at similarity 0.8.
+
+Exact bounds follow in the same place, so that texts that are alike but not near make no rows: the sizes; and a 512-bit
+print of a set, the parities of its shingles by hash, in which two sets differ by no more bits than they differ in
+shingles, again with pivots. Survivors are verified on the shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import roots
-from ..operators.counted import join_counted
-from .common import narrow, scratch, settle, utf8
+from .common import narrow, returning, scratch, settle, utf8
 
 SHINGLE = 5
 SEED = 42
+#: Bits of a set's SimHash, a square; the first NARROW of them are compared, within RADIUS.
+SIDE = 64
+WIDE, NARROW = SIDE * SIDE, 256
+RADIUS = 70
+#: Tables: a bit is equal with this probability at least, so many sets may share a key on average, this share of pairs is
+#: missed at most, so many tables are dealt at once.
+EQUAL, KEY_ROWS, MISSED, AT_ONCE = 0.84, 16, 1e-6, 8
+#: Tables in which sets first meet their key's leaders alone.
+FIRST = 8
+#: The blocks of minima (MinHash) propose nothing; tests hold the tables against them.
 BLOCKS, ROWS = 40, 5
 PARITIES = 512
 PIVOTS = 16
@@ -38,6 +52,10 @@ _TIMES = _draw.integers(0, 1 << 32, (BLOCKS * ROWS, 1), dtype=np.uint32) | np.ui
 _PLUS = _draw.integers(0, 1 << 32, (BLOCKS * ROWS, 1), dtype=np.uint32)
 _FOLD = _draw.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NUMBER = _draw.integers(0, 1 << 63, BLOCKS, dtype=np.uint64)
+_SIGNS = _draw.integers(0, 2, WIDE) * 2.0 - 1
+_ORDER = _draw.permutation(WIDE)
+_HADAMARD = 1.0 - 2 * (np.bitwise_count(np.arange(SIDE)[:, None] & np.arange(SIDE)) & 1)
+_REFERENCES = _draw.integers(0, 1 << 63, (PIVOTS, NARROW // 64), dtype=np.uint64) * np.uint64(2)
 #: Reference prints: a stretch of bits set in each, for sets of few shingles leave most bits unset.
 _PIVOTS = np.packbits(np.arange(PARITIES) // (PARITIES // PIVOTS) == np.arange(PIVOTS)[:, None], axis=1).view(np.uint64)
 
@@ -84,33 +102,63 @@ def _set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
+def simhashes(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set of shingle hashes: (sets, WIDE // 8) bytes.
+
+    A shingle adds or subtracts one at a place, both by its hash; two rounds of signs and a Hadamard transform spread the
+    places, so that every sum is a projection of the whole set. Sums are integers, so the bits do not depend on the machine.
+    """
+    sums = np.zeros((len(sets), WIDE))
+    for row, hashes in zip(sums, sets):
+        place = (hashes >> np.uint64(10) & np.uint64(WIDE - 1)).astype(np.int64)
+        row += np.bincount(place, weights=1.0 - 2 * (hashes >> np.uint64(63)).astype(np.float64), minlength=WIDE)
+    for _ in range(2):
+        sums *= _SIGNS
+        half = (sums.reshape(-1, SIDE) @ _HADAMARD).reshape(-1, SIDE, SIDE).swapaxes(1, 2)
+        sums = (half.reshape(-1, SIDE) @ _HADAMARD).reshape(-1, WIDE)
+    return np.packbits(sums[:, _ORDER] > 0, axis=1)
+
+
+def table_bits(sets: int) -> int:
+    """How many bits key the tables of so many sets."""
+    return max(8, int(np.ceil(np.log2(max(1, sets) / KEY_ROWS))))
+
+
+def table_count(bits: int) -> int:
+    return int(np.ceil(np.log(MISSED) / np.log1p(-(EQUAL**bits))))
+
+
+def table_keys(prints: np.ndarray, bits: int, first: int, last: int) -> np.ndarray:
+    """(prints, bytes) -> (prints, tables): the keys in the tables from ``first`` to ``last``, their number on top."""
+    each = np.unpackbits(prints, axis=1)
+    keys = np.empty((len(prints), last - first), dtype=np.int64)
+    for i, number in enumerate(range(first, last)):
+        drawn = np.random.default_rng((SEED, number)).choice(WIDE - NARROW, bits, replace=False) + NARROW
+        keys[:, i] = each[:, drawn].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) + (number << 48)
+    return keys
+
+
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, bits, least = [], [], [], []
-        for text in utf8(batch.column(1)):
-            hashes = shingles(text)
-            ids.append(_set_id(hashes))
-            sizes.append(len(hashes))
-            bits.append(parities(hashes))
-            if len(hashes) >= LEAST:
-                least.append(minima(hashes))
-        dealt = np.array(sizes, dtype=np.int64) >= LEAST
-        keys = block_keys(np.stack(least)).view(np.int64).ravel() if least else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), batch.column(2), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)),
-                pa.array(sizes, type=pa.int64()), pa.array(bits, type=pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(dealt * BLOCKS)].astype(np.int32)), pa.array(keys)),
-            ],
-            ["doc_id", "text_hash", "fp", "n", "bits", "keys"],
-        )
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [shingles(t) for t in utf8(part.column(1))]
+            bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDE // 8), len(sets), [None, pa.py_buffer(simhashes(sets).tobytes())])
+            ids = np.array([_set_id(x) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), part.column(2), pa.array(ids), pa.array([len(x) for x in sets], type=pa.int64()),
+                    bits.cast(pa.binary()), pa.array([parities(x) for x in sets], type=pa.binary()),
+                ],
+                ["doc_id", "text_hash", "fp", "n", "bits", "odd"],
+            )
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, text_hash, fp: the set of shingles, n: its size, bits: parities, keys: of its blocks)."""
+    """(doc_id, text) -> (doc_id, text_hash, fp: the set of shingles, n: its size, bits: its SimHash, odd: its parities)."""
     return docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")
-    ).mapInArrow(_print_batches, "doc_id long, text_hash long, fp long, n long, bits binary, keys array<long>")
+    ).mapInArrow(returning(_print_batches), "doc_id long, text_hash long, fp long, n long, bits binary, odd binary")
 
 
 def pivot_distances(bits: np.ndarray) -> np.ndarray:
@@ -136,63 +184,151 @@ def possible_pairs(key: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.n
         step += 1
 
 
-def _pair_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found(held):
-        key, fp, n, label, bits = (np.concatenate(c) for c in zip(*held))
-        for pairs in possible_pairs(key, n, label, bits):
-            ends = np.sort(fp[pairs], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
+_WORDS = [f"w{i}" for i in range(NARROW // 64)]
+_DEALT = "key long, fp long, label long, n long, odd binary, " + ", ".join(f"{w} long" for w in _WORDS)
 
-    held: list[tuple] = []  # rows of whole keys, but for the last one, which may go on
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        if not len(key):
-            continue
-        bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64)
-        now = (key, *[batch.column(k).to_numpy() for k in (1, 2, 3)], bits)
-        last = int(np.searchsorted(key, key[-1]))
-        if held and key[0] == key[-1] == held[-1][0][-1]:
-            held.append(now)
-            continue
-        held.append(tuple(c[:last] for c in now))
-        yield from found(held)
-        held = [tuple(c[last:] for c in now)]
-    if held:
-        yield from found(held)
+
+def _deal_batches(bits: int, first: int, last: int):
+    """(fp, label, n, odd, bits) -> a row for each of the tables from ``first`` to ``last``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                wide = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.uint8).reshape(-1, WIDE // 8)
+                words = np.ascontiguousarray(wide[:, : NARROW // 8]).view(np.int64)
+                each = lambda c: np.repeat(c, last - first)
+                odd = part.column(3).take(pa.array(each(np.arange(len(wide)))))
+                columns = [*(each(part.column(i).to_numpy()) for i in range(3)), odd, *(each(w) for w in words.T)]
+                keys = table_keys(wide, bits, first, last).ravel()
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in (keys, *columns)], ["key", "fp", "label", "n", "odd", *_WORDS])
+
+    return run
+
+
+def reference_distances(prints: np.ndarray) -> np.ndarray:
+    """(prints, words) -> (prints, pivots): Hamming distances to the reference prints."""
+    return np.stack([np.bitwise_count(prints ^ p).sum(axis=1, dtype=np.int16) for p in _REFERENCES], axis=1)
+
+
+def within(prints: np.ndarray, far: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows a, b lie within the radius; ``far``: distances to the pivots, which discard some pairs."""
+    maybe = np.abs(far[a] - far[b]).max(axis=1, initial=0) <= RADIUS
+    maybe[maybe] = np.bitwise_count(prints[a[maybe]] ^ prints[b[maybe]]).sum(axis=1, dtype=np.int64) <= RADIUS
+    return maybe
+
+
+def leaders(key: np.ndarray, label: np.ndarray, prints: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs (leader, row) of sorted keys: a key's first row leads those within the radius, then the first of the rest."""
+    far, rows = reference_distances(prints), np.arange(len(key))
+    while len(rows):
+        lead = rows[np.r_[True, key[rows[1:]] != key[rows[:-1]]]]
+        of = lead[np.searchsorted(key[lead], key[rows])]
+        near = (rows != of) & within(prints, far, of, rows)
+        if near.any():
+            yield np.stack([of[near], rows[near]], axis=1)
+        rows = rows[~near & (rows != of)]
+
+
+def pairs_in_tables(key: np.ndarray, label: np.ndarray, prints: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of rows of one key and two labels that lie within the radius. Rows are sorted by key."""
+    end, far = np.searchsorted(key, key, side="right"), reference_distances(prints)
+    rows, step = np.arange(len(key)), 1
+    while len(rows):
+        rows = rows[rows + step < end[rows]]
+        take = rows[label[rows] != label[rows + step]]
+        for part in np.array_split(take, len(take) // 100_000 + 1):
+            part = part[within(prints, far, part, part + step)]
+            if len(part):
+                yield np.stack([part, part + step], axis=1)
+        step += 1
+
+
+def bounded(pairs: np.ndarray, n: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """The pairs of rows that sizes and parities leave possible, as in ``possible_pairs``."""
+    a, b = pairs.T
+    a, b = (x[5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])] for x in (a, b))
+    apart = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)
+    return np.stack([a, b], axis=1)[9 * apart <= n[a] + n[b]]
+
+
+def _pair_batches(scan):
+    """Rows of tables, sorted by key -> pairs (u, v) that ``scan`` finds in them and exact bounds leave."""
+
+    def found(held):
+        key, fp, label, n, odd, *words = (np.concatenate(c) for c in zip(*held))
+        seen = [fp[bounded(pairs, n, odd)] for pairs in scan(key, label, np.stack(words, axis=1).view(np.uint64))]
+        ends = np.sort(np.concatenate(seen), axis=1) if seen else np.empty((0, 2), np.int64)
+        ends = np.unique(ends, axis=0)  # many tables of a task hold the same pairs
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # rows of whole keys, but for the last one, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, fp, label, n = (batch.column(i).to_numpy() for i in range(4))
+            odd = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64)
+            columns = (key, fp, label, n, odd, *(c.to_numpy() for c in batch.columns[5:]))
+            last = int(np.searchsorted(key, key[-1]))
+            if held and key[0] == key[-1] == held[-1][0][-1]:
+                held.append(columns)
+                continue
+            held.append(tuple(c[:last] for c in columns))
+            yield found(held)
+            held = [tuple(c[last:] for c in columns)]
+        if held:
+            yield found(held)
+
+    return run
+
+
+def _met(labelled: DataFrame, bits: int, first: int, last: int, scan) -> DataFrame:
+    """(fp, label, n, odd, bits) -> pairs (u, v) that meet in the tables from ``first`` to ``last``."""
+    dealt = labelled.select("fp", "label", "n", "odd", "bits").mapInArrow(returning(_deal_batches(bits, first, last)), _DEALT)
+    return settle(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(returning(_pair_batches(scan)), "u long, v long").distinct(), "met")
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(t).tobytes() for t in utf8(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.large_binary()).cast(pa.binary())], ["fp", "members"])
+        sets = [shingles(t) for t in utf8(batch.column(1))]
+        members = pa.array([x.tobytes() for x in sets], type=pa.large_binary()).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), members, pa.array([parities(x) for x in sets], type=pa.binary())], ["fp", "members", "bits"])
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, and the members and parities of both) -> the pairs that are near."""
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3)):
-            a, b = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-            keep.append(bool(near(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
+        sets = [[np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(i)] for i in (2, 3)]
+        n = np.array([[len(a), len(b)] for a, b in zip(*sets)], dtype=np.int64).reshape(-1, 2)
+        order = np.argsort(n, axis=1, kind="stable")
+        bits = np.array([[np.frombuffer(x, dtype=np.uint64) for x in pair] for pair in zip(*(batch.column(i).to_pylist() for i in (4, 5)))])
+        bits = np.take_along_axis(bits.reshape(-1, 2, PARITIES // 64), order[:, :, None], axis=1).reshape(-1, PARITIES // 64)
+        rows = np.arange(2 * len(n))
+        keep = np.zeros(len(n), dtype=bool)
+        for pairs in possible_pairs(rows // 2, np.sort(n, axis=1).ravel(), rows, bits):
+            for i in (pairs[:, 0] // 2).tolist():
+                a, b = sets[0][i], sets[1][i]
+                keep[i] = near(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
         yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
 
 
-def _members(shared: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(fp, members) of the sets that share a key with another: the hashes, from the first document of each."""
-    wanted = settle(
-        shared.select("fp").distinct().join(sets.select("fp", "keep_id", "keep_hash"), "fp"), "wanted"
-    )
+def _members(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(fp, members, bits) of the sets of some pairs: hashes and their parities, from the first document of each."""
+    ends = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
+    wanted = settle(ends.join(sets.select("fp", "keep_id", "keep_hash"), "fp"), "wanted")
     hashed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_hash"))
-    found = hashed.join(narrow(wanted, wanted.count()), same).select("fp", "text").mapInArrow(_set_batches, "fp long, members binary")
+    found = hashed.join(narrow(wanted, wanted.count()), same).select("fp", "text").mapInArrow(returning(_set_batches), "fp long, members binary, bits binary")
     return settle(found.dropDuplicates(["fp"]), "members")
 
 
-def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) of sets that are near by their shingles."""
-    both = pairs.join(members.select(F.col("fp").alias("u"), F.col("members").alias("a")), "u").join(
-        members.select(F.col("fp").alias("v"), F.col("members").alias("b")), "v"
-    )
-    return settle(both.select("u", "v", "a", "b").mapInArrow(_verify_batches, "u long, v long"), "near-links")
+    with scratch(docs.sparkSession) as keep:
+        members = _members(pairs, sets, docs)
+        both = pairs.join(members.toDF("u", "a", "x"), "u").join(members.toDF("v", "b", "y"), "v")
+        return keep(settle(both.select("u", "v", "a", "b", "x", "y").mapInArrow(returning(_verify_batches), "u long, v long"), "near-links"))
 
 
 def groups(docs: DataFrame, printed: DataFrame) -> DataFrame:
@@ -200,28 +336,22 @@ def groups(docs: DataFrame, printed: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("k")
     with scratch(docs.sparkSession) as keep:
         sets = settle(
-            printed.groupBy("fp").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-            .select("fp", F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"), "n", "bits", "keys"),
+            printed.groupBy("fp").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("odd").alias("odd"))
+            .select("fp", F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"), "n", "bits", "odd"),
             "sets",
         )
-        every = sets.select(F.explode("keys").alias("key"), "fp")
-        total = sets.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-        least = settle(every.groupBy("key").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1"), "least")
-        shared = settle(join_counted(every, least, "key", total).select("key", "fp", "u"), "shared")
-        # first the least set of each key with all others: a large group of near copies is then one group
-        star = settle(shared.where("fp > u").select("u", F.col("fp").alias("v")).distinct(), "star")
-        members = _members(shared, sets, docs)
-        links = _verified(star, members)
-        # then the pairs of one key that lie in two groups still
-        label = roots(links).withColumnRenamed("u", "fp")
-        labelled = settle(shared.join(label, "fp", "left").select("key", "fp", F.coalesce("v", "fp").alias("label")), "labelled")
-        total = shared.count()
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-        rows = join_counted(labelled, settle(mixed.select("key", "n"), "mixed"), "key", total).drop("n")
-        rows = rows.join(sets.select("fp", "n", "bits"), "fp").select("key", "fp", "n", "label", "bits")
-        across = rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_pair_batches, "u long, v long").distinct()
-        more = _verified(settle(across.join(star, ["u", "v"], "left_anti"), "across"), members)
-        root = roots(links.union(more)).withColumnRenamed("u", "fp")
+        bits = table_bits(sets.count())
+        count = table_count(bits)
+        # first leaders with their followers: a large group of near copies is then one group
+        dealt = sets.where(F.col("n") >= LEAST)
+        star = _met(dealt.withColumn("label", F.col("fp")), bits, 0, FIRST, leaders)
+        links = _verified(star, sets, docs)
+        # then the pairs of every table that lie in two groups still
+        label = roots(links).toDF("fp", "v")
+        labelled = dealt.join(narrow(label, label.count()), "fp", "left").withColumn("label", F.coalesce("v", "fp"))
+        met = [_met(labelled, bits, at, min(at + AT_ONCE, count), pairs_in_tables) for at in range(0, count, AT_ONCE)]
+        across = settle(reduce(DataFrame.union, met).distinct().join(star, ["u", "v"], "left_anti"), "across")
+        root = roots(links.union(_verified(across, sets, docs))).withColumnRenamed("u", "fp")
         return keep(settle(
             sets.select("fp", "keep_id", "keep_hash").join(root, "fp", "left")
             .select("fp", "keep_id", "keep_hash", F.coalesce("v", "fp").alias("root")),

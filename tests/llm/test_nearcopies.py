@@ -89,3 +89,31 @@ def test_blocks_find_pairs_of_the_least_similarity():
         a, b = nearcopies.minima(base[:180]), nearcopies.minima(base[20:])
         missed += not (nearcopies.block_keys(a[None]) == nearcopies.block_keys(b[None])).any()
     assert missed == 0
+
+
+def test_simhash_tables_find_what_minima_find():
+    """Pairs of the least similarity meet in a table within the radius, at any number of sets; unrelated sets are not near."""
+    rng = np.random.default_rng(8)
+    for size in (5, 10, 100, 1000):
+        base = [rng.integers(0, 1 << 63, size + size // 10 + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(60)]
+        share = size - size // 10
+        sets = [b[:size] for b in base] + [np.r_[b[:share], b[size : size + size // 10]] for b in base]
+        wide = nearcopies.simhashes(sets)
+        narrow = np.ascontiguousarray(wide[:, : nearcopies.NARROW // 8]).view(np.uint64)
+        far, a = nearcopies.reference_distances(narrow), np.arange(60)
+        assert nearcopies.within(narrow, far, a, a + 60).all() and not nearcopies.within(narrow, far, a, (a + 1) % 60).any()
+        for bits in (8, 14, 20):
+            keys = nearcopies.table_keys(wide, bits, 0, nearcopies.table_count(bits))
+            assert (keys[:60] == keys[60:]).any(axis=1).all()
+
+
+def test_scans_of_tables():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, (3, 4), dtype=np.uint64)
+    prints = base[[0, 1, 0, 1, 2, 0, 0]].copy()
+    prints[2, 0] ^= np.uint64(7)
+    key, label = np.array([1, 1, 1, 1, 1, 1, 2]), np.arange(7)
+    pairs = lambda scan, label: sorted(map(tuple, np.concatenate([*scan(key, label, prints), np.empty((0, 2), int)]).tolist()))
+    assert pairs(nearcopies.leaders, label) == [(0, 2), (0, 5), (1, 3)]
+    assert pairs(nearcopies.pairs_in_tables, label) == [(0, 2), (0, 5), (1, 3), (2, 5)]
+    assert pairs(nearcopies.pairs_in_tables, np.array([0, 1, 0, 1, 4, 5, 6])) == [(0, 5), (2, 5)]
