@@ -12,6 +12,9 @@ standard deviations above the mean distance at similarity 0.8.
 Exact bounds follow in the same place, so that texts that are alike but not near make no rows: the sizes; and a 512-bit
 print of a set, the parities of its shingles by hash, in which two sets differ by no more bits than they differ in
 shingles, again with pivots. Survivors are verified on the shingles.
+
+Large groups of sets that are alike have many pairs, near or not. A key that holds more pairs than sets makes none: it is
+crowded, and its sets meet with their shingles in one task, which verifies in place and gives spanning links only.
 """
 
 from __future__ import annotations
@@ -46,6 +49,8 @@ PIVOTS = 16
 #: Sets of fewer shingles are near to themselves only.
 LEAST = 4
 STEP = 1024
+#: Shingles that are compared with a set's at once.
+COMPARED = 1 << 22
 
 _draw = np.random.default_rng(SEED)
 _TIMES = _draw.integers(0, 1 << 32, (BLOCKS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
@@ -230,12 +235,15 @@ def leaders(key: np.ndarray, label: np.ndarray, prints: np.ndarray) -> Iterator[
         rows = rows[~near & (rows != of)]
 
 
-def pairs_in_tables(key: np.ndarray, label: np.ndarray, prints: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of rows of one key and two labels that lie within the radius. Rows are sorted by key."""
+def pairs_in_tables(key: np.ndarray, label: np.ndarray, prints: np.ndarray, left: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Pairs of rows of one key and two labels that lie within the radius. Rows are sorted by key. ``left``: rows that are
+    left out from now on; the caller may set more between two pieces."""
     end, far = np.searchsorted(key, key, side="right"), reference_distances(prints)
     rows, step = np.arange(len(key)), 1
     while len(rows):
         rows = rows[rows + step < end[rows]]
+        if left is not None:
+            rows = rows[~left[rows]]
         take = rows[label[rows] != label[rows + step]]
         for part in np.array_split(take, len(take) // 100_000 + 1):
             part = part[within(prints, far, part, part + step)]
@@ -252,15 +260,33 @@ def bounded(pairs: np.ndarray, n: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return np.stack([a, b], axis=1)[9 * apart <= n[a] + n[b]]
 
 
+def uncrowded(key: np.ndarray, label: np.ndarray, n: np.ndarray, odd: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in tables that exact bounds leave, and which rows are of crowded keys, whose pairs are not among them."""
+    number = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+    sets = np.bincount(number, minlength=1)
+    made, crowded, seen = np.zeros_like(sets), np.zeros(len(key), dtype=bool), [np.empty((0, 2), np.int64)]
+    for pairs in pairs_in_tables(key, label, prints, crowded):
+        seen.append(bounded(pairs, n, odd))
+        made += np.bincount(number[seen[-1][:, 0]], minlength=len(sets))
+        crowded |= (made > sets)[number]
+    pairs = np.concatenate(seen)
+    return pairs[~crowded[pairs[:, 0]]], crowded
+
+
 def _pair_batches(scan):
-    """Rows of tables, sorted by key -> pairs (u, v) that ``scan`` finds in them and exact bounds leave."""
+    """Rows of tables, sorted by key -> pairs (u, v, null) that ``scan`` finds in them and exact bounds leave; of crowded
+    keys, if all pairs are asked for, the rows (fp, label, key)."""
 
     def found(held):
         key, fp, label, n, odd, *words = (np.concatenate(c) for c in zip(*held))
-        seen = [fp[bounded(pairs, n, odd)] for pairs in scan(key, label, np.stack(words, axis=1).view(np.uint64))]
-        ends = np.sort(np.concatenate(seen), axis=1) if seen else np.empty((0, 2), np.int64)
-        ends = np.unique(ends, axis=0)  # many tables of a task hold the same pairs
-        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
+        prints, crowded = np.stack(words, axis=1).view(np.uint64), np.zeros(len(key), dtype=bool)
+        if scan is pairs_in_tables:
+            pairs, crowded = uncrowded(key, label, n, odd, prints)
+        else:
+            pairs = np.concatenate([np.empty((0, 2), np.int64), *(bounded(p, n, odd) for p in scan(key, label, prints))])
+        ends = np.unique(np.sort(fp[pairs], axis=1), axis=0)  # many tables of a task hold the same pairs
+        keys = pa.concat_arrays([pa.nulls(len(ends), pa.int64()), pa.array(key[crowded])])
+        return pa.RecordBatch.from_arrays([*(pa.array(np.r_[e, c[crowded]]) for e, c in zip(ends.T, (fp, label))), keys], ["u", "v", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of whole keys, but for the last one, which may go on
@@ -284,9 +310,9 @@ def _pair_batches(scan):
 
 
 def _met(labelled: DataFrame, bits: int, first: int, last: int, scan) -> DataFrame:
-    """(fp, label, n, odd, bits) -> pairs (u, v) that meet in the tables from ``first`` to ``last``."""
+    """(fp, label, n, odd, bits) -> pairs (u, v, null) that meet in the tables from ``first`` to ``last``; crowded (fp, label, key)."""
     dealt = labelled.select("fp", "label", "n", "odd", "bits").mapInArrow(returning(_deal_batches(bits, first, last)), _DEALT)
-    return settle(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(returning(_pair_batches(scan)), "u long, v long").distinct(), "met")
+    return settle(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(returning(_pair_batches(scan)), "u long, v long, key long").distinct(), "met")
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,12 +349,77 @@ def _members(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return settle(found.dropDuplicates(["fp"]), "members")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of sets that are near by their shingles."""
+def spanning(label: np.ndarray, bits: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Near pairs (row, row) that join all labels which near pairs join, and no more than that takes; ``bits``: parities."""
+    n, far, label = np.array([len(x) for x in sets], dtype=np.int64), pivot_distances(bits), label.copy()
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    has, links = np.zeros(ids.max() + 1, dtype=bool), []
+    ids = np.split(ids, np.cumsum(n)[:-1])
+    for i in range(len(n)):
+        rows = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        rows = rows[5 * np.minimum(n[rows], n[i]) >= 4 * np.maximum(n[rows], n[i])]
+        rows = rows[9 * np.abs(far[rows] - far[i]).max(axis=1, initial=0).astype(np.int64) <= n[rows] + n[i]]
+        rows = rows[9 * np.bitwise_count(bits[rows] ^ bits[i]).sum(axis=1, dtype=np.int64) <= n[rows] + n[i]]
+        has[ids[i]] = True
+        for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum(n[rows]) // COMPARED)) + 1) if len(rows) else ():
+            common = np.add.reduceat(has[np.concatenate([ids[j] for j in part])], np.r_[0, np.cumsum(n[part])[:-1]], dtype=np.int64)
+            part = part[near(common, n[part], n[i])]
+            part = part[label[part] != label[i]]
+            first = part[np.unique(label[part], return_index=True)[1]]
+            links += [(i, j) for j in first.tolist()]
+            label[np.isin(label, label[first])] = label[i]
+        has[ids[i]] = False
+    return links
+
+
+def _spanning_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp, label, members, bits), sorted by key -> spanning links (u, v) of each key."""
+
+    def found(held):
+        fp, label, members, bits = (np.concatenate([h[i] for h in held]) if i != 2 else sum((h[i] for h in held), []) for i in range(4))
+        pairs = np.array(spanning(label, bits, members), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(fp[pairs[:, 0]]), pa.array(fp[pairs[:, 1]])], ["u", "v"])
+
+    now, held = None, []
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)] if len(key) else [0]
+        for at, end in zip(edges, edges[1:]):
+            if held and key[at] != now:
+                yield found(held)
+                held = []
+            part, now = batch.slice(at, end - at), key[at]
+            members = [np.frombuffer(x, dtype=np.uint64) for x in part.column(3).to_pylist()]
+            bits = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64)
+            held.append((part.column(1).to_numpy(), part.column(2).to_numpy(), members, bits))
+    if held:
+        yield found(held)
+
+
+def _spanned(crowd: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (u: set, v: label, key) of crowded keys -> near links (u, v) that span what is near in each key."""
+    rows = crowd.select("key", F.col("u").alias("fp"), F.col("v").alias("label")).join(members, "fp").select("key", "fp", "label", "members", "bits")
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    return settle(dealt.mapInArrow(returning(_spanning_batches), "u long, v long").distinct(), "spans")
+
+
+def _crowd_first(met: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Near links of the crowded keys in ``met``, if there are any."""
+    crowd = met.where("key IS NOT NULL")
+    if not crowd.limit(1).count():
+        return None
     with scratch(docs.sparkSession) as keep:
-        members = _members(pairs, sets, docs)
+        return keep(_spanned(crowd, _members(crowd.select("u", F.col("u").alias("v")), sets, docs)))
+
+
+def _verified(pairs: DataFrame, crowd: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of sets that are near by their shingles, and the links of crowded keys."""
+    with scratch(docs.sparkSession) as keep:
+        some = bool(crowd.limit(1).count())
+        members = _members(pairs.union(crowd.select("u", F.col("u").alias("v"))) if some else pairs, sets, docs)
         both = pairs.join(members.toDF("u", "a", "x"), "u").join(members.toDF("v", "b", "y"), "v")
-        return keep(settle(both.select("u", "v", "a", "b", "x", "y").mapInArrow(returning(_verify_batches), "u long, v long"), "near-links"))
+        links = keep(settle(both.select("u", "v", "a", "b", "x", "y").mapInArrow(returning(_verify_batches), "u long, v long"), "near-links"))
+        return links.union(keep(_spanned(crowd, members))) if some else links
 
 
 def groups(docs: DataFrame, printed: DataFrame) -> DataFrame:
@@ -342,16 +433,27 @@ def groups(docs: DataFrame, printed: DataFrame) -> DataFrame:
         )
         bits = table_bits(sets.count())
         count = table_count(bits)
-        # first leaders with their followers: a large group of near copies is then one group
         dealt = sets.where(F.col("n") >= LEAST)
-        star = _met(dealt.withColumn("label", F.col("fp")), bits, 0, FIRST, leaders)
-        links = _verified(star, sets, docs)
-        # then the pairs of every table that lie in two groups still
-        label = roots(links).toDF("fp", "v")
-        labelled = dealt.join(narrow(label, label.count()), "fp", "left").withColumn("label", F.coalesce("v", "fp"))
-        met = [_met(labelled, bits, at, min(at + AT_ONCE, count), pairs_in_tables) for at in range(0, count, AT_ONCE)]
-        across = settle(reduce(DataFrame.union, met).distinct().join(star, ["u", "v"], "left_anti"), "across")
-        root = roots(links.union(_verified(across, sets, docs))).withColumnRenamed("u", "fp")
+
+        def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+            label = roots(links)
+            own = label.toDF("fp", "v")
+            return label, dealt.join(narrow(own, label.count()), "fp", "left").withColumn("label", F.coalesce("v", "fp"))
+
+        # first leaders with their followers: a large group of near copies is then a few groups
+        met = _met(dealt.withColumn("label", F.col("fp")), bits, 0, FIRST, leaders)
+        star = met.select("u", "v")
+        label, rows = labelled(_verified(star, met.where("key IS NOT NULL"), sets, docs))
+        # then the pairs of every table that lie in two groups still; what is crowded in the first tables is joined at once
+        met = [_met(rows, bits, 0, min(AT_ONCE, count), pairs_in_tables)]
+        spans = _crowd_first(met[0], sets, docs)
+        if spans:
+            label, rows = labelled(label.union(spans))
+        met += [_met(rows, bits, at, min(at + AT_ONCE, count), pairs_in_tables) for at in range(AT_ONCE, count, AT_ONCE)]
+        across = reduce(DataFrame.union, [m.where("key IS NULL").select("u", "v") for m in met]).distinct()
+        across = settle(across.join(star, ["u", "v"], "left_anti"), "across")
+        crowd = reduce(DataFrame.union, [m.where("key IS NOT NULL") for m in met[1:]], met[0].limit(0))
+        root = roots(label.union(_verified(across, crowd, sets, docs))).withColumnRenamed("u", "fp")
         return keep(settle(
             sets.select("fp", "keep_id", "keep_hash").join(root, "fp", "left")
             .select("fp", "keep_id", "keep_hash", F.coalesce("v", "fp").alias("root")),

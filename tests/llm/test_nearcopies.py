@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import common, nearcopies, simhash
@@ -117,3 +118,56 @@ def test_scans_of_tables():
     assert pairs(nearcopies.leaders, label) == [(0, 2), (0, 5), (1, 3)]
     assert pairs(nearcopies.pairs_in_tables, label) == [(0, 2), (0, 5), (1, 3), (2, 5)]
     assert pairs(nearcopies.pairs_in_tables, np.array([0, 1, 0, 1, 4, 5, 6])) == [(0, 5), (2, 5)]
+
+
+def alike(count, words=600, changed=7, seed=10):
+    """Copies of one text, each with a few words of its own: of most pairs, the similarity is 0.76 to 0.82."""
+    rng, base = random.Random(seed), [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(count):
+        places = set(rng.sample(range(words), changed - i % 2))
+        out.append(" ".join(f"{w}x{i}" if at in places else w for at, w in enumerate(base)))
+    return out
+
+
+def test_crowded_keys_make_no_more_rows_than_sets():
+    sets = [nearcopies.shingles(t.encode()) for t in alike(400)]
+    wide, n = nearcopies.simhashes(sets), np.array([len(x) for x in sets])
+    words = np.ascontiguousarray(wide[:, : nearcopies.NARROW // 8]).view(np.int64)
+    fp, key = np.arange(400), np.repeat([7, 9], [390, 10])
+    odd = pa.array([nearcopies.parities(x) for x in sets], type=pa.binary())
+    names = ["key", "fp", "label", "n", "odd", *nearcopies._WORDS]
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(fp), pa.array(n), odd, *map(pa.array, words.T)], names)
+    assert sum(b.num_rows for b in nearcopies._pair_batches(nearcopies.pairs_in_tables)(iter([batch]))) <= 400
+
+
+def test_spanning_links_join_what_near_pairs_join(monkeypatch):
+    sets = [nearcopies.shingles(t.encode()) for t in alike(90) + alike(40, changed=8, seed=11) + alike(20, words=300)]
+    bits, label = np.stack([np.frombuffer(nearcopies.parities(x), dtype=np.uint64) for x in sets]), np.arange(len(sets))
+    label[40:60] = 40
+    group = lambda links: [min(g) for g in _joined(len(sets), [*links, *((40, i) for i in range(41, 60))])]
+    near = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if plain_near(set(sets[i].tolist()), set(sets[j].tolist()))]
+    for compared in (nearcopies.COMPARED, 1000):
+        monkeypatch.setattr(nearcopies, "COMPARED", compared)
+        links = nearcopies.spanning(label, bits, sets)
+        assert set(links) <= set(near) and group(links) == group(near)
+        assert len(links) == len(set(label.tolist())) - len(set(group(links)))
+
+
+def _joined(count, links):
+    group = [{i} for i in range(count)]
+    for i, j in links:
+        if group[i] is not group[j]:
+            merged = group[i] | group[j]
+            for k in merged:
+                group[k] = merged
+    return group
+
+
+def test_large_groups_of_sets_alike_against_brute_force(spark, monkeypatch):
+    rows, crowds, spanned = list(enumerate(alike(60) + alike(90, changed=9, seed=12))), [], nearcopies._spanned
+    monkeypatch.setattr(nearcopies, "_spanned", lambda crowd, members: crowds.append(crowd.count()) or spanned(crowd, members))
+    want = plain_kept(rows)
+    assert 1 < len(want) < 150
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+    assert len(crowds) == 2 and all(crowds)
