@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ SHARD_DOCS = 2048
 SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
 DENSE = 16
-CACHE_WORDS = 400_000
+BLOCK_DOCS, BLOCK_CHARS = 1024, 4_000_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -44,11 +45,12 @@ def _byte_of_symbol() -> dict[str, int]:
 
 
 class Tokens:
-    """Ids of whole texts under a byte-level BPE file, with a bounded cache of words.
+    """Ids of whole texts under a byte-level BPE file.
 
     The strings of added tokens are cut out first, wherever they stand, and have ids of their own. A space between two
-    other characters always starts a new piece of the vocabulary's splitting pattern, so a text may be cut there and
-    each part looked up by itself. Texts with runs of spaces go to the encoder whole.
+    other characters always starts a new piece of the vocabulary's splitting pattern, so texts may be cut there, and
+    each different word of a block of texts is encoded once. Texts with runs of spaces go to the encoder whole. Nothing
+    is kept from one block to the next.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -62,32 +64,54 @@ class Tokens:
         symbol = _byte_of_symbol()
         ranks = {bytes(map(symbol.__getitem__, k)): v for k, v in spec["model"]["vocab"].items() if k not in self._added}
         self._encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._words: dict[str, bytes] = {}
+        self._spaced = np.zeros(1 << 16, dtype=bool)
+        self._spaced[[v for k, v in ranks.items() if k[:1] == b" "]] = True
 
-    def _exact(self, text: str) -> bytes:
-        return np.array(self._encoding.encode_ordinary(text), dtype=np.uint16).tobytes()
+    def _exact(self, text: str) -> np.ndarray:
+        return np.array(self._encoding.encode_ordinary(text), dtype=np.uint16)
 
-    def ids(self, text: str) -> np.ndarray:
+    def _whole(self, text: str) -> np.ndarray:
         if self._cut and self._cut.search(text):
             parts = enumerate(self._cut.split(text))  # every second part is an added token
-            return np.concatenate([np.array([self._added[p]], np.uint16) if i % 2 else self._plain(p) for i, p in parts if p])
-        return self._plain(text)
-
-    def _plain(self, text: str) -> np.ndarray:
-        if "  " in text or text[:1].isspace() or text[-1:].isspace() or len(text) < 2:
-            return np.frombuffer(self._exact(text), dtype=np.uint16)
-        known, out = self._words, []
-        first, *rest = text.split(" ")
-        out.append(self._exact(first))
-        try:
-            out += [known[w] for w in rest]
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            for w in set(rest).difference(known):
-                known[w] = self._exact(" " + w)
-            out = [out[0], *(known[w] for w in rest)]
-        return np.frombuffer(b"".join(out), dtype=np.uint16)
+            return np.concatenate([np.array([self._added[p]], np.uint16) if i % 2 else self._exact(p) for i, p in parts if p])
+        return self._exact(text)
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.block([text])[0]
+
+    def block(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. The ids of a word start where an id's bytes start with a space."""
+        out: list = [None] * len(texts)
+        cut = []
+        for i, text in enumerate(texts):
+            if " " not in text or "  " in text or text[0].isspace() or text[-1].isspace() or self._cut and self._cut.search(text):
+                out[i] = self._whole(text)
+            else:
+                cut.append(i)
+        if not cut:
+            return out
+        first, rest = zip(*(texts[i].split(" ", 1) for i in cut))
+        words = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
+        ends = np.asarray(words.offsets)[1:]
+        found = words.values.dictionary_encode()
+        del words, rest
+        number, count = np.asarray(found.indices), len(found.dictionary)
+        different = pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), found.dictionary)
+        ids = self._exact(" " + pc.binary_join(different, pa.scalar(" ", pa.large_string()))[0].as_py())
+        del found, different
+        starts = np.flatnonzero(self._spaced[ids])
+        if len(starts) != count:
+            raise ValueError("the splitting pattern joins what spaces divide")
+        sizes = np.diff(np.r_[starts, len(ids)])
+        a = 0
+        for i, head, b in zip(cut, first, ends):  # all ids of a text: a run of them for each of its words
+            own = number[a:b]
+            size = sizes[own]
+            end = np.cumsum(size)
+            at = np.repeat(starts[own] - end + size, size) + np.arange(end[-1])
+            out[i] = np.concatenate([self._exact(head), ids[at]])
+            a = b
+        return out
 
 
 def default_tokenizer() -> str:
@@ -111,15 +135,25 @@ class Index:
     def __init__(self, docs: list[np.ndarray]):
         self.n = len(docs)
         lengths = np.array([len(d) for d in docs], dtype=np.float64)
-        pairs = np.concatenate([d.astype(np.uint32) << 11 | np.uint32(i) for i, d in enumerate(docs)])
+        pairs = np.empty(int(lengths.sum()), dtype=np.uint32)
+        at = 0
+        for i, d in enumerate(docs):
+            pairs[at : at + len(d)] = d.astype(np.uint32) << 11 | np.uint32(i)
+            at += len(d)
         pairs.sort()
         starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        tf = np.diff(np.r_[starts, len(pairs)]).astype(np.float64)
-        doc, term = (pairs[starts] & 2047).astype(np.int64), (pairs[starts] >> 11).astype(np.int64)
+        tf = np.diff(starts, append=len(pairs))
+        pairs = pairs[starts]
+        doc, term = (pairs & 2047).astype(np.uint16), (pairs >> 11).astype(np.uint16)
+        del pairs, starts  # these are long: what is done with is freed, the rest is computed in place
         df = np.bincount(term, minlength=1 << 16)
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / lengths.mean())
-        impact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        impact = idf[term]
+        impact *= tf
+        impact *= K1 + 1
+        impact /= tf + norm[doc]
+        del tf
         dense = df * DENSE > self.n
         self.row = np.where(dense, np.cumsum(dense) - 1, -1)
         often = dense[term]
@@ -232,6 +266,24 @@ class Packer:
             pieces, left = kept, left - size
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """doc_ids and texts, as many at once as the bounds on a block allow; a longer text is a block of its own."""
+    doc_ids, texts, size = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                text = text or ""
+                if texts and (len(texts) == BLOCK_DOCS or size + len(text) > BLOCK_CHARS):
+                    yield doc_ids, texts
+                    doc_ids, texts, size = [], [], 0
+                doc_ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
+    if texts:
+        yield doc_ids, texts
+
+
 def _pack_batches(path: str, window: int):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -243,17 +295,15 @@ def _pack_batches(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, tokens, shard, held = Packer(TaskContext.get().partitionId(), window), loaded(_tokens, path), [], 0
         end = np.array([END_ID], dtype=np.uint16)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = np.concatenate([tokens.ids(text or ""), end])
-                    shard.append((doc_id, ids))
-                    held += len(ids)
-                    if len(shard) == SHARD_DOCS or held > SHARD_TOKENS:
-                        packer.shard(shard)
-                        shard, held = [], 0
-                        yield flush(packer)
+        for doc_ids, texts in _blocks(batches):
+            for doc_id, own in zip(doc_ids, tokens.block(texts)):
+                ids = np.concatenate([own, end])
+                shard.append((doc_id, ids))
+                held += len(ids)
+                if len(shard) == SHARD_DOCS or held > SHARD_TOKENS:
+                    packer.shard(shard)
+                    shard, held = [], 0
+                    yield flush(packer)
         packer.shard(shard)
         packer.close()
         yield flush(packer)

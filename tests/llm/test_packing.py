@@ -29,6 +29,30 @@ def test_added_tokens_have_ids_of_their_own(text):
     assert TOKENS.ids(text).tolist() == REFERENCE.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab é.\n\t ½ 12<|endoftx>'s  "), max_size=40) | st.text(max_size=20), max_size=8))
+def test_blocks_of_texts_give_the_ids_of_each(texts):
+    assert [x.tolist() for x in TOKENS.block(texts)] == [REFERENCE.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+class Counting:
+    def __init__(self, encoding):
+        self.encoding, self.calls = encoding, 0
+
+    def encode_ordinary(self, text):
+        self.calls += 1
+        return self.encoding.encode_ordinary(text)
+
+
+def test_the_words_of_a_text_are_encoded_together(monkeypatch):
+    """One call of the encoder for each new word took more CPU time than all else in packing."""
+    text = " ".join(f"w{i}x" for i in range(5000))
+    counting = Counting(TOKENS._encoding)
+    monkeypatch.setattr(TOKENS, "_encoding", counting)
+    assert TOKENS.ids(text).tolist() == REFERENCE.encode(text, add_special_tokens=False).ids
+    assert counting.calls < 10
+
+
 def hold(docs, window=2048):
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     ids = {d: REFERENCE.encode(t or "", add_special_tokens=False).ids + [1] for d, t in texts}
