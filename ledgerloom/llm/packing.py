@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import loaded, returning, table
+from .common import loaded, returning, settle, table
 
 WINDOW = 2048
 END_ID = 1
@@ -31,6 +31,7 @@ SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
 DENSE = 16
 BLOCK_DOCS, BLOCK_CHARS = 1024, 4_000_000
+SLICE = 1 << 17
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -141,26 +142,28 @@ class Index:
             pairs[at : at + len(d)] = d.astype(np.uint32) << 11 | np.uint32(i)
             at += len(d)
         pairs.sort()
-        starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        tf = np.diff(starts, append=len(pairs))
-        pairs = pairs[starts]
-        doc, term = (pairs & 2047).astype(np.uint16), (pairs >> 11).astype(np.uint16)
-        del pairs, starts  # these are long: what is done with is freed, the rest is computed in place
-        df = np.bincount(term, minlength=1 << 16)
+        starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1], True])
+        slices = [slice(a, a + SLICE) for a in range(0, len(starts) - 1, SLICE)]  # temporaries of all would be long
+        df = np.zeros(1 << 16, dtype=np.int64)
+        for s in slices:
+            df += np.bincount(pairs[starts[:-1][s]] >> 11, minlength=1 << 16)
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / lengths.mean())
-        impact = idf[term]
-        impact *= tf
-        impact *= K1 + 1
-        impact /= tf + norm[doc]
-        del tf
         dense = df * DENSE > self.n
         self.row = np.where(dense, np.cumsum(dense) - 1, -1)
-        often = dense[term]
         self.rows = np.zeros((int(dense.sum()), self.n))
-        self.rows[self.row[term[often]], doc[often]] = impact[often]
-        self.doc, self.impact = doc[~often], impact[~often]
         self.at = np.r_[0, np.cumsum(np.where(dense, 0, df))]
+        self.doc, self.impact = np.empty(self.at[-1], dtype=np.uint16), np.empty(self.at[-1])
+        at = 0
+        for s in slices:
+            pair, tf = pairs[starts[:-1][s]], starts[1:][s] - starts[:-1][s]
+            doc, term = pair & 2047, pair >> 11
+            impact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+            often = dense[term]
+            self.rows[self.row[term[often]], doc[often]] = impact[often]
+            end = at + len(pair) - int(often.sum())
+            self.doc[at:end], self.impact[at:end] = doc[~often], impact[~often]
+            at = end
 
     def scores(self, seed: np.ndarray) -> np.ndarray:
         """BM25 of every document by all of the seed's terms."""
@@ -316,10 +319,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they come; rows without doc_id
     keep null. Other columns are ignored, an empty table gives no pieces. ``window`` must be a power of two. Sequence
-    ids are unique and grow within a scan partition; they depend on how the input is split into partitions.
+    ids are unique and grow within a scan partition; they depend on how the input is split into partitions. The pieces
+    are settled: few bytes, and only so can the batches of texts be bounded without a setting of the caller's session.
     """
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return chosen.mapInArrow(returning(_pack_batches(tokenizer or default_tokenizer(), window)), SCHEMA)
+    return settle(chosen.mapInArrow(returning(_pack_batches(tokenizer or default_tokenizer(), window)), SCHEMA), "pieces")
 
 
 def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -53,6 +54,41 @@ def test_the_words_of_a_text_are_encoded_together(monkeypatch):
     assert counting.calls < 10
 
 
+def test_what_a_worker_keeps_does_not_grow_with_the_words_it_met():
+    text = " ".join(f"w{i}x" for i in range(30_000))
+    TOKENS.ids("a b")
+    tracemalloc.start()
+    try:
+        TOKENS.ids(text)
+        assert tracemalloc.get_traced_memory()[0] < 500_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    """10,000 rows at once, whatever their size, were most of a worker's memory. The session's own setting stays."""
+    key, own = "spark.sql.execution.arrow.maxBytesPerBatch", packing._pack_batches
+
+    def checked(path, window):
+        run = own(path, window)
+
+        def small(batches):
+            def each():
+                for b in batches:
+                    assert b.nbytes < 8 << 20
+                    yield b
+
+            return run(each())
+
+        return small
+
+    monkeypatch.setattr(packing, "_pack_batches", checked)
+    docs = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "repeat('some text ', 6000) AS text")
+    before = spark.conf.get(key, None)
+    assert packing.pack(docs).selectExpr("sum(length)").first()[0] > 300 * 6000
+    assert spark.conf.get(key, None) == before
+
+
 def hold(docs, window=2048):
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     ids = {d: REFERENCE.encode(t or "", add_special_tokens=False).ids + [1] for d, t in texts}
